@@ -381,5 +381,16 @@ def join_components(docs: DataFrame) -> DataFrame:
     return sets.join(classes, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without all but the smallest doc_id of each component, each doc_id once.
+
+    Rows without a doc_id can't be told apart and stay.
+    """
+    classes = join_components(docs)
+    first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.join(first, docs["doc_id"] == first["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(docs["doc_id"].isNull()))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents"))

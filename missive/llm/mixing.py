@@ -91,9 +91,9 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` (all columns; doc_id is a key), each as often as the mix takes it."""
     taken = mixed(docs, **parameters).where("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies")
     wanted = taken.groupBy("mixed_id").agg(F.max("copies").alias("copies"))
-    both = docs.join(wanted, docs["doc_id"] == wanted["mixed_id"])
-    copies = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
-    return both.select(*[docs[c] for c in docs.columns], copies).drop("copy")
+    both = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["mixed_id"]))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), wanted["copies"])).alias("_copy")
+    return both.select(*[docs[c] for c in docs.columns], copy).drop("_copy")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,6 +139,19 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def keep(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end in text_chunks(batch):
+                part = batch.slice(begin, end - begin)
+                scores = model.scores(*text_bytes(part.column(part.schema.get_field_index("text"))))
+                yield part.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
