@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -33,6 +34,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts together hold about CHUNK_BYTES."""
     at = np.frombuffer(batch.column(column).cast(pa.large_binary()).buffers()[1], dtype=np.int64)

@@ -8,13 +8,16 @@ Chang, "Leveraging set relations in exact set similarity join" (2017), laid out
   (n + m) / 9 elements, so some block with elements is the same in both unless a set has no more such blocks than
   that; a set that has so few also goes to the lists of its single elements. All other blocks are skipped: a passage
   that many sets share fills a block of theirs only if it makes up most of them.
-* Answer level. Each list has a pivot, its first set, and only the pairs of a pivot and a member are verified, never
-  all pairs of a list. The answers of the other sets around a pivot follow from the pivot's: linked ones are in its
-  component already; for the rest, |y & b| <= min(|y & p|, |b & p|) + min(|y - p|, |b - p|) decides most pairs
-  without looking at the sets, and only what it leaves open is counted.
-
-Equal sets count once from the lists on. A star (pivot and members) larger than a task's share is split into chunks
-that hold the pivot each; members that do not link to the pivot then also visit the star's other chunks.
+* Answer level. Each list has a pivot, its first set, and a star is a pivot with the members of its lists; all pairs of
+  a list are never written out. In a star, a set that agrees with the pivot is answered by it: it joins the pivot's
+  component. Only for the others answers are sought among the star's other members. That happens twice: first on
+  block vectors, a byte for every two or so elements (sets that differ in more blocks than two linked sets can have
+  elements apart do not link), which leaves groups that hold all links and little else; then on the sets themselves,
+  where |y & b| <= min(|y & p|, |b & p|) + min(|y - p|, |b - p|) decides pairs from what is known about the pivot p
+  and only what that leaves open is counted.
+
+Equal sets count once from the lists on. A star larger than a task's share is split into chunks that hold the pivot
+each; members that do not agree with the pivot then also visit the star's other chunks.
 """
 
 from __future__ import annotations
@@ -27,13 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, checkpoint, connected_components, mix64, table, text_bytes, text_chunks, word_hashes
+from .common import U64, checkpoint, connected_components, mix64, release, table, text_bytes, text_chunks, word_hashes
 
 WORDS = 5
 #: A link needs TOP * intersection >= BOTTOM * union.
 TOP, BOTTOM = 100, 80
 #: Block signatures that a bucket of the index holds on average, and that a task gathers before it sends them on.
-BUCKET_SIGNATURES, SEND_SIGNATURES = 500_000, 1_500_000
+BUCKET_SIGNATURES, SEND_SIGNATURES = 2_000_000, 2_000_000
 #: Set elements that a chunk of a star holds on average.
 CHUNK_ELEMENTS = 400_000
 #: Class of the lists of single elements; the other classes are floor(log2(size)).
@@ -119,8 +122,29 @@ def signatures(values: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(out), np.concatenate(of)
 
 
+def vector_blocks(sizes: np.ndarray) -> np.ndarray:
+    """Blocks of a set's vector: a power of two, from 0.4 to 0.8 of its size, 32 at least."""
+    return (2 ** np.ceil(np.log2(np.maximum(sizes * 2 / 5, 32)))).astype(np.int64)
+
+
+def block_vectors(values: np.ndarray, begins: np.ndarray) -> list[bytes]:
+    """For each set a byte for each block of positions: the sum of its elements' second hashes. Neighbours add up to
+    the block of half as fine a vector."""
+    sizes = np.diff(begins)
+    blocks = vector_blocks(sizes)
+    sets = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.append(0, np.cumsum(blocks))
+    place = at[sets] + ((values >> U64(32)) * blocks[sets].astype(U64) >> U64(32)).astype(np.int64)
+    flat = np.zeros(at[-1], np.uint8)
+    if len(values):
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        flat[place[first]] = np.add.reduceat(mix64(values ^ U64(0x2545F4914F6CDD1D)) & U64(255), first).astype(np.uint8)
+    whole = flat.tobytes()
+    return [whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of its set), h1 and h2 (hashes of its set) of each document."""
+    """doc_id, n (size of its set), h1 and h2 (hashes of its set), vector (its block vector) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,52 +153,55 @@ def sketches(docs: DataFrame) -> DataFrame:
                 values, begins = shingle_sets(*text_bytes(part.column("text")))
                 h1, h2 = set_hashes(values, begins)
                 columns = [part.column("doc_id"), pa.array(np.diff(begins)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2"])
+                columns.append(pa.array(block_vectors(values, begins), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "vector"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, vector binary")
 
 
 def _index(docs: DataFrame, buckets: int) -> DataFrame:
-    """The index lists' entries, in bulk: rows of (bucket, part, number, signatures, nodes)."""
+    """The index lists' entries, in bulk: rows of (bucket, part, number, signatures, nodes, counts):
+    the low halves of a bucket's signatures, set by set, the sets, and how many signatures each has there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_id, number = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         gathered = 0
 
         def send() -> Iterator[pa.RecordBatch]:
             nonlocal number, gathered
             if not held:
                 return
-            sig = np.concatenate([s for s, _ in held])
-            node = np.concatenate([x for _, x in held])
+            sig = np.concatenate([s for s, _, _ in held])
+            node = np.concatenate([x for _, x, _ in held])
+            firsts = np.cumsum([0, *(len(x) for _, x, _ in held)])
+            of = np.concatenate([o + first for (_, _, o), first in zip(held, firsts, strict=False)])
             held.clear()
             gathered = 0
             bucket = ((sig >> U64(32)) * U64(buckets)) >> U64(32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, low, node = bucket[order], sig[order].astype(np.uint32), node[order]
+            order = np.lexsort((of, bucket))
+            bucket, low, of = bucket[order], sig[order].astype(np.uint32), of[order]
             ids, begins = np.unique(bucket, return_index=True)
-            ends = np.append(begins[1:], len(bucket))
-            n = len(ids)
-            cuts = list(zip(begins.tolist(), ends.tolist(), strict=True))
-            columns = [
-                pa.array(ids.astype(np.int64)), pa.array(np.full(n, part_id, np.int64)), pa.array(np.full(n, number, np.int64)),
-                pa.array([low[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([node[a:b].tobytes() for a, b in cuts], pa.binary()),
-            ]
+            rows: list[tuple[bytes, bytes, bytes]] = []
+            for a, b in zip(begins, [*begins[1:], len(bucket)], strict=True):
+                sets, counts = np.unique(of[a:b], return_counts=True)
+                rows.append((low[a:b].tobytes(), node[sets].tobytes(), counts.astype(np.uint32).tobytes()))
+            head = [pa.array(ids.astype(np.int64)), pa.array(np.full(len(ids), part_id)), pa.array(np.full(len(ids), number))]
             number += 1
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "number", "signatures", "nodes"])
+            columns = [*head, *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "number", "signatures", "nodes", "counts"])
 
         for batch in batches:
             for begin, end in text_chunks(batch):
                 values, begins = shingle_sets(*text_bytes(batch.slice(begin, end - begin).column("text")))
                 sig, of = signatures(values, begins)
-                held.append((sig, set_hashes(values, begins)[0][of]))
+                held.append((sig, set_hashes(values, begins)[0], of))
                 gathered += len(sig)
                 if gathered >= SEND_SIGNATURES:
                     yield from send()
         yield from send()
 
-    entries = docs.select("doc_id", "text").mapInArrow(run, "bucket long, part long, number long, signatures binary, nodes binary")
+    entries = docs.select("doc_id", "text").mapInArrow(run, "bucket long, part long, number long, signatures binary, nodes binary, counts binary")
     return entries.repartition("bucket").sortWithinPartitions("bucket", "part", "number")
 
 
@@ -193,10 +220,11 @@ def _star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     bucket, keys, pivots = None, np.zeros(0, np.uint32), np.zeros(0, np.int64)
     for batch in batches:
-        for b, sig, node in zip(*(batch.column(c).to_pylist() for c in ("bucket", "signatures", "nodes")), strict=True):
+        for b, sig, node, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "signatures", "nodes", "counts")), strict=True):
             if b != bucket:
                 bucket, keys, pivots = b, np.zeros(0, np.uint32), np.zeros(0, np.int64)
-            sig, node = np.frombuffer(sig, np.uint32), np.frombuffer(node, np.int64)
+            sig = np.frombuffer(sig, np.uint32)
+            node = np.repeat(np.frombuffer(node, np.int64), np.frombuffer(counts, np.uint32))
             mine, first = np.unique(sig, return_index=True)
             at = np.searchsorted(keys, mine)
             old = at < len(keys)
@@ -269,6 +297,47 @@ def close_star(values: np.ndarray, begins: np.ndarray, askers: np.ndarray | None
     return [union.root(k) for k in range(n)], ~near
 
 
+def close_vectors(sizes: np.ndarray, vectors: list[np.ndarray], askers: np.ndarray | None = None) -> tuple[list[int], np.ndarray]:
+    """As close_star, on block vectors: sets that may link are in one component, those that may not link to the pivot are far."""
+    n = len(sizes)
+    blocks = np.array([len(v) for v in vectors])
+    levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    folded = dict(enumerate(vectors))
+    for level in sorted(set(blocks.tolist()), reverse=True):
+        rows = np.flatnonzero(blocks >= level)
+        for k in rows.tolist():
+            while len(folded[k]) > level:
+                folded[k] = folded[k][::2] + folded[k][1::2]
+        levels[level] = rows, np.stack([folded[k] for k in rows.tolist()])
+
+    def maybe(y: int) -> np.ndarray:
+        found, mine = [], vectors[y]
+        for level in sorted((x for x in levels if x <= blocks[y]), reverse=True):
+            while len(mine) > level:
+                mine = mine[::2] + mine[1::2]
+            rows, matrix = levels[level]
+            if level < blocks[y]:
+                own = blocks[rows] == level
+                rows, matrix = rows[own], matrix[own]
+            differ = (matrix != mine).sum(axis=1)
+            both = sizes[rows] + sizes[y]
+            # differ elements at least are in one of the two only
+            most = (both - differ) // 2
+            found.append(rows[links(np.minimum(most, np.minimum(sizes[rows], sizes[y])), sizes[rows], int(sizes[y]))])
+        return np.concatenate(found)
+
+    union = _Union(n)
+    near = np.zeros(n, bool)
+    near[0] = True
+    near[maybe(0)] = True
+    for k in np.flatnonzero(near).tolist():
+        union.join(0, k)
+    for y in np.flatnonzero(~near if askers is None else askers).tolist():
+        for b in maybe(y).tolist():
+            union.join(b, y)
+    return [union.root(k) for k in range(n)], ~near
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Whole groups of rows that are sorted by star, as tables, and where in them each group begins."""
     held: list[pa.RecordBatch] = []
@@ -283,7 +352,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.n
         return np.flatnonzero(new)
 
     for batch in batches:
-        for begin, end in text_chunks(batch):
+        for begin, end in text_chunks(batch, "payload"):
             held.append(batch.slice(begin, end - begin))
             size += held[-1].nbytes
             if size >= 4 << 20:
@@ -298,37 +367,77 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.n
         yield rows, cut(rows)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links as (u, v), and members far from the pivot of a split star as (u, null, pivot)."""
-    for rows, begins in _grouped(batches):
-        rows = rows.combine_chunks()
-        doc_id, pivot, chunks, role = (rows.column(c).to_numpy() for c in ("doc_id", "pivot", "chunks", "role"))
-        values, at = shingle_sets(*text_bytes(rows.column("text").chunk(0)))
-        u: list[int] = []
-        v: list[int | None] = []
-        far_of: list[int | None] = []
-        for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(doc_id)], strict=True):
-            guests = role[a:b] == 2
-            inside = at[a : b + 1]
-            roots, far = close_star(values[inside[0] : inside[-1]], inside - inside[0], guests if guests.any() else None)
-            for k, r in enumerate(roots):
-                if r != k:
-                    u.append(int(doc_id[a + k]))
-                    v.append(int(doc_id[a + r]))
-                    far_of.append(None)
-            if chunks[a] > 1 and not guests.any():
-                for k in np.flatnonzero(far).tolist():
-                    u.append(int(doc_id[a + k]))
-                    v.append(None)
-                    far_of.append(int(pivot[a]))
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(far_of, pa.int64())], names=["u", "v", "far_of"])
-
-
-def _verified(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """members: pivot, chunk, chunks, guests, role (0 pivot, 1 member, 2 visitor from another chunk), rep."""
-    rows = members.join(docs, members["rep"] == docs["doc_id"]).select("pivot", "chunk", "guests", "chunks", "role", "doc_id", "text")
-    rows = rows.repartition("pivot", "chunk", "guests").sortWithinPartitions("pivot", "chunk", "guests", "role", "doc_id")
-    return checkpoint(rows.mapInArrow(_verify, "u long, v long, far_of long"))
+def _closing(on_vectors: bool):
+    """Closes stars of sorted rows: links as (u, v), and members far from the pivot of a split star as (u, null, pivot)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, begins in _grouped(batches):
+            rows = rows.combine_chunks()
+            rep, pivot, chunks, role, n = (rows.column(c).to_numpy() for c in ("rep", "pivot", "chunks", "role", "n"))
+            payload = rows.column("payload").chunk(0)
+            if on_vectors:
+                vectors = [np.frombuffer(v, np.uint8) for v in payload.to_pylist()]
+            else:
+                values, at = shingle_sets(*text_bytes(payload))
+            u: list[int] = []
+            v: list[int | None] = []
+            far_of: list[int | None] = []
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(rep)], strict=True):
+                guests = role[a:b] == 2
+                askers = guests if guests.any() else None
+                if on_vectors:
+                    roots, far = close_vectors(n[a:b], vectors[a:b], askers)
+                else:
+                    inside = at[a : b + 1]
+                    roots, far = close_star(values[inside[0] : inside[-1]], inside - inside[0], askers)
+                for k, r in enumerate(roots):
+                    if r != k:
+                        u.append(int(rep[a + k]))
+                        v.append(int(rep[a + r]))
+                        far_of.append(None)
+                if chunks[a] > 1 and askers is None:
+                    for k in np.flatnonzero(far).tolist():
+                        u.append(int(rep[a + k]))
+                        v.append(None)
+                        far_of.append(int(pivot[a]))
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(far_of, pa.int64())], names=["u", "v", "far_of"])
+
+    return run
+
+
+def _closed(members: DataFrame, payload: DataFrame, on_vectors: bool) -> DataFrame:
+    """members: pivot, chunk, chunks, guests, role (0 pivot, 1 member, 2 visitor from another chunk), rep, n."""
+    rows = members.join(payload, "rep").select("pivot", "chunk", "guests", "chunks", "role", "rep", "n", "payload")
+    rows = rows.repartition("pivot", "chunk", "guests").sortWithinPartitions("pivot", "chunk", "guests", "role", "rep")
+    return checkpoint(rows.mapInArrow(_closing(on_vectors), "u long, v long, far_of long"))
+
+
+def _links(members: DataFrame, heads: DataFrame, payload: DataFrame, on_vectors: bool) -> DataFrame:
+    """(u, v) of sets that link (on vectors: may link), enough to connect what a star connects.
+
+    members and heads: pivot, rep, n of a star's other sets and of its pivot; payload: rep and payload, which is the
+    set's vector or the text.
+    """
+    none = F.lit(0).cast("long")
+    each = lambda upto: F.explode(F.sequence(none, F.col(upto) - 1))
+    sized = checkpoint(members.groupBy("pivot").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / CHUNK_ELEMENTS)).alias("chunks")))
+    placed = members.join(sized, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), "chunks", F.lit(1).alias("role"), "rep", "n")
+    in_each = heads.join(sized, "pivot").select("pivot", each("chunks").alias("chunk"), "chunks", F.lit(0).alias("role"), "rep", "n")
+    hosts = placed.unionByName(in_each)
+    found = _closed(hosts.withColumn("guests", none), payload, on_vectors)
+    edges = found.where("v is not null").select("u", "v")
+    far = found.where("v is null").select(F.col("far_of").alias("pivot"), F.col("u").alias("rep")).distinct()
+    if far.isEmpty():
+        return edges
+    # members far from the pivot of a split star visit all its chunks, so many at a time
+    far = far.join(members, ["pivot", "rep"])
+    split = far.groupBy("pivot").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / CHUNK_ELEMENTS)).alias("parties")).join(sized, "pivot")
+    party = F.pmod(F.xxhash64("rep"), F.col("parties")) + 1
+    visits = far.join(split, "pivot").select("pivot", each("chunks").alias("chunk"), "chunks", party.alias("guests"), F.lit(2).alias("role"), "rep", "n")
+    visited = hosts.join(split.select("pivot", "parties"), "pivot")
+    visited = visited.select("pivot", "chunk", "chunks", F.explode(F.sequence(none + 1, F.col("parties"))).alias("guests"), "role", "rep", "n")
+    again = _closed(visited.unionByName(visits), payload, on_vectors)
+    return edges.unionByName(again.where("v is not null").select("u", "v"))
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -344,41 +453,28 @@ def join_components(docs: DataFrame) -> DataFrame:
     buckets = max(1, -(-elements * 6 // 10 // BUCKET_SIGNATURES))
     same = sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
 
-    pairs = _index(docs, buckets).mapInArrow(_star_pairs, "pivot long, node long").distinct()
+    same = checkpoint(same)
+    vectors = sets.join(same.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
+    vectors = vectors.select(F.col("doc_id").alias("rep"), F.col("vector").alias("payload"))
     reps = same.select(F.col("h1").alias("node"), "rep", "n")
-    star = pairs.join(reps, "node").select("pivot", "rep", "n")
-    sized = star.groupBy("pivot").agg(F.sum("n").alias("elements"), F.count("*").alias("size"))
-    sized = sized.select("pivot", F.greatest(F.lit(1), F.ceil(F.col("elements") / CHUNK_ELEMENTS)).alias("chunks"))
-    star, sized = checkpoint(star), checkpoint(sized)
-    placed = star.join(sized, "pivot").select(
-        "pivot", F.pmod(F.xxhash64("rep"), F.col("chunks")).alias("chunk"), "chunks", F.lit(0).cast("long").alias("guests"), F.lit(1).alias("role"), "rep"
-    )
-    heads = sized.join(reps, sized["pivot"] == reps["node"]).select("pivot", "chunks", "rep")
-    in_each = heads.select(
-        "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "chunks", F.lit(0).cast("long").alias("guests"), F.lit(0).alias("role"), "rep"
-    )
-    found = _verified(placed.unionByName(in_each), docs)
-    edges = found.where("v is not null").select("u", "v")
+    pairs = _index(docs, buckets).mapInArrow(_star_pairs, "pivot long, node long").distinct()
+    star = checkpoint(pairs.join(reps, "node").select("pivot", "rep", "n"))
+    del pairs
+    release(docs.sparkSession)
+    heads = star.select("pivot").distinct().join(reps, F.col("pivot") == F.col("node")).select("pivot", "rep", "n")
+
+    # groups that hold all links: each a star around its smallest set
+    groups = connected_components(_links(star, heads, vectors, on_vectors=True))
+    group = groups.join(same, F.col("node") == F.col("rep")).select(F.col("component").alias("pivot"), "rep", "n")
+    group = checkpoint(group)
+    release(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("payload"))
+    component = connected_components(_links(group.where("rep <> pivot"), group.where("rep = pivot"), texts, on_vectors=False))
 
-    far = found.where("v is null").select(F.col("far_of").alias("pivot"), F.col("u").alias("rep")).distinct()
-    if not far.isEmpty():
-        # members far from the pivot of a split star visit all its chunks, so many at a time
-        per_star = far.join(reps, "rep").groupBy("pivot").agg(F.ceil(F.sum("n") / CHUNK_ELEMENTS).alias("parties"))
-        split = per_star.join(sized, "pivot")
-        visits = far.join(split, "pivot").select(
-            "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "chunks",
-            (F.pmod(F.xxhash64("rep"), F.col("parties")) + 1).alias("guests"), F.lit(2).alias("role"), "rep",
-        )
-        hosts = placed.unionByName(in_each).drop("guests").join(split.select("pivot", "parties"), "pivot")
-        hosts = hosts.select("pivot", "chunk", "chunks", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parties"))).alias("guests"), "role", "rep")
-        again = _verified(hosts.unionByName(visits), docs)
-        edges = edges.unionByName(again.where("v is not null").select("u", "v"))
-
-    component = connected_components(edges)
     classes = same.join(component, same["rep"] == component["node"], "left")
     classes = classes.select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return sets.join(classes, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return sets.drop("vector").join(classes, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
