@@ -23,7 +23,7 @@ def whatsapp(spark: SparkSession, path: str) -> DataFrame:
     all of them is possible, or goes back in time less often. A chat that leaves both open raises.
     """
     files = spark.read.text(path, wholetext=True).withColumn("chat", file_part(F.input_file_name(), 1))
-    lines = files.select("chat", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    lines = files.select("chat", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), "\r?\n")).alias("pos", "line"))
     part = lambda k: F.regexp_extract("line", HEAD, k)
     lines = lines.withColumn("head", part(1) != "")
     order = Window.partitionBy("chat").orderBy("pos")
