@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -168,14 +169,23 @@ def line_hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8"), digest_size=8).digest(), "little", signed=True)
 
 
-def main_text(page: str, nearest: list[int] | None) -> str:
+def main_text(lines: list[Line], nearest: list[int] | None) -> str:
     """The page's own lines: no template, and outside an article nothing that the nearest page shares."""
-    lines = lines_of(page)
     shared = common_lines([line_hash(x.text) for x in lines], nearest) if nearest else set()
     has_main = any(x.main and not x.template for x in lines)
     return "\n".join(x.text for k, x in enumerate(lines) if not x.template and (x.main if has_main else k not in shared))
 
 
+def pack_lines(lines: list[Line]) -> bytes:
+    """Lines for the way to their page's pair: a sign and the text of each, compressed. No text holds a line end."""
+    return zlib.compress("\n".join("nmtT"[x.main + 2 * x.template] + x.text for x in lines).encode("utf-8"), 1)
+
+
+def unpack_lines(packed: bytes) -> list[Line]:
+    rows = zlib.decompress(packed).decode("utf-8")
+    return [Line(r[1:], r[0] in "mT", r[0] in "tT") for r in rows.split("\n")] if rows else []
+
+
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for begin, end in text_chunks(batch, "html"):
@@ -184,6 +194,14 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(rows, pa.list_(pa.int64()))], names=["page_id", "lines"])
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin, end in text_chunks(batch, "html"):
+            part = batch.slice(begin, end - begin)
+            rows = [pack_lines(lines_of(page or "")) for page in part.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(rows, pa.binary())], names=["page_id", "url", "packed"])
+
+
 def nearest_pages(pages: DataFrame) -> DataFrame:
     """page_id and nearest_id: the page of the same host whose URL path is nearest in order and has the longer common
     beginning (the earlier one of equals); null where a host has one page."""
@@ -230,13 +248,14 @@ def extract(pages: DataFrame) -> DataFrame:
     lines = lines.groupBy("page_id").agg(F.min("lines").alias("lines"))
     pairs = nearest_pages(pages).groupBy("page_id").agg(F.min("nearest_id").alias("nearest_id"))
     other = pairs.join(lines.withColumnRenamed("page_id", "nearest_id"), "nearest_id").select(F.col("page_id").alias("paired"), "lines")
-    rows = pages.join(other, F.col("page_id") == F.col("paired"), "left").select("page_id", "url", "html", "lines")
+    packed = pages.mapInArrow(_packed, "page_id long, url string, packed binary")
+    rows = packed.join(other, F.col("page_id") == F.col("paired"), "left").select("page_id", "url", "packed", "lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end in text_chunks(batch, "html"):
+            for begin, end in text_chunks(batch, "packed"):
                 part = batch.slice(begin, end - begin)
-                texts = [main_text(page or "", near) for page, near in zip(part.column("html").to_pylist(), part.column("lines").to_pylist(), strict=True)]
+                texts = [main_text(unpack_lines(page), near) for page, near in zip(part.column("packed").to_pylist(), part.column("lines").to_pylist(), strict=True)]
                 columns = [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
