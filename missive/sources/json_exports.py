@@ -1,4 +1,4 @@
-"""Exports in JSON: Telegram, Hangouts, Messenger and Instagram, Skype, Slack, Discord."""
+"""Exports in JSON: Telegram, Hangouts, Google Chat, Messenger and Instagram, Skype, Slack, Discord."""
 
 from __future__ import annotations
 
@@ -85,6 +85,68 @@ def hangouts(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+_CHAT_PERSON = "struct<name: string, email: string>"
+GOOGLE_CHAT = (
+    f"name string, members array<{_CHAT_PERSON}>, user {_CHAT_PERSON}, messages array<struct<creator: {_CHAT_PERSON}, created_date: string, updated_date: string, text: string, "
+    "message_id: string, quoted_message_metadata: struct<message_id: string>, attached_files: array<struct<original_name: string, export_name: string>>, "
+    "reactions: array<struct<emoji: struct<unicode: string, custom_emoji: struct<short_code: string>>, reactor_emails: array<string>>>>>"
+)
+#: Forms of its dates without weekday and zone.
+_CHAT_DATES = [f"{day} 'at' {time}XXX" for day in ("MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "d MMM yyyy") for time in ("h:mm:ss a", "H:mm:ss", "h:mm a", "H:mm")]
+
+
+def chat_date(text: Column) -> Column:
+    """Seconds of an English date of Google Chat, in UTC or GMT, or of an ISO time; another text raises."""
+    plain = F.trim(F.regexp_replace(text, "[\u202f\u00a0]", " "))
+    bare = F.regexp_replace(F.regexp_extract(plain, r"^(?:[A-Za-z]+,\s+)?(.*\S)\s+(?i:UTC|GMT)$", 1), r"\s+", " ")
+    bare = F.concat(F.regexp_replace(F.regexp_replace(bare, r"(?i)\s*\bam$", " AM"), r"(?i)\s*\bpm$", " PM"), F.lit("Z"))
+    read = [F.try_to_timestamp(bare, F.lit(form)) for form in _CHAT_DATES]
+    iso = F.when(plain.rlike(r"^[0-9-]+T"), F.try_to_timestamp(F.when(plain.rlike(r"(Z|[+-][0-9:]+)$"), plain).otherwise(F.concat(plain, F.lit("Z")))))
+    return F.coalesce(*[F.unix_seconds(t) for t in (*read, iso)], F.raise_error(F.concat(F.lit("not an English date of Google Chat: "), F.coalesce(text, F.lit("none")))).cast("long"))
+
+
+def google_chat(spark: SparkSession, root: str) -> DataFrame:
+    """Groups/<kind> <id>/messages.json with group_info.json beside it, and the account in Users.
+
+    Folders named DM are direct, Space groups; others go by their members. A message without an id goes by time,
+    sender and text, and which of equal ones it is. No creator, no messages, another date or two accounts raise.
+    """
+    files = spark.read.schema(GOOGLE_CHAT).option("multiLine", True).json(f"{root}/{{Groups,Users}}/*/*.json")
+    files = files.withColumns({"file": file_part(F.input_file_name(), 1), "folder": file_part(F.input_file_name(), 2)})
+    account = files.where("file = 'user_info.json'").agg(
+        F.when(F.count("*") < 2, F.lower(F.max("user.email"))).otherwise(F.raise_error(F.lit("more than one account"))).alias("owner")
+    )  # one row
+    info = files.where("file = 'group_info.json'").select("folder", F.col("name").alias("space"), "members")
+    listed = F.coalesce("messages", F.raise_error(F.concat(F.lit("no messages in "), "folder")))
+    rows = files.where("file = 'messages.json'").select("folder", F.posexplode(listed).alias("pos", "m"))
+    rows = rows.join(info, "folder", "left").crossJoin(F.broadcast(account)).withColumn("members", F.coalesce("members", F.array().cast(f"array<{_CHAT_PERSON}>")))
+    spaced = F.instr("folder", " ") > 1
+    prefix = F.when(spaced, F.substring_index("folder", " ", 1)).otherwise("Group")
+    group = F.when(spaced, F.regexp_replace("folder", "^[^ ]+ ", "")).otherwise(F.col("folder"))
+    kind = F.when(prefix == "DM", "dm").when(prefix == "Space", "group").when(F.size("members") <= 2, "dm").otherwise("group")
+    filled = lambda c: F.when(F.trim(c) != "", c)
+    called = lambda p: F.coalesce(filled(p["name"]), p["email"])
+    other = F.get(F.filter("members", lambda p: ~F.lower(p["email"]).eqNullSafe(F.col("owner")) | F.col("owner").isNull()), 0)
+    sender = F.lower(filled(F.col("m.creator.email")))
+    listed_as = F.get(F.filter("members", lambda p: F.lower(p["email"]) == sender), 0)
+    name = F.coalesce(called(listed_as), called(F.col("m.creator")), F.raise_error(F.lit("a message without a creator")))
+    emoji = lambda r: F.coalesce(r["emoji"]["unicode"], r["emoji"]["custom_emoji"]["short_code"], F.when(r["emoji"]["custom_emoji"].isNotNull(), "custom"))
+    actors = lambda r: F.when(F.size(r["reactor_emails"]) > 0, F.transform(r["reactor_emails"], F.lower)).otherwise(F.array(F.lit(None).cast("string")))
+    reactions = F.flatten(F.transform("m.reactions", lambda r: F.transform(actors(r), lambda a: F.struct(emoji(r).alias("emoji"), a.alias("actor"), F.lit(1).cast("long").alias("count")))))
+    rows = rows.withColumns({
+        "thread_id": F.concat(F.lower(prefix), F.lit("/"), group), "kind": kind, "title": F.when(kind == "dm", F.coalesce(called(other), "space")).otherwise(F.col("space")),
+        "sender": sender, "name": name, "text": F.coalesce("m.text", F.lit("")), "at": chat_date(F.col("m.created_date")),
+    })
+    rows = with_occurrence(rows, ["thread_id", "at", "sender", "name", "text", "m.message_id"], ["pos"])
+    return canonical(
+        rows, platform=F.lit("googlechat"), thread_id=F.col("thread_id"), thread_kind=F.col("kind"), title=F.col("title"),
+        uid=F.coalesce(F.concat(F.lit("gc/"), "m.message_id"), derived_uid("gc", "at", "sender", "name", "text")), sender_id=F.col("sender"), sender_name=F.col("name"), kind=F.lit("message"),
+        text=F.col("text"), sent_at_unix=F.col("at"), edited_at_unix=F.when(F.col("m.updated_date").isNotNull(), chat_date(F.col("m.updated_date"))),
+        reply_to_uid=F.concat(F.lit("gc/"), "m.quoted_message_metadata.message_id"), reactions=F.filter(reactions, lambda r: r["emoji"].isNotNull()),
+        media=F.transform("m.attached_files", lambda f: F.coalesce(f["export_name"], f["original_name"])),
+    )
+
+
 META = (
     "participants array<struct<name: string>>, title string, thread_path string, messages array<struct<sender_name: string, timestamp_ms: long, content: string, "
     "type: string, is_unsent: boolean, photos: array<struct<uri: string>>, reactions: array<struct<reaction: string, actor: string>>>>"
@@ -185,3 +247,49 @@ def discord_package(spark: SparkSession, path: str) -> DataFrame:
         rows, platform=F.lit("discord"), thread_id=F.col("channel"), thread_kind=F.lit("channel"), uid=F.concat(F.lit("dc/"), "channel", F.lit("/"), "ID"), sender_id=F.lit("self"),
         kind=F.lit("message"), text=F.coalesce("Contents", F.lit("")), sent_at_unix=sent, media=F.filter(F.split(F.coalesce("Attachments", F.lit("")), " "), lambda a: a != ""),
     )
+
+
+_DISCORD_PERSON = "struct<id: string, name: string, nickname: string>"
+DISCORD_EXPORT = (
+    "guild struct<name: string>, channel struct<id: string, type: string, name: string>, messages array<struct<id: string, type: string, timestamp: string, timestampEdited: string, "
+    f"content: string, author: {_DISCORD_PERSON}, attachments: array<struct<url: string>>, stickers: array<struct<name: string, sourceUrl: string>>, "
+    f"reference: struct<messageId: string, channelId: string>, reactions: array<struct<emoji: struct<id: string, name: string>, count: long, users: array<{_DISCORD_PERSON}>>>>>"
+)
+#: Kinds of threads by the exporter's channel types.
+DISCORD_KINDS = {
+    "DirectTextChat": "dm", "DirectGroupTextChat": "group", "GuildTextChat": "channel", "GuildNewsChat": "channel", "GuildAnnouncement": "channel", "GuildVoiceChat": "channel",
+    "GuildStageVoice": "channel", "GuildPublicThread": "channel", "GuildPrivateThread": "channel", "GuildNewsThread": "channel", "GuildForum": "channel", "GuildCategory": "channel",
+}
+#: Its types of messages that people write, and the service messages.
+DISCORD_SPOKEN = ("Default", "Reply", "ChatInputCommand", "ContextMenuCommand", "ThreadStarterMessage")
+DISCORD_SERVICE = {
+    "Call": "phone_call", "RecipientAdd": "invite_members", "RecipientRemove": "remove_members", "ChannelNameChange": "edit_group_title", "ChannelIconChange": "edit_group_photo",
+    "ChannelPinnedMessage": "pin_message", "GuildMemberJoin": "join_group_by_link", "ThreadCreated": "thread_created",
+}
+
+
+def discord_export(spark: SparkSession, path: str) -> DataFrame:
+    """The exporter's JSON, a file for each channel. Unknown types of channels or messages, and times that aren't, raise."""
+    files = spark.read.schema(DISCORD_EXPORT).option("multiLine", True).json(path)
+    rows = files.select("guild", "channel", F.explode(F.coalesce("messages", F.raise_error(F.lit("no messages array")))).alias("m"))
+    named = lambda book, key: F.try_element_at(F.create_map(*[F.lit(x) for pair in book.items() for x in pair]), key)
+    kind = F.coalesce(named(DISCORD_KINDS, F.col("channel.type")), F.raise_error(F.concat(F.lit("unknown channel type: "), F.coalesce("channel.type", F.lit("none")))))
+    spoken = F.coalesce("m.type", F.lit("Default")).isin(*DISCORD_SPOKEN)
+    action = F.when(~spoken, F.coalesce(named(DISCORD_SERVICE, F.col("m.type")), F.raise_error(F.concat(F.lit("unknown message type: "), "m.type"))))
+    seconds = lambda c: F.coalesce(F.unix_seconds(F.try_to_timestamp(c)), F.raise_error(F.concat(F.lit("not a time: "), F.coalesce(c, F.lit("none")))).cast("long"))
+    who = lambda r: F.filter(F.coalesce(r["users"], F.array().cast(f"array<{_DISCORD_PERSON}>")), lambda u: u["id"].isNotNull())
+    one = lambda r, actor, count: F.struct(r["emoji"]["name"].alias("emoji"), actor.cast("string").alias("actor"), count.cast("long").alias("count"))
+    some = F.flatten(F.transform("m.reactions", lambda r: F.transform(who(r), lambda u: one(r, u["id"], F.lit(1)))))
+    rest = F.transform("m.reactions", lambda r: one(r, F.lit(None), F.coalesce(r["count"], F.lit(1)) - F.size(who(r))))
+    reactions = F.filter(F.concat(some, F.filter(rest, lambda r: r["count"] > 0)), lambda r: r["emoji"].isNotNull())
+    stickers = F.transform(F.coalesce("m.stickers", F.array().cast("array<struct<name: string, sourceUrl: string>>")), lambda x: F.coalesce(x["sourceUrl"], x["name"], F.lit("sticker")))
+    files_of = F.transform(F.coalesce("m.attachments", F.array().cast("array<struct<url: string>>")), lambda a: a["url"])
+    uid = lambda channel, mid: F.concat(F.lit("dc/"), channel, F.lit("/"), mid)
+    title = F.when((kind == "channel") & F.col("guild.name").isNotNull(), F.concat("guild.name", F.lit(" #"), F.coalesce("channel.name", F.lit("")))).otherwise(F.col("channel.name"))
+    return canonical(
+        rows, platform=F.lit("discord"), thread_id=F.col("channel.id"), thread_kind=kind, title=title,
+        uid=F.coalesce(uid(F.col("channel.id"), F.col("m.id")), F.raise_error(F.lit("a channel or message without an id"))), sender_id=F.col("m.author.id"),
+        sender_name=F.coalesce("m.author.nickname", "m.author.name"), kind=F.when(spoken, "message").otherwise("service"), service_action=action, text=F.coalesce("m.content", F.lit("")),
+        sent_at_unix=seconds(F.col("m.timestamp")), edited_at_unix=F.when(F.col("m.timestampEdited").isNotNull(), seconds(F.col("m.timestampEdited"))),
+        reply_to_uid=uid(F.coalesce("m.reference.channelId", "channel.id"), F.col("m.reference.messageId")), reactions=reactions, media=F.concat(files_of, stickers),
+    )

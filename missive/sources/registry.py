@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import json_exports, text_exports
+from . import binary_exports, json_exports, page_exports, text_exports
 
 NONE, POSSIBLE, CERTAIN = 0, 1, 2
 
@@ -54,16 +54,63 @@ def _sms(p: Path) -> int:
     return CERTAIN if files and files[0].suffix == ".xml" and "<smses" in files[0].read_text(encoding="utf-8")[:2000] else NONE
 
 
+def _below(p: Path, *names: str) -> Path | None:
+    """The folder itself or one of those that an export can be unpacked to, if it has what is looked for."""
+    *folders, wanted = names
+    return next((p / f for f in ("", *folders) if p.is_dir() and next(iter((p / f).glob(wanted)), None)), None)
+
+
+def _chat_root(p: Path) -> Path | None:
+    return _below(p, "Google Chat", "Takeout/Google Chat", "Groups/*/messages.json")
+
+
+def _calls(p: Path) -> Path | None:
+    return _below(p, "Calls", "Voice/Calls", "Takeout/Voice/Calls", "* - [0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]T*Z.html")
+
+
+def _vk_root(p: Path) -> Path | None:
+    return _below(p, "*/messages*.html") if p.name.lower() == "messages" else _below(p, "messages/*/messages*.html")
+
+
+def _qip_root(p: Path) -> Path | None:
+    return _below(p, "History", "*.qhf") or _below(p, "*/History/*.qhf")
+
+
+def _imessage(p: Path) -> int:
+    file = p / "chat.db" if p.is_dir() else p
+    return CERTAIN if file.name == "chat.db" and file.is_file() and file.read_bytes()[:15] == b"SQLite format 3" else NONE
+
+
+def _discord_export(p: Path) -> int:
+    files = [p] if p.is_file() else sorted(p.glob("*.json"))
+    return CERTAIN if files and files[0].suffix == ".json" and {"channel", "messages"} <= _json_keys(files[0]) else NONE
+
+
+def _at(find: Callable[[Path], Path | None]) -> Callable[[Path], int]:
+    return lambda p: CERTAIN if find(p) else NONE
+
+
+def _qip_files(path: str) -> str:
+    root = _qip_root(Path(path))
+    return f"{root}/*.qhf" if next(iter(root.glob("*.qhf")), None) else f"{root}/*/History/*.qhf"
+
+
 #: In fixed order; of equally sure ones the first is taken.
 READERS: list[tuple[str, Callable[[Path], int], Callable[[SparkSession, str], DataFrame]]] = [
     ("telegram", _telegram, lambda s, p: json_exports.telegram(s, f"{p}/result.json" if Path(p).is_dir() else p)),
     ("hangouts", _file("Hangouts.json", "conversations"), lambda s, p: json_exports.hangouts(s, f"{p}/Hangouts.json" if Path(p).is_dir() else p)),
+    ("googlechat", _at(_chat_root), lambda s, p: json_exports.google_chat(s, str(_chat_root(Path(p))))),
+    ("googlevoice", _at(_calls), lambda s, p: page_exports.google_voice(s, f"{_calls(Path(p))}/*.html")),
     ("messenger", _meta, lambda s, p: json_exports.meta(s, f"{p}/*/message_*.json")),
-    ("sms", _sms, text_exports.sms),
+    ("sms", _sms, text_exports.backup),
     ("whatsapp", _whatsapp, text_exports.whatsapp),
     ("skype", _file("messages.json", "conversations"), lambda s, p: json_exports.skype(s, f"{p}/messages.json" if Path(p).is_dir() else p)),
+    ("imessage", _imessage, lambda s, p: binary_exports.imessage(s, f"{p}/chat.db" if Path(p).is_dir() else p)),
     ("discord", _discord, lambda s, p: json_exports.discord_package(s, f"{p}/*/messages.csv")),
+    ("discord", _discord_export, lambda s, p: json_exports.discord_export(s, f"{p}/*.json" if Path(p).is_dir() else p)),
     ("slack", _slack, json_exports.slack),
+    ("vk", _at(_vk_root), lambda s, p: page_exports.vk(s, f"{_vk_root(Path(p))}/{'*' if Path(p).name.lower() == 'messages' else 'messages/*'}/messages*.html")),
+    ("qip", _at(_qip_root), lambda s, p: binary_exports.qip(s, _qip_files(p))),
 ]
 
 
@@ -84,4 +131,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     found = detect(path)
     if not found:
         raise ValueError(f"no reader knows {path}")
-    return next(r for n, _, r in READERS if n == found[0][0])(spark, path)
+    return next(r for n, sure, r in READERS if n == found[0][0] and sure(Path(path)))(spark, path)

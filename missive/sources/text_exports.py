@@ -87,3 +87,61 @@ def sms(spark: SparkSession, path: str) -> DataFrame:
         sender_id=F.when(F.col("out"), "self").otherwise(phone(F.col("_address"))), sender_name=F.when(~F.col("out"), null("_contact_name")), kind=F.lit("message"),
         text=F.coalesce(null("_body"), F.lit("")), sent_at_unix=F.floor(F.col("_date") / 1000).cast("long"),
     )
+
+
+_PART = "struct<_ct: string, _text: string, _name: string, _cl: string, _fn: string, _data: string>"
+MMS = (
+    "_date long, _msg_box int, _m_id string, _address string, _contact_name string, _sub string, addrs struct<addr: array<struct<_address: string, _type: int>>>, "
+    f"parts struct<part: array<{_PART}>>"
+)
+#: Types of addresses.
+FROM, TO = 137, 151
+
+
+def mms(spark: SparkSession, path: str, own: str | None = None) -> DataFrame:
+    """<mms> records: box 1 came in, 2 and 4 went out, 3 is a draft and is left out; another box raises.
+
+    Everybody but the owner is in the thread; without ``own`` (the owner's number), the sender of what went out is the
+    owner. Text is the subject and all plain parts by lines; other parts but layouts are media, named with the hash of
+    their bytes where the backup has them.
+    """
+    rows = spark.read.format("xml").option("rowTag", "mms").schema(MMS).load(path).where("_msg_box IS NULL OR _msg_box <> 3")
+    null = lambda c: F.when((c != "null") & (c != ""), c)
+    box = F.when(F.col("_msg_box").isin(1, 2, 4), F.col("_msg_box") != 1).otherwise(F.raise_error(F.lit("an mms of unknown box")).cast("boolean"))
+    joined = F.filter(F.split(F.coalesce(null(F.col("_address")), F.lit("")), "~"), lambda a: a != "")
+    listed = F.filter(F.coalesce("addrs.addr", F.array().cast("array<struct<_address: string, _type: int>>")), lambda a: null(a["_address"]).isNotNull() & a["_type"].isNotNull())
+    known = F.when(F.size(listed) > 0, F.transform(listed, lambda a: F.struct(phone(a["_address"]).alias("number"), a["_type"].alias("type")))).otherwise(
+        F.transform(joined, lambda a: F.struct(phone(a).alias("number"), F.lit(TO).alias("type")))
+    )
+    rows = rows.withColumn("out", box).withColumn("known", known)
+    mine = phone(F.lit(own)) if own else F.lit(None).cast("string")
+    others = F.array_distinct(F.transform(F.filter("known", lambda a: ~a["number"].eqNullSafe(mine) & ~(F.col("out") & (a["type"] == FROM))), lambda a: a["number"]))
+    sender = F.get(F.filter("known", lambda a: a["type"] == FROM), 0)["number"]
+    names = F.split(null(F.col("_contact_name")), ", ")
+    paired = F.when(F.size(names) == F.size(joined), F.arrays_zip(F.transform(joined, phone).alias("number"), names.alias("name")))
+    rows = rows.withColumns({"others": others, "paired": paired, "sender": F.when(F.col("out") | sender.isNull() | sender.eqNullSafe(mine), "self").otherwise(sender)})
+    rows = rows.withColumn("others", F.when(F.size("others") > 0, F.col("others")).otherwise(F.raise_error(F.lit("an mms that names nobody but its sender"))))
+    alone = F.when((F.size("others") == 1) & F.col("paired").isNull(), null(F.col("_contact_name")))
+    name = lambda number: F.coalesce(F.get(F.filter("paired", lambda p: p["number"] == number), 0)["name"], alone, number)
+    part = F.coalesce("parts.part", F.array().cast(f"array<{_PART}>"))
+    kind = lambda p: F.lower(F.coalesce(p["_ct"], F.lit("application/octet-stream")))
+    said = F.concat(F.array(null(F.col("_sub"))), F.transform(F.filter(part, lambda p: kind(p) == "text/plain"), lambda p: null(p["_text"])))
+    label = lambda p: F.coalesce(null(p["_name"]), null(p["_cl"]), null(p["_fn"]), F.lit("attachment"))
+    content = lambda p: F.coalesce(F.sha2(F.unbase64(null(p["_data"])), 256), F.lit("missing"))
+    files = F.transform(F.filter(part, lambda p: ~kind(p).isin("text/plain", "application/smil")), lambda p: F.concat(F.lit("mms/"), label(p), F.lit("#"), content(p)))
+    single = F.size("others") == 1
+    rows = rows.withColumns({
+        "thread_id": F.when(single, F.concat(F.lit("dm/"), F.get("others", 0))).otherwise(F.concat(F.lit("group/"), F.array_join(F.array_sort("others"), ","))),
+        "text": F.array_join(F.filter(said, lambda t: t.isNotNull()), "\n"), "files": files, "single": single,
+    }).withColumn("held", F.array_join("files", "\x1f"))
+    rows = with_occurrence(rows, ["thread_id", "_date", "out", "text", "held"], ["_date"])
+    return canonical(
+        rows, platform=F.lit("sms"), thread_id=F.col("thread_id"), thread_kind=F.when(F.col("single"), "dm").otherwise("group"), title=F.array_join(F.transform("others", name), ", "),
+        uid=F.coalesce(F.concat(F.lit("mms/"), null(F.col("_m_id"))), derived_uid("mms", "_date", "out", "text", "held")), sender_id=F.col("sender"),
+        sender_name=F.when(F.col("sender") != "self", name(F.col("sender"))), kind=F.lit("message"), text=F.col("text"), sent_at_unix=F.floor(F.col("_date") / 1000).cast("long"), media=F.col("files"),
+    )
+
+
+def backup(spark: SparkSession, path: str, own: str | None = None) -> DataFrame:
+    """All records of a backup, sms and mms."""
+    return sms(spark, path).unionByName(mms(spark, path, own))
