@@ -73,3 +73,48 @@ def owner_candidates(lines: DataFrame, limit: int = 5) -> DataFrame:
     """Senders by the chats they are in, their lines and their names. lines: thread_id, sender."""
     rows = lines.groupBy("sender").agg(F.count_distinct("thread_id").alias("chats"), F.count("*").alias("line_count"))
     return rows.orderBy(F.desc("chats"), F.desc("line_count"), "sender").limit(limit)
+
+
+def unmerge(identity: DataFrame, identity_person: DataFrame, person: DataFrame, identity_id: str) -> tuple[DataFrame, DataFrame]:
+    """An identity gets a person of its own, named like it; people left with no identity go, but for the owner.
+
+    The identity that the export itself names as the owner's (confidence ``seed``) can't be taken from its person; an
+    unknown identity raises.
+    """
+    link = identity_person.where(F.col("identity_id") == identity_id).join(identity.select(F.col("id").alias("identity_id"), "display_name"), "identity_id").first()
+    if link is None:
+        raise ValueError(f"no such identity: {identity_id}")
+    if link["confidence"] == "seed":
+        raise ValueError("the owner's own account can't be detached")
+    fresh = f"p:{identity_id}:own"
+    it = F.col("identity_id") == identity_id
+    bridge = identity_person.select("identity_id", F.when(it, fresh).otherwise(F.col("person_id")).alias("person_id"), F.when(it, "manual").otherwise(F.col("confidence")).alias("confidence"))
+    used = bridge.select(F.col("person_id").alias("id")).distinct()
+    people = person.select("id", "display_name", "is_owner").where(F.col("id") != fresh)
+    kept = people.where("is_owner").unionByName(people.where(~F.col("is_owner")).join(used, "id", "left_semi"))
+    return bridge, kept.unionByName(identity.where(F.col("id") == identity_id).select(F.lit(fresh).alias("id"), "display_name", F.lit(False).alias("is_owner")))
+
+
+def rename(person: DataFrame, person_id: str, name: str) -> DataFrame:
+    """A person under another name; a blank name raises."""
+    if not name.strip():
+        raise ValueError("a person needs a name")
+    return person.withColumn("display_name", F.when(F.col("id") == person_id, name).otherwise(F.col("display_name")))
+
+
+def dismiss(dismissed: DataFrame, one: str, other: str) -> DataFrame:
+    """The pair is no longer suggested, whichever is named first; once is enough."""
+    left, right = sorted((one, other))
+    pair = dismissed.sparkSession.createDataFrame([(left, right)], "left_id string, right_id string")
+    return dismissed.select("left_id", "right_id").unionByName(pair).distinct()
+
+
+def restore(dismissed: DataFrame, one: str, other: str) -> DataFrame:
+    """A dismissal taken back."""
+    left, right = sorted((one, other))
+    return dismissed.where(~((F.col("left_id") == left) & (F.col("right_id") == right)))
+
+
+def move_facts(fact: DataFrame, source: str, target: str) -> DataFrame:
+    """Facts after a merge: those about the source are about the target."""
+    return fact.withColumn("subject_person_id", F.when(F.col("subject_person_id") == source, target).otherwise(F.col("subject_person_id")))

@@ -108,3 +108,26 @@ def validate(proposed: DataFrame, now: int) -> DataFrame:
         .when(value_key(F.col("object_text")) == value_key(F.col("predicate")), "restates")
     )
     return proposed.select("id", reason.isNull().alias("accepted"), reason.alias("reason"))
+
+
+def release_from_retracted(fact: DataFrame) -> DataFrame:
+    """Facts that were folded into one that is retracted now stand for themselves again."""
+    gone = fact.where("retracted_at IS NOT NULL").select(F.col("id").alias("merged_into"), F.lit(True).alias("gone"))
+    rows = fact.join(gone, "merged_into", "left")
+    return rows.withColumn("merged_into", F.when(F.col("gone").isNull(), F.col("merged_into"))).select(fact.columns)
+
+
+def retire_sessions(session: DataFrame, artifact: DataFrame, fact: DataFrame, retired: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sessions, artifacts, facts) without retired sessions (session_id).
+
+    Facts extracted from a retired session are retracted at ``now`` unless they are already; what the user wrote stays.
+    Artifacts stay, without a session. artifact: id, session_id; fact: artifact_id beside its own columns.
+    """
+    ids = retired.select("session_id").distinct().withColumn("retired", F.lit(True))
+    marked = artifact.join(ids, "session_id", "left")
+    read = marked.where("retired").select(F.col("id").alias("artifact_id")).distinct().withColumn("lost", F.lit(True))
+    detached = marked.withColumn("session_id", F.when(F.col("retired").isNull(), F.col("session_id"))).select(artifact.columns)
+    rows = fact.join(read, "artifact_id", "left")
+    lost = F.col("lost") & F.col("retracted_at").isNull() & (F.col("source") == "extracted")
+    rows = rows.withColumn("retracted_at", F.when(lost, F.lit(now).cast("long")).otherwise(F.col("retracted_at"))).select(fact.columns)
+    return session.join(ids, "session_id", "left_anti"), detached, release_from_retracted(rows)

@@ -68,7 +68,7 @@ TABLES: dict[str, str] = {
     # one row for each order line
     "line": """
         SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity, min(l_discount) AS l_discount,
-               min(l_linestatus) AS l_linestatus, min(l_returnflag) AS l_returnflag FROM {lineitem} WHERE l_orderkey < 4000 GROUP BY l_orderkey, l_linenumber""",
+               min(l_linestatus) AS l_linestatus, min(l_returnflag) AS l_returnflag FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "fact": """
         SELECT concat('f', CAST(l_orderkey * 10 + l_linenumber AS STRING)) AS id, concat('p:', CAST(l_suppkey % 40 AS STRING)) AS subject_person_id,
                CASE l_linenumber % 4 WHEN 0 THEN 'works_at' WHEN 1 THEN 'lives_in' WHEN 2 THEN 'likes' ELSE 'owns' END AS predicate,

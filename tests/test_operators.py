@@ -81,3 +81,37 @@ def test_fold_roots_follow_chains_and_drop_dangling_ones(spark):
 def test_owner_needs_two_threads(spark):
     roster = spark.createDataFrame([("s", "1", "me"), ("s", "1", "x"), ("s", "2", "me"), ("t", "3", "me")], "source_id string, thread_id string, member string")
     assert [tuple(r) for r in entity.infer_owner(roster).collect()] == [("s", "me")]
+
+
+def test_retired_sessions_lose_their_extracted_facts(spark):
+    from missive.operators import facts
+
+    session = spark.createDataFrame([("s1",), ("s2",)], "session_id string")
+    artifact = spark.createDataFrame([("a1", "s1"), ("a2", "s2"), ("a3", None)], "id string, session_id string")
+    rows = [("f1", "a1", "extracted", None, None), ("f2", "a1", "user_edited", None, None), ("f3", "a2", "extracted", None, "f1"), ("f4", None, "extracted", None, "f2"), ("f5", "a1", "extracted", 3, None)]
+    fact = spark.createDataFrame(rows, "id string, artifact_id string, source string, retracted_at long, merged_into string")
+    left, detached, after = facts.retire_sessions(session, artifact, fact, session.where("session_id = 's1'"), 9)
+    assert [r[0] for r in left.collect()] == ["s2"] and sorted(map(tuple, detached.collect()), key=str) == [("a1", None), ("a2", "s2"), ("a3", None)]
+    assert {r.id: (r.retracted_at, r.merged_into) for r in after.collect()} == {"f1": (9, None), "f2": (None, None), "f3": (None, None), "f4": (None, "f2"), "f5": (3, None)}
+
+
+def test_unmerge_rename_dismiss(spark):
+    import pytest
+
+    from missive.operators import entity
+
+    identity = spark.createDataFrame([("i1", "Ann"), ("i2", "Annie"), ("i0", "Me")], "id string, display_name string")
+    bridge = spark.createDataFrame([("i1", "p1", "auto"), ("i2", "p1", "manual"), ("i0", "p0", "seed")], "identity_id string, person_id string, confidence string")
+    person = spark.createDataFrame([("p1", "Ann", False), ("p0", "Me", True)], "id string, display_name string, is_owner boolean")
+    links, people = entity.unmerge(identity, bridge, person, "i2")
+    assert {r.identity_id: r.person_id for r in links.collect()} == {"i1": "p1", "i2": "p:i2:own", "i0": "p0"}
+    assert {r.id: r.display_name for r in people.collect()} == {"p1": "Ann", "p0": "Me", "p:i2:own": "Annie"}
+    for bad in ("i0", "i9"):
+        with pytest.raises(ValueError):
+            entity.unmerge(identity, bridge, person, bad)
+    assert {r.display_name for r in entity.rename(person, "p1", "Zoe").collect()} == {"Zoe", "Me"}
+    none = spark.createDataFrame([], "left_id string, right_id string")
+    twice = entity.dismiss(entity.dismiss(none, "b", "a"), "a", "b")
+    assert [tuple(r) for r in twice.collect()] == [("a", "b")] and entity.restore(twice, "b", "a").isEmpty()
+    moved = entity.move_facts(spark.createDataFrame([("f", "p1"), ("g", "p2")], "id string, subject_person_id string"), "p1", "p2")
+    assert {r.subject_person_id for r in moved.collect()} == {"p2"}
