@@ -25,6 +25,8 @@ from .common import table, text_chunks
 
 #: Pre-tokens whose counts a worker remembers; beyond that it forgets all and starts anew (a memo, not a limit).
 MEMO = 400_000
+#: Characters outside the blocks where Python's Unicode tables and the tokenizer's give the same NFC, case and classes.
+OTHER = re.compile("[^\x00-\u06ff\u1e00-\u2bff\u3000-\u9fff\uac00-\ud7a3\uff00-\uffef\U0001f000-\U0001f64f]")
 NO_RANK = np.iinfo(np.int64).max
 
 
@@ -101,6 +103,28 @@ class ArrayMerger:
         return result
 
 
+@functools.cache
+def library_normalizer():
+    """NFC and lower case by the tables of the tokenizers library, some of which are older and some newer."""
+    from tokenizers import normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
+@functools.cache
+def library_splitter():
+    """The pre-token pattern by the classes of the tokenizers library."""
+    from tokenizers import Regex, pre_tokenizers
+
+    return pre_tokenizers.Split(Regex(pretokens.WORD_BPE.pattern), behavior="removed", invert=True)
+
+
+def pre_tokens(lowered: str) -> list[str]:
+    if OTHER.search(lowered):
+        return [piece for piece, _ in library_splitter().pre_tokenize_str(lowered)]
+    return pretokens.WORD_BPE.findall(lowered)
+
+
 class WordBpeCounter:
     """Tokens of whole texts for word_bpe_49k: NFC, one blank for white space, lower case, merges with word ends.
 
@@ -116,6 +140,8 @@ class WordBpeCounter:
     def lowered(text: str) -> str:
         if text.isascii():
             return text.lower()
+        if OTHER.search(text):
+            return library_normalizer().normalize_str(text)
         text = unicodedata.normalize("NFC", text)
         # lower() looks at the neighbours of a capital sigma, the tokenizer doesn't
         return text.replace("Σ", "σ").lower()
@@ -124,7 +150,7 @@ class WordBpeCounter:
         text = self.lowered(text)
         if not pretokens.SEPARATORS.search(text):
             return text.split()
-        return pretokens.WORD_BPE.findall(text)
+        return pre_tokens(text)
 
     def pieces(self, text: str) -> tuple[int, list[str]]:
         if self.special is None or "<|" not in text:
@@ -133,7 +159,7 @@ class WordBpeCounter:
         return len(parts) - 1, [w for part in parts for w in self.words(part)]
 
     def learn(self, words: list[str]) -> None:
-        cut = [pretokens.WORD_BPE.findall(w) for w in words]
+        cut = [pre_tokens(w) for w in words]
         parts = list({p for c in cut for p in c})
         counts = dict(zip(parts, self.merger.counts([p.encode("utf-8") for p in parts]).tolist(), strict=True))
         self.memo.update((w, sum(map(counts.__getitem__, c))) for w, c in zip(words, cut, strict=True))
