@@ -57,8 +57,9 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 #: Every known sentence holds one of these, whatever its case; other lines need not be cut.
 HINT = r"(?i)licen[cs]e|permission|redistribut|warranty|copyright|public domain|rights reserved|compliance"
-#: Ends of sentences inside a line.
+#: Ends of sentences inside a line, and the same for Spark: a run of marks is tried once, at its first mark.
 ENDS = r"[.!?;]+[ \t]+"
+ENDS_ONCE = r"(?<![.!?;])[.!?;]++[ \t]+"
 
 
 def normalised(sentence: Column) -> Column:
@@ -70,7 +71,7 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for name, forms in SENTENCES.items() for form in forms for x in (form, name)])
     lines = F.filter(F.split(text, "[\r\n]+"), lambda line: line.rlike(HINT))
-    sentences = F.flatten(F.transform(lines, lambda line: F.split(line, ENDS)))
+    sentences = F.flatten(F.transform(lines, lambda line: F.split(line, ENDS_ONCE)))
     return F.filter(F.transform(sentences, lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull())
 
 
