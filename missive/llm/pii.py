@@ -11,8 +11,10 @@ aggregated before anything reaches the driver. What the strict patterns find sta
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,15 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-# Wider patterns of candidates.
+# The same matches in time linear in the text: e-mail addresses are sought from their @, and a run of digits is tried
+# for an address of the internet at its first digit only.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP_RUN = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+
+# Wider patterns of candidates; that of e-mail addresses begins where the local part ends.
+SPELLED_AT = re.compile(r"(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?[A-Za-z0-9-]+)+")
 WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9A-Za-z])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9A-Za-z])"),
     "phone": re.compile(r"(?<![0-9A-Za-z+])(?:\([0-9]{2,4}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9A-Za-z])"),
@@ -71,25 +79,53 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
-_EMAIL_CHARS = re.compile(r"[A-Za-z0-9._%+@-]*")
+def _local_start(text: str, begin: int, end: int) -> int:
+    """Where the run of characters of local parts that ends at ``end`` starts, ``begin`` at the earliest."""
+    while end > begin and text[end - 1] in LOCAL:
+        end -= 1
+    return end
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
-    """All matches of EMAIL; only runs of its characters that hold an @ are searched."""
+    """All matches of EMAIL. No local part holds an @, so the leftmost match before one starts its run of characters."""
+    end, at = 0, text.find("@")
+    while at >= 0:
+        start = _local_start(text, end, at)
+        if start < at and (m := AT_DOMAIN.match(text, at)):
+            end = m.end()
+            yield start, end
+        else:
+            end = at + 1  # a later match can't reach over this @
+        at = text.find("@", end)
+
+
+def _spelled_emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses whose @ is written out, with at most one blank before it."""
     end = 0
-    while (at := text.find("@", end)) >= 0:
-        begin = at
-        while begin > end and _EMAIL_CHARS.fullmatch(text[begin - 1]):
-            begin -= 1
-        end = _EMAIL_CHARS.match(text, at).end()
-        for m in EMAIL.finditer(text, begin, end):
-            yield m.span()
+    for m in SPELLED_AT.finditer(text):
+        last = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        if (start := _local_start(text, end, max(last, end))) < last:
+            end = m.end()
+            yield start, end
+
+
+def _wide(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    if kind == "email":
+        yield from _spelled_emails(text)
+    else:
+        yield from (m.span() for m in WIDE[kind].finditer(text))
+
+
+def _part(digits: str) -> int:
+    """The value of a part of an internet address, as far as it matters whether that is at most 255."""
+    digits = digits.lstrip("0")
+    return int(digits or "0") if len(digits) <= 3 else 256
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """What the strict patterns find, by kind and then by start; leftmost, not overlapping inside a kind."""
     found = [("email", a, b) for a, b in _emails(text)]
-    found += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    found += [("ip", *m.span()) for m in IP_RUN.finditer(text) if all(_part(p) <= 255 for p in m.group().split("."))]
     for m in CARD.finditer(text):
         if 16 <= len(digits := _digits(m.group())) <= 19 and luhn(digits):
             found.append(("card", *m.span()))
@@ -130,12 +166,15 @@ def candidates(text: str) -> list[Candidate]:
     """Strict and wide spans with their votes; wide ones that touch a strict one are left out."""
     base = base_spans(text)
     spans = [(k, a, b, True) for k, a, b in base]
-    for kind, pattern in WIDE.items():
-        for m in pattern.finditer(text):
-            if kind == "card" and not luhn(_digits(m.group())):
+    for kind in KINDS:
+        starts = sorted(a for _, a, _, _ in spans)
+        reach = list(accumulate((b for _, _, b, _ in sorted(spans, key=lambda s: s[1])), max))  # the furthest end so far
+        for a, b in _wide(kind, text):
+            if kind == "card" and not luhn(_digits(text[a:b])):
                 continue
-            if not any(a < m.end() and m.start() < b for _, a, b, _ in spans):
-                spans.append((kind, *m.span(), False))
+            before = bisect_left(starts, b)
+            if not before or reach[before - 1] <= a:
+                spans.append((kind, a, b, False))
     out = []
     for kind, a, b, strict in spans:
         span = text[a:b]
