@@ -45,6 +45,19 @@ def test_token_counts_equal_the_library(docs, empty):
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def test_token_counts_of_rare_characters():
+    """Characters that Python's Unicode tables class, compose or lower in another way than the library's."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, counter = Tokenizer.from_file(path), token_counts.WordBpeCounter(path)
+    rng = random.Random(9)
+    rare = [chr(c) for c in (0x898, 0x1C89, 0xA7CB, 0xA7DC, 0xC3C, 0x1715, 0x10D50, 0x1C5F0, 0x24F0, 0x1680, 0x1C, 0xE9, 0x323, 0x41, 0x20)]
+    texts = ["".join(rng.choice(rare + [chr(rng.randrange(0xE000, 0x20000))]) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    assert counter(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_license_rules(spark, empty):
     mit = "The MIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nThe software is provided \"as is\", without warranty of any kind, express or implied"
     rows = [(1, "x\nLicensed under CC BY-NC 4.0. Released under the MIT License.\ny"), (2, mit), (3, None), (4, ""), (5, "a license, but which?")]
@@ -174,6 +187,22 @@ def test_base_spans_equal_plain_patterns():
         assert [f"{k}:{a}:{b}" for k, a, b in pii.base_spans(t)] == brute_spans(t), t
 
 
+def test_spans_of_long_runs_take_linear_time():
+    n = 200_000
+    for text in ("1" * n, "a" * n, "a" * n + "@", "1." * n, "a@" * n, "a [at] " * (n // 4), "0" * 5000 + ".1.1.1"):
+        assert len(pii.candidates(text)) == (text.startswith("0") or (n // 4 if text.startswith("1.") else 0)), text[:10]
+    assert len(pii.candidates("a@b.co " * 20_000 + "(555) 123-4567 " * 3000)) == 23_000
+
+
+def test_spelled_addresses_equal_a_plain_pattern():
+    plain = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:" + pii.SPELLED_AT.pattern + ")")
+    rng = random.Random(3)
+    parts = ["bob", " ", "[at]", "(at)", "{at}", "[dot]", " [dot] ", ".", "x.org", "-", "_", "é", "a [at] b.c"]
+    for _ in range(3000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        assert list(pii._spelled_emails(t)) == [m.span() for m in plain.finditer(t)], t
+
+
 def test_pii(spark, docs, empty):
     got = {r.doc_id: r for r in pii.digest(pii.find_pii(docs)).collect()}
     row = got[8]
