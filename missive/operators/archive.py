@@ -205,3 +205,16 @@ def dataset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
         F.count_if(F.col("right_id").isNull() & inside).alias("left_only"), F.count_if(F.col("left_id").isNull() & inside).alias("right_only"),
     )
     return out.withColumn("clean", F.expr("shared > 0 AND differ = 0 AND left_only = 0 AND right_only = 0"))
+
+
+def owner_accounts(person: DataFrame, identity_person: DataFrame, identity: DataFrame) -> DataFrame:
+    """The owner's name with each account; one row without an account where there is none."""
+    accounts = identity_person.join(identity.select(F.col("id").alias("identity_id"), "platform", "handle"), "identity_id")
+    owner = person.where("is_owner").select(F.col("id").alias("person_id"), F.col("display_name").alias("owner"))
+    return owner.join(accounts.select("person_id", "platform", "handle"), "person_id", "left").select("owner", "platform", "handle")
+
+
+def backup(tables: dict[str, DataFrame], folder: str) -> None:
+    """Writes each table into a folder of its own; refuses where one is there already."""
+    for name, table in tables.items():
+        table.write.mode("errorifexists").parquet(f"{folder}/{name}")

@@ -70,3 +70,35 @@ def excerpt_budget(least: int = SHARE_LEAST, total: int = SHARE_TOTAL) -> Callab
 def excerpts(lines: DataFrame) -> DataFrame:
     """lines: person_id, session_id, id, sent_at_unix, length; only numbers travel, one person's window at a time."""
     return lines.groupBy("person_id").applyInPandas(excerpt_budget(), "person_id string, session_id string, id long")
+
+
+def plan_months(months: DataFrame, busy: DataFrame, unread: DataFrame, prompt: str) -> DataFrame:
+    """Months to write, with the hash of what they are written from; people at work and months with unread sessions wait.
+
+    months: person_id, month, messages, hash (of the month's facts); busy: person_id; unread: person_id, month.
+    """
+    rows = months.join(busy.select("person_id").distinct(), "person_id", "left_anti")
+    rows = rows.join(unread.select("person_id", "month").distinct(), ["person_id", "month"], "left_anti")
+    made_of = F.concat_ws("|", F.lit(prompt), F.coalesce("hash", F.lit("")), F.col("messages").cast("string"))
+    return rows.select("person_id", "month", F.sha2(made_of, 256).alias("input_hash"))
+
+
+def plan_years(written: DataFrame, least: int = 2) -> DataFrame:
+    """Years with enough written months. written: person_id, month."""
+    rows = written.select("person_id", F.substring("month", 1, 4).alias("year"), "month").distinct()
+    return rows.groupBy("person_id", "year").agg(F.count("*").alias("months")).where(F.col("months") >= least)
+
+
+def plan_profiles(fact: DataFrame, busy_years: DataFrame, least: int = 3) -> DataFrame:
+    """People with enough live facts and no year at work. fact: live ones, subject_person_id; busy_years: person_id."""
+    rows = fact.groupBy(F.col("subject_person_id").alias("person_id")).agg(F.count("*").alias("facts")).where(F.col("facts") >= least)
+    return rows.join(busy_years.select("person_id").distinct(), "person_id", "left_anti")
+
+
+def valid_sentences(sentence: DataFrame, citation: DataFrame, window: DataFrame, most: int = 500) -> DataFrame:
+    """Sentences that aren't too long and cite only messages of their window.
+
+    sentence: sentence_id, text; citation: sentence_id, message_id; window: message_id.
+    """
+    astray = citation.join(window.select("message_id").distinct(), "message_id", "left_anti").select("sentence_id")
+    return sentence.where(F.length("text") <= most).join(astray, "sentence_id", "left_anti").select("sentence_id")

@@ -131,3 +131,38 @@ def retire_sessions(session: DataFrame, artifact: DataFrame, fact: DataFrame, re
     lost = F.col("lost") & F.col("retracted_at").isNull() & (F.col("source") == "extracted")
     rows = rows.withColumn("retracted_at", F.when(lost, F.lit(now).cast("long")).otherwise(F.col("retracted_at"))).select(fact.columns)
     return session.join(ids, "session_id", "left_anti"), detached, release_from_retracted(rows)
+
+
+def edit(fact: DataFrame, citation: DataFrame, fact_id: str, text: str, new_id: str) -> tuple[DataFrame, DataFrame]:
+    """A user's wording as a fact of its own, certain, with copies of the citations; the old fact and what was folded into
+    it are folded into the new one. Without such a fact there is no new one."""
+    is_old = F.col("id") == fact_id
+    new = fact.where(is_old).select([
+        {"id": F.lit(new_id), "object_text": F.lit(text), "confidence": F.lit(1.0), "source": F.lit("user_edited"), "merged_into": F.lit(None)}.get(c, F.col(c)).cast(fact.schema[c].dataType).alias(c)
+        for c in fact.columns
+    ])
+    pointed = F.when(is_old | F.coalesce(F.col("merged_into") == fact_id, F.lit(False)), F.lit(new_id)).otherwise(F.col("merged_into"))
+    there = fact.where(is_old).select(F.col("id").alias("old_id"))
+    copies = citation.join(there, citation["fact_id"] == F.col("old_id"), "left_semi").withColumn("fact_id", F.lit(new_id))
+    kept = fact.withColumn("merged_into", pointed)
+    return kept.unionByName(new), citation.unionByName(copies)
+
+
+def delete(fact: DataFrame, fact_id: str, now: int) -> DataFrame:
+    """Buries a fact and all that is folded into it; an earlier retraction keeps its time."""
+    gone = (F.col("id") == fact_id) | F.coalesce(F.col("merged_into") == fact_id, F.lit(False))
+    retracted = F.when(gone, F.coalesce("retracted_at", F.lit(now).cast("long"))).otherwise(F.col("retracted_at"))
+    return fact.withColumn("retracted_at", retracted).withColumn("source", F.when(gone, F.lit("user_deleted")).otherwise(F.col("source")))
+
+
+def lost(extract: DataFrame, fact: DataFrame) -> DataFrame:
+    """Sessions whose latest extract names more facts than are stored, the user's own aside.
+
+    extract: session_id, created_unix, id, payload (JSON with a number ``facts``); fact: session_id, source.
+    """
+    latest = extract.groupBy("session_id").agg(F.max_by("payload", F.struct("created_unix", "id")).alias("payload"))
+    named = F.coalesce(F.get_json_object("payload", "$.facts").try_cast("long"), F.lit(0))
+    stored = fact.where("source <> 'user_edited'").groupBy("session_id").agg(F.count("*").alias("stored"))
+    rows = latest.select("session_id", named.alias("named")).join(stored, "session_id", "left")
+    rows = rows.select("session_id", "named", F.coalesce("stored", F.lit(0)).alias("stored"))
+    return rows.where("named > stored")

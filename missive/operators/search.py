@@ -144,3 +144,11 @@ def snippets(documents: DataFrame, query: str) -> DataFrame:
             yield pd.DataFrame({"id": rows["id"], "runs": runs})
 
     return documents.select("id", "body").mapInPandas(run, "id long, runs array<struct<text: string, is_match: boolean>>")
+
+
+def hydrate(hits: DataFrame, message: DataFrame, most: int = 200) -> DataFrame:
+    """Hits (message_id) with their message's thread, sender, time and the beginning of its text."""
+    text = F.col("plaintext")
+    snippet = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+    rows = message.select(F.col("id").alias("message_id"), "thread_id", "sender_identity_id", "sent_at_unix", snippet.alias("snippet"))
+    return hits.join(rows, "message_id", "left")

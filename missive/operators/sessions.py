@@ -94,3 +94,12 @@ def session_text(members: DataFrame, keys: list[str], most: int = 4000) -> DataF
     ordered = F.array_sort(F.collect_list(F.struct("sent_at_unix", "id", line.alias("line"))))
     rows = members.groupBy(keys).agg(ordered.alias("all"))
     return rows.select(*keys, F.substring(F.array_join(F.transform("all", lambda x: x["line"]), ""), 1, most).alias("text"))
+
+
+def eligible(session: DataFrame, thread: DataFrame, participant: DataFrame, identity_person: DataFrame, person: DataFrame) -> DataFrame:
+    """Substantive sessions (``substantive``) of threads that are not excluded, nor direct ones with an excluded person."""
+    excluded = person.where("ai_excluded").select(F.col("id").alias("person_id"))
+    theirs = participant.join(identity_person, "identity_id").join(excluded, "person_id", "left_semi").select("thread_id")
+    barred = thread.where("kind = 'dm'").select(F.col("id").alias("thread_id")).join(theirs, "thread_id", "left_semi")
+    barred = barred.unionByName(thread.where("ai_excluded").select(F.col("id").alias("thread_id")))
+    return session.where("substantive").join(barred, "thread_id", "left_anti")

@@ -74,3 +74,24 @@ def representative(members: DataFrame, words: list[str], key: str) -> DataFrame:
     hits = sum((F.when(F.contains(F.lower("plaintext"), F.lit(w.lower())), 1).otherwise(0) for w in words if len(w) >= 3), F.lit(0))
     place = F.row_number().over(Window.partitionBy(key).orderBy(hits.desc(), F.length("plaintext").desc(), "id"))
     return members.withColumn("place", place).where("place = 1").select(key, F.col("id").alias("message_id"))
+
+
+def pending(session: DataFrame, embedding: DataFrame, version: str) -> DataFrame:
+    """Sessions whose vector is missing or was made of other members or by another version.
+
+    session: session_id, thread_id, member_hash, ended_at_unix; embedding: session_id, input_hash.
+    """
+    wanted = session.withColumn("input_hash", F.concat_ws("|", "member_hash", F.lit(version)))
+    return wanted.join(embedding.select("session_id", "input_hash"), ["session_id", "input_hash"], "left_anti").select(session.columns)
+
+
+def threads_pending(pending_sessions: DataFrame) -> DataFrame:
+    """Threads with pending sessions, the hash of those and when the last one ended."""
+    parts = F.sort_array(F.collect_list(F.concat_ws(":", "session_id", "member_hash")))
+    rows = pending_sessions.groupBy("thread_id").agg(F.sha2(F.array_join(parts, "\n"), 256).alias("input_hash"), F.max("ended_at_unix").alias("last_unix"))
+    return rows.select("thread_id", "input_hash", "last_unix")
+
+
+def clear_unused(embedding: DataFrame, configured: str, active: str | None) -> DataFrame:
+    """What stays when vectors of models that are neither configured nor active go."""
+    return embedding.where(F.col("model").isin([m for m in (configured, active) if m is not None]))

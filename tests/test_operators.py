@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from missive.functions.text import similar
-from missive.operators import archive, entity, facts, ingest, jobs, search, sessions
+from missive.operators import archive, entity, facts, ingest, jobs, media, search, sessions
 
 
 def messages(spark, rows):
@@ -115,3 +115,41 @@ def test_unmerge_rename_dismiss(spark):
     assert [tuple(r) for r in twice.collect()] == [("a", "b")] and entity.restore(twice, "b", "a").isEmpty()
     moved = entity.move_facts(spark.createDataFrame([("f", "p1"), ("g", "p2")], "id string, subject_person_id string"), "p1", "p2")
     assert {r.subject_person_id for r in moved.collect()} == {"p2"}
+
+
+def test_edited_and_deleted_facts_take_what_was_folded_into_them_along(spark):
+    rows = [("a", "old", 0.5, "extracted", None, None), ("b", "older", 0.4, "extracted", "a", 7), ("c", "else", 0.3, "extracted", None, None)]
+    fact = spark.createDataFrame(rows, "id string, object_text string, confidence double, source string, merged_into string, retracted_at long")
+    citation = spark.createDataFrame([("a", 1), ("c", 2)], "fact_id string, message_id long")
+    edited, cited = facts.edit(fact, citation, "a", "new", "n")
+    assert {r.id: (r.object_text, r.confidence, r.source, r.merged_into) for r in edited.collect()} == {
+        "a": ("old", 0.5, "extracted", "n"), "b": ("older", 0.4, "extracted", "n"), "c": ("else", 0.3, "extracted", None), "n": ("new", 1.0, "user_edited", None)
+    }
+    assert sorted(map(tuple, cited.collect())) == [("a", 1), ("c", 2), ("n", 1)]
+    assert facts.edit(fact, citation, "none", "new", "n")[0].count() == 3
+    deleted = {r.id: (r.source, r.retracted_at) for r in facts.delete(fact, "a", 9).collect()}
+    assert deleted == {"a": ("user_deleted", 9), "b": ("user_deleted", 7), "c": ("extracted", None)}
+
+
+def test_lost_facts_read_the_latest_extract_only(spark):
+    extract = spark.createDataFrame([("s", 1, 1, '{"facts": 9}'), ("s", 2, 2, '{"facts": 1}'), ("t", 1, 3, '{"facts": 2}'), ("u", 1, 4, "no json"), ("v", 1, 5, None)], "session_id string, created_unix long, id long, payload string")
+    fact = spark.createDataFrame([("s", "extracted"), ("t", "extracted"), ("t", "user_edited")], "session_id string, source string")
+    assert [tuple(r) for r in facts.lost(extract, fact).collect()] == [("t", 2, 1)]
+
+
+def test_media_by_size_kind_and_newest_reading(spark):
+    schema = "media_id long, message_id long, kind string, byte_size long, sent_at_unix long"
+    rows = [(1, 10, "photo", 5 << 20, 50), (1, 11, "photo", 5 << 20, 40), (2, 12, "photo", (5 << 20) + 1, 40), (3, 13, "file", 1, 40), (4, 14, None, None, 40), (5, 15, "voice", 6 << 20, 40)]
+    reference = spark.createDataFrame(rows, schema)
+    readings = spark.createDataFrame([(5, "m", "p"), (1, "m", "other")], "media_id long, model string, prompt string")
+    assert [tuple(r) for r in media.pending(reference, readings, "m", "p").collect()] == [(1, 50)]
+    assert sorted(map(tuple, media.anchors(reference).collect())) == [(1, 11), (5, 15)]
+    texts = spark.createDataFrame([(1, 1, "a"), (1, 2, " "), (2, 1, ""), (2, 2, "b"), (3, 1, None)], "media_id long, id long, text string")
+    assert [tuple(r) for r in media.searchable(texts).collect()] == [(2, 2, "b")]
+
+
+def test_backup_refuses_to_overwrite(spark, tmp_path):
+    archive.backup({"t": spark.range(3)}, str(tmp_path / "copy"))
+    assert spark.read.parquet(str(tmp_path / "copy/t")).count() == 3
+    with pytest.raises(Exception, match="(?i)exists"):
+        archive.backup({"t": spark.range(3)}, str(tmp_path / "copy"))
