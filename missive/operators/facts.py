@@ -166,3 +166,35 @@ def lost(extract: DataFrame, fact: DataFrame) -> DataFrame:
     rows = latest.select("session_id", named.alias("named")).join(stored, "session_id", "left")
     rows = rows.select("session_id", "named", F.coalesce("stored", F.lit(0)).alias("stored"))
     return rows.where("named > stored")
+
+
+def known_facts(live: DataFrame, people: DataFrame, limit: int = 40) -> DataFrame:
+    """What is known of some people (person_id), the most certain first."""
+    rows = live.join(people.select(F.col("person_id").alias("subject_person_id")).distinct(), "subject_person_id", "left_semi")
+    return rows.orderBy(F.desc("confidence"), "id").limit(limit)
+
+
+def window_people(participant: DataFrame, identity_person: DataFrame, person: DataFrame, thread_id: str) -> DataFrame:
+    """The people of a thread and the owner, each once."""
+    there = participant.where(F.col("thread_id") == thread_id).join(identity_person, "identity_id").select("person_id")
+    return there.unionByName(person.where("is_owner").select(F.col("id").alias("person_id"))).distinct()
+
+
+def commit(fact: DataFrame, proposed: DataFrame, sessions: DataFrame, now: int) -> DataFrame:
+    """The facts after the extraction of ``sessions`` (session_id) proposed new ones.
+
+    Extracted facts of earlier runs over these sessions are retracted. A proposal gives way to what the user said: it is
+    left out where an edited or deleted fact has its subject, predicate and value, whatever its case. A fact that a
+    proposal supersedes ends when that begins (the earliest of several), unless it has ended already.
+    Both tables: id, session_id, subject_person_id, predicate, object_text, valid_from, valid_to, retracted_at, source;
+    proposed also: supersedes.
+    """
+    key = ["subject_person_id", "predicate", "value"]
+    verdict = fact.where(F.col("source").isin("user_edited", "user_deleted")).withColumn("value", F.lower("object_text")).select(key).distinct()
+    new = proposed.withColumn("value", F.lower("object_text")).join(verdict, key, "left_anti").select(proposed.columns)
+    ends = new.where(F.col("supersedes").isNotNull()).groupBy(F.col("supersedes").alias("id")).agg(F.min("valid_from").alias("ends"))
+    read = sessions.select("session_id", F.lit(True).alias("again")).distinct()
+    rows = fact.join(read, "session_id", "left").join(ends, "id", "left")
+    gone = F.coalesce("again", F.lit(False)) & (F.col("source") == "extracted")
+    rows = rows.withColumn("retracted_at", F.when(gone, F.coalesce("retracted_at", F.lit(now).cast("long"))).otherwise(F.col("retracted_at")))
+    return rows.withColumn("valid_to", F.coalesce("valid_to", "ends")).select(fact.columns).unionByName(new.select(fact.columns))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def content_hash(*columns: str):
@@ -74,3 +78,43 @@ def participants(message: DataFrame, stored: DataFrame) -> DataFrame:
     """New participants of threads with when they were first seen."""
     rows = message.groupBy("thread_id", F.col("sender_identity_id").alias("identity_id")).agg(F.min("sent_at_unix").alias("first_seen_unix"))
     return rows.join(stored.select("thread_id", "identity_id"), ["thread_id", "identity_id"], "left_anti")
+
+
+def known_uids(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    return wanted.select("uid").distinct().join(stored.select("uid"), "uid", "left_semi")
+
+
+def source_of(chat: DataFrame, platform: str) -> DataFrame:
+    """The source that has most chats of a platform, the first by name of equals. chat: platform, source_id, chat_id."""
+    rows = chat.where(F.col("platform") == platform).groupBy("source_id").agg(F.count_distinct("chat_id").alias("chats"))
+    return rows.orderBy(F.desc("chats"), "source_id").limit(1)
+
+
+@F.pandas_udf(StringType())
+def canonical_json(texts: pd.Series) -> pd.Series:
+    """JSON without its white space, keys in the order given; what is no JSON stays as it is."""
+
+    def one(text: str | None) -> str | None:
+        if text is None:
+            return None
+        try:
+            return json.dumps(json.loads(text), separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            return text
+
+    return texts.map(one)
+
+
+def reconcile(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Stored bodies that a batch replaces, as revisions: uid, content_hash, text, service_action, entities as they were.
+
+    A body whose hash differs is the same if its text, service action and entities (as canonical JSON) are. Only rows
+    whose hash differs reach Python.
+    """
+    fields = ["text", "service_action", "entities"]
+    new = batch.select("uid", *[F.col(c).alias(f"new_{c}") for c in ["content_hash", *fields]])
+    both = stored.join(new, "uid").where(~F.col("content_hash").eqNullSafe(F.col("new_content_hash")))
+    plain = F.col("text").eqNullSafe(F.col("new_text")) & F.col("service_action").eqNullSafe(F.col("new_service_action"))
+    same = canonical_json("entities").eqNullSafe(canonical_json("new_entities"))
+    both = both.withColumn("_plain", plain).withColumn("_same", same)
+    return both.where(~(F.col("_plain") & F.col("_same"))).select("uid", "content_hash", *fields)

@@ -70,3 +70,30 @@ def prune(log: DataFrame, now: int, keep: int = LOG_ROWS) -> DataFrame:
 def next_per_kind(queue: DataFrame, each: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("priority"), "id"))
     return queue.where("state = 'pending'").withColumn("place", place).where(F.col("place") <= each).select("kind", "id", F.col("place").cast("long").alias("place"))
+
+
+def cursors(state: DataFrame) -> DataFrame:
+    """The latest cursor of each (source_id, scope). state: also id (order of writing) and cursor."""
+    return state.groupBy("source_id", "scope").agg(F.max_by("cursor", "id").alias("cursor"))
+
+
+def revive(queue: DataFrame, kind: str, artifact: DataFrame) -> DataFrame:
+    """Done jobs of a kind whose artifact (subject_id) is gone are pending again, with all their attempts."""
+    there = artifact.select("subject_id", F.lit(True).alias("there")).distinct()
+    rows = queue.join(there, "subject_id", "left")
+    again = (F.col("kind") == kind) & (F.col("state") == "done") & F.col("there").isNull()
+    return rows.withColumn("attempts", F.when(again, 0).otherwise(F.col("attempts")).cast("long")).withColumn("state", F.when(again, "pending").otherwise(F.col("state"))).drop("there")
+
+
+def exclude(table: DataFrame, ids: list[str], excluded: bool = True) -> DataFrame:
+    """Threads or people (id, ai_excluded) with the flag of some of them set or taken back."""
+    return table.withColumn("ai_excluded", F.when(F.col("id").isin(ids), F.lit(excluded)).otherwise(F.col("ai_excluded")))
+
+
+def forget(derived: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """How many rows of each derived table go, and the tables without them."""
+    sizes = [t.agg(F.lit(name).alias("name"), F.count("*").alias("rows")) for name, t in derived.items()]
+    total = sizes[0]
+    for size in sizes[1:]:
+        total = total.unionByName(size)
+    return total, {name: t.where(F.lit(False)) for name, t in derived.items()}

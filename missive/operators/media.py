@@ -39,3 +39,17 @@ def searchable(reading: DataFrame) -> DataFrame:
     order = Window.partitionBy("media_id").orderBy(F.desc("id"))
     newest = reading.withColumn("place", F.row_number().over(order)).where("place = 1")
     return newest.where(F.length(F.trim("text")) > 0).select("media_id", "id", "text")
+
+
+def stored_files(files: DataFrame) -> DataFrame:
+    """Files (path, content) by the hash of their content, each content once: hash, stored_path, byte_size, content.
+
+    ``files`` is what Spark's binaryFile source reads (it leaves empty files out). The first file by path gives the ending; the content of the others
+    is not sent on.
+    """
+    ending = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]{1,10})$", 1))
+    rows = files.select("path", F.sha2("content", 256).alias("hash"), ending.alias("ending"), F.octet_length("content").cast("long").alias("byte_size"))
+    first = rows.groupBy("hash").agg(F.min(F.struct("path", "ending", "byte_size")).alias("f"))
+    address = F.concat_ws("/", F.substring("hash", 1, 2), F.substring("hash", 3, 2), F.concat("hash", "f.ending"))
+    first = first.select("hash", address.alias("stored_path"), "f.byte_size", F.col("f.path").alias("path"))
+    return first.join(files.select("path", "content"), "path").select("hash", "stored_path", "byte_size", "content")

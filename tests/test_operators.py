@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,34 @@ def test_backup_refuses_to_overwrite(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "copy/t")).count() == 3
     with pytest.raises(Exception, match="(?i)exists"):
         archive.backup({"t": spark.range(3)}, str(tmp_path / "copy"))
+
+
+def test_a_revision_needs_more_than_other_white_space_in_its_entities(spark):
+    schema = "uid string, content_hash string, text string, service_action string, entities string"
+    stored = spark.createDataFrame([("a", "1", "x", None, '[{"b": 1, "a": 2}]'), ("b", "1", "x", None, None), ("c", "1", "x", "join", "[]"), ("d", "1", "x", None, '{"b":1,"a":2}'), ("e", "1", "x", None, "[")], schema)
+    batch = spark.createDataFrame([("a", "2", "x", None, '[{"b":1,"a":2}]'), ("b", "2", "y", None, None), ("c", "1", "z", None, "[]"), ("d", "2", "x", None, '{"a":2,"b":1}'), ("e", "2", "x", None, "["), ("f", "2", "x", None, "[")], schema)
+    assert sorted((r.uid, r.text, r.entities) for r in ingest.reconcile(batch, stored).collect()) == [("b", "x", None), ("d", "x", '{"b":1,"a":2}')]
+
+
+def test_files_are_stored_once_by_their_content(spark, tmp_path):
+    for name, content in (("a.JPG", b"one"), ("b.png", b"one"), ("d.txt", b"two")):
+        (tmp_path / name).write_bytes(content)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    # Spark's source leaves empty files out
+    rows = media.stored_files(files.unionByName(spark.createDataFrame([("c", b"")], "path string, content binary"))).collect()
+    found = {bytes(r.content): r for r in rows}
+    assert sorted(found) == [b"", b"one", b"two"] and len(rows) == 3
+    one = found[b"one"]
+    assert one.hash == hashlib.sha256(b"one").hexdigest() and one.byte_size == 3
+    assert one.stored_path == f"{one.hash[:2]}/{one.hash[2:4]}/{one.hash}.jpg"
+    assert found[b""].stored_path.endswith(found[b""].hash)
+
+
+def test_committed_facts_yield_to_the_user_and_end_what_they_supersede(spark):
+    schema = "id string, session_id string, subject_person_id string, predicate string, object_text string, valid_from long, valid_to long, retracted_at long, source string"
+    fact = spark.createDataFrame([("a", "s", "p", "likes", "Tea", 1, None, None, "extracted"), ("b", "s", "p", "owns", "Cat", 1, None, None, "user_deleted"), ("c", "t", "p", "lives", "X", 1, None, None, "extracted"), ("d", None, "p", "lives", "W", 1, 5, None, "extracted")], schema)
+    rows = [("n1", "s", "p", "owns", "CAT", 9, None, None, "extracted", None), ("n2", "s", "p", "lives", "Y", 9, None, None, "extracted", "c"), ("n3", "s", "p", "lives", "Z", 8, None, None, "extracted", "c"), ("n4", "s", "p", "lives", "Z", 8, None, None, "extracted", "d")]
+    proposed = spark.createDataFrame(rows, schema + ", supersedes string")
+    read = spark.createDataFrame([("s",), ("s",)], "session_id string")
+    got = {r.id: (r.retracted_at, r.valid_to) for r in facts.commit(fact, proposed, read, 7).collect()}
+    assert got == {"a": (7, None), "b": (None, None), "c": (None, 8), "d": (None, 5), "n2": (None, None), "n3": (None, None), "n4": (None, None)}
