@@ -49,17 +49,15 @@ def tokens(text: Column) -> Column:
 
 
 def occurrences(term: Term, words: Column) -> Column:
-    """How often a term stands in an array of words."""
-    last = len(term.words) - 1
+    """How often a term stands in an array of words; overlapping places count each.
 
-    def here(word: Column, at: Column) -> Column:
-        hit = F.lit(True)
-        for k, w in enumerate(term.words):
-            other = word if k == 0 else F.try_element_at(words, (at + 1 + k).cast("int"))
-            hit &= F.coalesce(F.startswith(other, F.lit(w)) if k == last and term.prefix else other == w, F.lit(False))
-        return hit
-
-    return F.size(F.filter(words, here))
+    The words are read once, as one string: an expression over each of them would cut the text again for each, where a
+    filter on its result is pushed below the words.
+    """
+    first, *rest = term.words
+    ahead = "".join(f" {w}" for w in rest) + ("" if term.prefix else " ")
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    return F.regexp_count(line, F.lit(f" {first}(?={ahead})" if ahead else f" {first}"))
 
 
 def search(documents: DataFrame, query: str, limit: int | None = 200, **filters) -> DataFrame:

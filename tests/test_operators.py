@@ -186,3 +186,12 @@ def test_committed_facts_yield_to_the_user_and_end_what_they_supersede(spark):
     read = spark.createDataFrame([("s",), ("s",)], "session_id string")
     got = {r.id: (r.retracted_at, r.valid_to) for r in facts.commit(fact, proposed, read, 7).collect()}
     assert got == {"a": (7, None), "b": (None, None), "c": (None, 8), "d": (None, 5), "n2": (None, None), "n3": (None, None), "n4": (None, None)}
+
+
+def test_overlapping_phrases_count_each(spark):
+    rows = spark.createDataFrame([("a a a b",), ("ab a",), ("",), (None,)], "text string")
+    count = lambda query: [r[0] for r in rows.select(search.occurrences(search.parse_query(query)[0], search.tokens(F.col("text")))).collect()]
+    assert count('"a a"') == [2, 0, 0, None]
+    assert count("a") == [3, 2, 0, None]
+    assert count('"a b"') == [1, 0, 0, None]
+    assert count('"ab"') == [0, 1, 0, None]
