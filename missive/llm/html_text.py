@@ -1,6 +1,6 @@
 """HTML extraction by nearest-URL page differencing (operator 3).
 
-Pages of a host are paired with the page whose URL path is nearest. Both pages' text lines (blocks) are aligned by their
+Pages of a host are paired with the page of other lines whose URL path is nearest. Both pages' text lines (blocks) are aligned by their
 longest common subsequence, and a line that both share is template, not content, and deleted. What a page marks up as
 navigation, forms, adverts, comments and the like goes as well; lines inside a page's article stay even where the
 nearest page shares them, because pages of one site also share whole sentences of their articles (README has the
@@ -191,7 +191,7 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for begin, end in text_chunks(batch, "html"):
             part = batch.slice(begin, end - begin)
             rows = [[line_hash(x.text) for x in lines_of(page or "")] for page in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), pa.array(rows, pa.list_(pa.int64()))], names=["page_id", "lines"])
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(rows, pa.list_(pa.int64()))], names=["page_id", "url", "lines"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,26 +203,50 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def nearest_pages(pages: DataFrame) -> DataFrame:
-    """page_id and nearest_id: the page of the same host whose URL path is nearest in order and has the longer common
-    beginning (the earlier one of equals); null where a host has one page."""
+    """page_id and nearest_id of each row of ``pages`` (page_id, url, same), page_id being a key: the page of the same
+    host and of another ``same`` whose URL path is nearest in order and has the longer common beginning (the earlier one
+    of equals); null where a host has no such page. Pages of one ``same`` have equal lines.
+
+    Pages of one ``same`` that follow each other are a run; the partners of all its pages are the pages beside the run.
+    """
     url = F.regexp_replace(F.coalesce("url", F.lit("")), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     keys = pages.select(
         "page_id",
+        "same",
         F.lower(F.substring_index(F.regexp_replace(url, "[?#].*$", ""), "/", 1)).alias("host"),
         F.regexp_extract(F.regexp_replace(url, "[?#].*$", ""), "^[^/]*(.*)$", 1).alias("path"),
     )
+    order = ["host", "path", "same", "page_id"]
     parts = max(1, pages.sparkSession.sparkContext.defaultParallelism)
-    keys = checkpoint(keys.repartitionByRange(parts, "host", "path", "page_id").withColumn("part", F.spark_partition_id()))
-    order = ["host", "path", "page_id"]
-    near = F.struct("host", "path", "page_id")
+    keys = checkpoint(keys.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    near = F.struct(*order)
     inside = Window.partitionBy("part").orderBy(order)
-    rows = keys.select("*", F.lag(near).over(inside).alias("before"), F.lead(near).over(inside).alias("after"))
-    edge = F.col("before").isNull() | F.col("after").isNull()
-    across = Window.orderBy(order)  # two rows of each partition at most
+    rows = keys.select("*", F.lag(near).over(inside).alias("lag"), F.lead(near).over(inside).alias("lead"))
+
+    def beside(other):
+        # the row ahead or behind, where a run begins or ends
+        return F.when((other["host"] != F.col("host")) | (other["same"] != F.col("same")), other)
+
+    back = [F.desc(c) for c in order]  # a frame that runs on to the end would be read anew at every row
+    before, after = F.last(F.col("begins"), True), F.last(F.col("ends"), True)
+    so_far = (Window.unboundedPreceding, 0)
+    rows = rows.withColumn("begins", beside(F.col("lag"))).withColumn("ends", beside(F.col("lead")))
+    rows = rows.select("*", before.over(inside.rowsBetween(*so_far)).alias("before"), after.over(inside.orderBy(*back).rowsBetween(*so_far)).alias("after"))
+    # a partition's first and last run may go on in others: of these, their ends in the partition are enough, four rows at most
+    first_run, last_run = F.col("before").isNull(), F.col("after").isNull()
+    edge = F.col("lag").isNull() | F.col("lead").isNull() | (first_run & F.col("ends").isNotNull()) | (last_run & F.col("begins").isNotNull())
+    across = Window.orderBy(order)
     edges = rows.where(edge).select(
-        *order, F.coalesce("before", F.lag(near).over(across)).alias("before"), F.coalesce("after", F.lead(near).over(across)).alias("after")
+        "part", *order, "lag", "lead",
+        F.when(F.col("lag").isNull(), beside(F.lag(near).over(across))).otherwise(F.col("begins")).alias("begins"),
+        F.when(F.col("lead").isNull(), beside(F.lead(near).over(across))).otherwise(F.col("ends")).alias("ends"),
+    )
+    edges = edges.select("part", "lag", "lead", before.over(across.rowsBetween(*so_far)).alias("before"), after.over(Window.orderBy(*back).rowsBetween(*so_far)).alias("after"))
+    sides = edges.groupBy("part").agg(
+        F.max(F.when(F.col("lag").isNull(), F.col("before"))).alias("part_before"), F.max(F.when(F.col("lead").isNull(), F.col("after"))).alias("part_after")
     )
-    both = rows.where(~edge).select(*order, "before", "after").unionByName(edges)
+    both = rows.select("part", *order, "before", "after").join(F.broadcast(sides), "part")
+    both = both.select(*order, F.coalesce("before", "part_before").alias("before"), F.coalesce("after", "part_after").alias("after"))
 
     def common(other: str):
         # characters that both paths begin with
@@ -244,9 +268,11 @@ def extract(pages: DataFrame) -> DataFrame:
     the empty host. Repeated rows give repeated rows; other columns are left out; an empty table gives no rows.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    lines = checkpoint(pages.select("page_id", "html").mapInArrow(_hashes, "page_id long, lines array<long>"))
-    lines = lines.groupBy("page_id").agg(F.min("lines").alias("lines"))
-    pairs = nearest_pages(pages).groupBy("page_id").agg(F.min("nearest_id").alias("nearest_id"))
+    lines = checkpoint(pages.mapInArrow(_hashes, "page_id long, url string, lines array<long>")).where("page_id IS NOT NULL")
+    lines = lines.withColumn("row", F.struct(F.xxhash64("lines").alias("same"), "url"))
+    keys = lines.groupBy("page_id").agg(F.min("row").alias("row")).select("page_id", "row.*")
+    lines = lines.groupBy("page_id").agg(F.min_by("lines", "row").alias("lines"))
+    pairs = nearest_pages(keys)
     other = pairs.join(lines.withColumnRenamed("page_id", "nearest_id"), "nearest_id").select(F.col("page_id").alias("paired"), "lines")
     packed = pages.mapInArrow(_packed, "page_id long, url string, packed binary")
     rows = packed.join(other, F.col("page_id") == F.col("paired"), "left").select("page_id", "url", "packed", "lines")

@@ -1,0 +1,42 @@
+"""What the review of round 1 found missing, on small tables."""
+
+import random
+
+import pytest
+
+from missive.llm import html_text
+
+
+def page(*own):
+    return "<div>Site name</div>" + "".join(f"<p>{x}</p>" for x in own) + "<p>All the same here</p>"
+
+
+def texts(spark, rows):
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return sorted((r.page_id, r.text) for r in got)
+
+
+def test_repeated_and_copied_pages_keep_their_text(spark):
+    rows = [(1, "http://a.b/x", page("one")), (1, "http://a.b/x", page("one")), (2, "http://a.b/y?p=1", page("two")), (3, "http://a.b/y?p=2", page("two")), (4, "http://a.b/y#top", page("two"))]
+    rows += [(5, "http://a.b/z/1", page("three")), (6, "http://a.b/z/2", page("three")), (7, "http://c.d/1", page("alone")), (8, "http://c.d/2", page("alone"))]
+    alone = "Site name\nalone\nAll the same here"
+    assert texts(spark, rows) == [(1, "one"), (1, "one"), (2, "two"), (3, "two"), (4, "two"), (5, "three"), (6, "three"), (7, alone), (8, alone)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_nearest_pages_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(k, f"http://h{rng.randrange(3)}/{rng.choice('ab')}/{rng.randrange(9)}", rng.choice([1, 1, 1, 1, 2, 3])) for k in range(80)]
+    rows += [(100 + k, f"http://h9/{k:03}", 5 if k in (0, 149) else 4) for k in range(150)]
+    got = {r.page_id: r.nearest_id for r in html_text.nearest_pages(spark.createDataFrame(rows, "page_id long, url string, same long")).collect()}
+    keys = sorted((u.split("/")[2], "/" + u.split("/", 3)[3], same, k) for k, u, same in rows)
+
+    def common(a, b):
+        return next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    want = {}
+    for n, (host, path, same, k) in enumerate(keys):
+        sides = [next((r for r in side if r[0] == host and r[2] != same), None) for side in (keys[:n][::-1], keys[n + 1 :])]
+        sides = [r for r in sides if r]
+        want[k] = max(sides, key=lambda r: common(path, r[1]))[3] if sides else None
+    assert got == want
