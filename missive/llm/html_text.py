@@ -51,7 +51,9 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _MARK_VALUES = re.compile(r"(?:\b(?:class|id|role))\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:until|false))|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_MAYBE_HIDDEN = re.compile(r"hidden|display", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 
 @dataclass
@@ -62,12 +64,25 @@ class Line:
     template: bool
 
 
+def _is_hidden(rest: str) -> bool:
+    """Whether attributes hide their element: hidden by its name, display:none in style, true in aria-hidden."""
+    if not _MAYBE_HIDDEN.search(rest):
+        return False
+    for m in _ATTRIBUTE.finditer(rest):
+        name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").strip().lower()
+        if name == "hidden" and not value.startswith(("until", "false")):
+            return True
+        if (name == "aria-hidden" and value == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 def _is_template(name: str, rest: str, in_main: bool) -> bool:
     if name in TEMPLATE or (name == "header" and not in_main):
         return True
     if not rest:
         return False
-    if _HIDDEN.search(rest):
+    if _is_hidden(rest):
         return True
     if name in MAIN or name in ("body", "html"):
         return False

@@ -40,3 +40,14 @@ def test_nearest_pages_equal_brute_force(spark, seed):
         sides = [r for r in sides if r]
         want[k] = max(sides, key=lambda r: common(path, r[1]))[3] if sides else None
     assert got == want
+
+
+@pytest.mark.parametrize("start", ["<body class='overflow-hidden'>", "<body><article class=\"overflow-x-hidden\">", "<body><div data-x='aria-hidden=true' class=hidden-xs>", "<body><div title='display:none hidden'>", "<body><div aria-hidden=false>", "<body><div hidden=false>", "<body><div style='--display: nonesuch'>"])
+def test_what_only_names_hidden_stays(start):
+    lines = html_text.lines_of(f"{start}<p>see <a href=\"/hidden-valley\" title=\"Hidden gems\">the valley</a> there</p>")
+    assert [(x.text, x.template) for x in lines] == [("see the valley there", False)]
+
+
+@pytest.mark.parametrize("rest", ["hidden", "class=a hidden", "HIDDEN=''", "hidden=hidden", "style='color:red; Display : none'", "style=display:none", "aria-hidden=true", "aria-hidden = \"true\"", "hidden/", "data-x=\"a'b\" hidden"])
+def test_hidden_parts_go(rest):
+    assert all(x.template for x in html_text.lines_of(f"<div {rest} ><p>no</p></div>"))
