@@ -5,8 +5,8 @@ sums of these expected copies, moved by one random offset for each source, are c
 taken once for each integer that its own part crosses. Documents of a source lie in the order of their sizes, so that
 the words taken come near the target however uneven the sizes are.
 
-No task holds a source: its documents fall into blocks by size, and large blocks are split. Prefix sums run inside
-the blocks, and over the blocks' counts.
+No task holds a source: documents are range-partitioned by source, size and doc_id. Prefix sums run inside the
+partitions, and over the partitions' counts; the order, and so what is taken, doesn't depend on how many there are.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, table
 
-#: Rows that a part of a block holds if all documents were of one size.
+#: Rows of a partition, about.
 BLOCK_ROWS = 1 << 20
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -68,18 +68,16 @@ def mixed(
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long"), source_key(F.col("source").cast("string")).alias("key"), size.alias("size"))
     rows = checkpoint(rows)
-    parts = max(1, -(-rows.count() // BLOCK_ROWS))
-    # sizes of a block differ by a sixteenth of a doubling at most
-    band = F.floor(F.log2(F.col("size") + 1.0) * 16).cast("long")
-    block = F.struct(band.alias("band"), F.coalesce(F.pmod("doc_id", F.lit(parts)), F.lit(0)).alias("part"))
-    rows = rows.withColumn("block", block)
-    counts = rows.groupBy("key", "block").agg(F.count("*").alias("n"), F.sum("size").alias("block_size"))
-    goals = targets(counts.groupBy("key").agg(F.sum("block_size").alias("source_size")), weights, share, most)
-    ahead = Window.partitionBy("key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    order = [F.col("size"), F.col("doc_id").asc_nulls_last()]
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // BLOCK_ROWS))
+    rows = checkpoint(rows.repartitionByRange(parts, F.col("key"), *order).withColumn("part", F.spark_partition_id()))
+    counts = rows.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("size").alias("part_size"))
+    goals = targets(counts.groupBy("key").agg(F.sum("part_size").alias("source_size")), weights, share, most)
+    ahead = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     blocks = counts.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(goals, "key")
-    blocks = blocks.select("key", "block", "before", "source_size", "target")
-    place = F.row_number().over(Window.partitionBy("key", "block").orderBy("size", "doc_id"))
-    placed = rows.withColumn("place", place).join(blocks, ["key", "block"])
+    blocks = blocks.select("key", "part", "before", "source_size", "target")
+    place = F.row_number().over(Window.partitionBy("key", "part").orderBy(*order))
+    placed = rows.withColumn("place", place).join(blocks, ["key", "part"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.col("before") + F.col("place")
     upto, below = (F.floor(offset(F.col("key"), seed) + F.col("rate") * n) for n in (F.col("rank"), F.col("rank") - 1))

@@ -2,9 +2,10 @@
 
 import random
 
+import duckdb
 import pytest
 
-from missive.llm import html_text
+from missive.llm import html_text, mixing
 
 
 def page(*own):
@@ -51,3 +52,21 @@ def test_what_only_names_hidden_stays(start):
 @pytest.mark.parametrize("rest", ["hidden", "class=a hidden", "HIDDEN=''", "hidden=hidden", "style='color:red; Display : none'", "style=display:none", "aria-hidden=true", "aria-hidden = \"true\"", "hidden/", "data-x=\"a'b\" hidden"])
 def test_hidden_parts_go(rest):
     assert all(x.template for x in html_text.lines_of(f"<div {rest} ><p>no</p></div>"))
+
+
+def near(r):
+    return tuple(round(x, 6) if isinstance(x, float) else x for x in r)
+
+
+@pytest.mark.parametrize("rows", [1 << 20, 40])
+def test_mixing_takes_the_same_in_more_parts(spark, tmp_path, monkeypatch, rows):
+    rng = random.Random(2)
+    table = [(k, "w " * rng.choice([0, 5, 100, 101, 102, 103]), rng.choice(["s0", "s1", "s2", "s2", "s2", None])) for k in rng.sample(range(10_000), 400)]
+    spark.createDataFrame(table, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", rows)
+    got = mixing.op5_source_mixing(spark, str(tmp_path))
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = connection.execute(mixing.ORACLE_SQL)
+    names = [c[0] for c in found.description]
+    assert sorted(near(r[n] for n in names) for r in got.collect()) == sorted(map(near, found.fetchall()))
