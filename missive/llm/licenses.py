@@ -1,7 +1,7 @@
 """License scans by sentence rules (operator 2), native.
 
-Lines are cut into sentences and normalised; a known licence sentence has an identifier. The identifiers of a document,
-in order, are matched against licence rules, longer and more specific ones first; a rule takes up the identifiers that
+Texts are cut at the ends of lines and sentences and normalised; a known licence sentence, wrapped over lines or not, has
+an identifier. The identifiers of a document, in order, are matched against licence rules, longer and more specific ones first; a rule takes up the identifiers that
 it matches. The method is that of German, Manabe and Inoue, "A sentence-matching method for automatic license
 identification of source code files" (2010).
 """
@@ -55,24 +55,90 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit",)),
     ("Unlicense", ("unlicense",)),
 )
-#: Every known sentence holds one of these, whatever its case; other lines need not be cut.
+# What the SQL, which reads line by line, has no sentences and rules for. A "*" stands for up to 20 words.
+_GNU = "{what}you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation either version {version} of the license or at your option any later version"
+_FREE = ("this program is free software ", "this library is free software ", "this file is free software ", "* is free software ", "")
+WRAPPED: dict[str, tuple[str, ...]] = {
+    "permission": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",),
+    "notice": ("the above copyright notice and this permission notice including the next paragraph shall be included in all copies or substantial portions of the software",),
+    "as_is": ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",),
+    "apache2_copy": ("you may obtain a copy of the license at https www apache org licenses license 2 0",),
+    "bsd_name": tuple(
+        f"{who} {may} be used to endorse or promote products derived from this software without specific prior written permission"
+        for who in ("neither the name of * nor the names of its contributors", "neither the name of * nor the names of other contributors", "neither the name of * nor the names of their contributors", "neither the names of * nor the names of its contributors", "neither the names of * nor the names of their contributors", "the name of * may not", "the names of * may not")
+        for may in (("may",) if who.startswith("neither") else ("",))
+    ),
+    "bsd_advertising": tuple("all advertising materials mentioning features or use of this software must display the following acknowledgement" + x for x in ("", " *")),
+    "gpl_or_later": tuple(_GNU.format(what=what, name="general public license", version=3) for what in _FREE),
+    "gpl2_or_later": tuple(_GNU.format(what=what, name="general public license", version=2) for what in _FREE),
+    "lgpl2_or_later": tuple(_GNU.format(what=what, name="library general public license", version=2) for what in _FREE),
+    "lgpl21_or_later": tuple(_GNU.format(what=what, name="lesser general public license", version="2 1") for what in _FREE),
+    "lgpl3_or_later": tuple(_GNU.format(what=what, name="lesser general public license", version=3) for what in _FREE),
+    "agpl3_or_later": tuple(_GNU.format(what=what, name="affero general public license", version=3) for what in _FREE),
+    "gpl2": ("licensed under the gnu general public license version 2", "this work is licensed under the gnu general public license version 2", "spdx license identifier gpl 2 0 only")
+    + tuple(f"{what}you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation" for what in _FREE),
+    "mpl2": ("this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    "isc": ("spdx license identifier isc",)
+    + tuple(f"permission to use copy modify and {how}distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies" for how in ("or ", "")),
+    "cc0": ("licensed under cc0 1 0", "this work is licensed under cc0 1 0", "spdx license identifier cc0 1 0", "to the extent possible under law * has waived all copyright and related or neighboring rights to *", "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+}
+WRAPPED_RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
+    ("BSD-4-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_advertising", "bsd_name")),
+    ("BSD-3-Clause", ("bsd_redistribution", "bsd_source", "bsd_binary", "bsd_name")),
+    ("GPL-2.0-or-later", ("gpl2_or_later",)),
+    ("LGPL-2.0-or-later", ("lgpl2_or_later",)),
+    ("LGPL-2.1-or-later", ("lgpl21_or_later",)),
+    ("LGPL-3.0-or-later", ("lgpl3_or_later",)),
+    ("AGPL-3.0-or-later", ("agpl3_or_later",)),
+    ("GPL-2.0-only", ("gpl2",)),
+    ("ISC", ("isc",)),
+    ("CC0-1.0", ("cc0",)),
+)
+#: The first two are more specific than one of RULES, the others share no identifier with those.
+ALL_RULES = WRAPPED_RULES[:2] + RULES + WRAPPED_RULES[2:]
+#: Every known sentence holds one of these, whatever its case; other texts (lines in the SQL) need not be cut.
 HINT = r"(?i)licen[cs]e|permission|redistribut|warranty|copyright|public domain|rights reserved|compliance"
 #: Ends of sentences inside a line, and the same for Spark: a run of marks is tried once, at its first mark.
 ENDS = r"[.!?;]+[ \t]+"
 ENDS_ONCE = r"(?<![.!?;])[.!?;]++[ \t]+"
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case, everything but letters and digits of ASCII one blank, no blanks at the ends."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+#: Marks of comments in letters, and those of lists, at the beginning of a line.
+LEADS = r"(?m)^[^a-z0-9\n]*+(?:(?:rem|dnl)\b[^a-z0-9\n]*+)?(?:(?:[0-9]{1,2}|[a-z])\)[ \t]++)?"
+
+
+def _known() -> dict[str, str]:
+    return {" ".join(form.split()): name for table in (SENTENCES, WRAPPED) for name, forms in table.items() for form in forms}
+
+
+def _forms() -> list[tuple[str, str]]:
+    """Regular expressions of all known sentences and their identifiers, longer ones first."""
+    forms = _known()
+    words = {"*": "[a-z0-9]++(?:(?: ~)? [a-z0-9]++){0,19}?"}
+    ordered = sorted(forms, key=lambda form: (-len(form.split()), form))
+    return [("(?: ~)? ".join(words.get(w, w) for w in form.split()), forms[form]) for form in ordered]
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*[F.lit(x) for name, forms in SENTENCES.items() for form in forms for x in (form, name)])
-    lines = F.filter(F.split(text, "[\r\n]+"), lambda line: line.rlike(HINT))
-    sentences = F.flatten(F.transform(lines, lambda line: F.split(line, ENDS_ONCE)))
-    return F.filter(F.transform(sentences, lambda s: F.try_element_at(known, normalised(s))), lambda x: x.isNotNull())
+    """Identifiers of the known sentences of a text, in order.
+
+    A "~" stands for every end of a line and every mark that may end a sentence (as in "v. 2.0"). A known sentence begins
+    and ends at one and may have others inside; of those that begin at one place the longest counts.
+    """
+    forms = _forms()
+    pattern = "(?<=~ )(?:" + "|".join(form for form, _ in forms) + ")(?= ~)"
+    marked = F.regexp_replace(F.regexp_replace(F.translate(F.lower(text), "~", " "), "\r\n?", "\n"), LEADS, "")
+    marked = F.regexp_replace(F.regexp_replace(marked, ENDS_ONCE, "~"), "\n", "~")
+    plain = F.regexp_replace(F.concat(F.lit("~"), marked, F.lit("~")), "[^a-z0-9~]+", " ")
+    found = F.regexp_extract_all(F.regexp_replace(plain, " ?~[ ~]*+", " ~ "), F.lit(pattern), F.lit(0))
+
+    def identifier(sentence: Column) -> Column:
+        words = F.replace(sentence, F.lit(" ~"), F.lit(""))
+        exact = F.create_map(*[F.lit(x) for form, name in _known().items() if "*" not in form for x in (form, name)])
+        open_forms = [F.when(words.rlike(f"^{form}$"), F.lit(name)) for form, name in forms if "a-z" in form]
+        return F.coalesce(F.try_element_at(exact, words), *open_forms)
+
+    return F.when(text.rlike(HINT), F.transform(found, identifier))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -86,7 +152,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     rest = F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" "))
     rows = rows.withColumn("rest0", rest)
     found = []
-    for n, (license_id, sequence) in enumerate(RULES):
+    for n, (license_id, sequence) in enumerate(ALL_RULES):
         wanted = " " + "  ".join(sequence) + " "
         after = F.replace(F.col(f"rest{n}"), F.lit(wanted), F.lit(" | "))
         rows = rows.withColumn(f"rest{n + 1}", after)
@@ -106,7 +172,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """The same scan for DuckDB."""
+    """The scan line by line for DuckDB: the same rows where no licence sentence is wrapped or only in WRAPPED."""
     known = ", ".join(f"'{form}': '{name}'" for name, forms in SENTENCES.items() for form in forms)
     steps, rest = [], "rest0"
     for n, (_, sequence) in enumerate(RULES):

@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from missive.llm import html_text, mixing
+from missive.llm import html_text, licenses, mixing
 
 
 def page(*own):
@@ -70,3 +70,74 @@ def test_mixing_takes_the_same_in_more_parts(spark, tmp_path, monkeypatch, rows)
     found = connection.execute(mixing.ORACLE_SQL)
     names = [c[0] for c in found.description]
     assert sorted(near(r[n] for n in names) for r in got.collect()) == sorted(map(near, found.fetchall()))
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD4 = BSD2 + """
+3. All advertising materials mentioning features or use of this software must
+   display the following acknowledgement: This product includes software
+   developed by the University of California, Berkeley and its contributors.
+""" + BSD3[len(BSD2) :].replace("3.", "4.").replace("copyright holder", "University")
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+
+
+def test_licenses_of_wrapped_notices(spark):
+    want = {"MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "BSD-4-Clause": BSD4, "GPL-3.0-or-later": GPL, "LGPL-2.1-or-later": LGPL, "MPL-2.0": MPL, "ISC": ISC, "Apache-2.0": APACHE}
+    want |= {"GPL-2.0-or-later": GPL.replace("3 of", "2 of"), "AGPL-3.0-or-later": GPL.replace("GNU", "GNU Affero").replace("This program", "Foo bar"), "LGPL-3.0-or-later": LGPL.replace("2.1", "3")}
+    want |= {"CC0-1.0": "To the extent possible under law, the author has waived all copyright\nand related or neighboring rights to this work.", "": "We keep the copyright; a licence\nof our own.\n\nRedistribution is forbidden."}
+    styles = [lambda t: t, lambda t: t.replace("\n", "\r\n")] + [lambda t, m=m: "\n".join(f"{m} {x}".rstrip() for x in t.split("\n")) for m in ("#", " *", "//", ";;", "rem")] + [lambda t: "before it.\n\n" + t + "\n\nafter it"]
+    rows = [(n, k, style(text)) for n, style in enumerate(styles) for k, text in enumerate(want.values())]
+    got = licenses.scan_licenses(spark.createDataFrame([(100 * n + k, t) for n, k, t in rows], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.licenses for r in got} == {100 * n + k: list(want)[k] for n, k, _ in rows}
