@@ -118,11 +118,14 @@ def person_page(
 def message_context(message: DataFrame, anchors: DataFrame, radius: int = 8) -> DataFrame:
     """For each anchor (id) the messages of its thread from ``radius`` before to ``radius`` after it."""
     own = message.join(anchors.select(F.col("id").alias("anchor_id")), F.col("id") == F.col("anchor_id"), "left_semi").select("thread_id").distinct()
-    place = F.row_number().over(Window.partitionBy("thread_id").orderBy(*ORDER))
-    numbered = message.join(own, "thread_id", "left_semi").select("id", "thread_id", "sent_at_unix", place.alias("place"))
-    at = numbered.join(anchors.select(F.col("id").alias("anchor_id")), F.col("id") == F.col("anchor_id")).select("anchor_id", "thread_id", F.col("place").alias("anchor_place"))
-    near = numbered.join(at, "thread_id").where(F.abs(F.col("place") - F.col("anchor_place")) <= radius)
-    return near.select("anchor_id", "id", "thread_id", (F.col("place") - F.col("anchor_place")).cast("long").alias("distance"))
+    inside = Window.partitionBy("thread_id").orderBy(*ORDER)
+    near = F.collect_list("id").over(inside.rowsBetween(-radius, radius))
+    # how many stand before the anchor in its list
+    ahead = F.least(F.row_number().over(inside) - 1, F.lit(radius))
+    rows = message.join(own, "thread_id", "left_semi").select("id", "thread_id", near.alias("near"), ahead.alias("ahead"))
+    at = rows.join(anchors.select(F.col("id").alias("anchor_id")), F.col("id") == F.col("anchor_id"))
+    each = at.select("anchor_id", "thread_id", "ahead", F.posexplode("near").alias("at", "id"))
+    return each.select("anchor_id", "id", "thread_id", (F.col("at") - F.col("ahead")).cast("long").alias("distance"))
 
 
 def person_of(message: DataFrame, thread: DataFrame, participant: DataFrame, identity_person: DataFrame, person: DataFrame) -> DataFrame:
