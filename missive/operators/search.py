@@ -93,6 +93,12 @@ def search(documents: DataFrame, query: str, limit: int | None = 200, **filters)
     return found if limit is None else found.orderBy(F.desc("score"), "id").limit(limit)
 
 
+def ranked(found: DataFrame) -> DataFrame:
+    """id and rank of all hits, best first; no task holds them all."""
+    rows = found.select("id", "score").orderBy(F.desc("score"), "id").rdd.zipWithIndex()
+    return found.sparkSession.createDataFrame(rows.map(lambda x: (x[0]["id"], x[1] + 1)), "id long, rank long")
+
+
 def capped_count(found: DataFrame, cap: int = CAP) -> DataFrame:
     """Hits up to a cap, and whether that is all of them."""
     return found.limit(cap).agg(F.count("*").alias("hits")).withColumn("exact", F.col("hits") < cap)

@@ -26,12 +26,16 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def top_k(vectors: DataFrame, query: DataFrame, limit: int = 20, floor: float = RELATIVE_FLOOR) -> DataFrame:
-    """Vectors by their product with the one query row (column query), positive and near the best."""
-    scored = vectors.crossJoin(F.broadcast(query.limit(1)))  # one row
-    scored = scored.where(F.size("embedding") == F.size("query")).select("vec_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("score"))
-    best = scored.agg(F.max("score").alias("best"))
-    rows = scored.crossJoin(F.broadcast(best)).where((F.col("score") > 0) & (F.col("score") >= floor * F.col("best")))
-    return rows.select("vec_id", "score").orderBy(F.desc("score"), "vec_id").limit(limit)
+    """For each query row (column query, and others that name it) the vectors by their product with it, positive and near
+    the best. The other columns of ``query`` come first."""
+    keys = [c for c in query.columns if c != "query"]
+    asked = query.withColumn("asked", F.monotonically_increasing_id())
+    scored = vectors.crossJoin(F.broadcast(asked)).where(F.size("embedding") == F.size("query"))
+    scored = scored.select("asked", *keys, "vec_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("score")).where("score > 0")
+    each = Window.partitionBy("asked")
+    rows = scored.withColumn("place", F.row_number().over(each.orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= limit)
+    rows = rows.withColumn("best", F.max("score").over(each)).where(F.col("score") >= floor * F.col("best"))
+    return rows.orderBy(*keys, F.desc("score"), "vec_id").select(*keys, "vec_id", "score")
 
 
 def coverage(eligible: DataFrame, embedding: DataFrame) -> DataFrame:
@@ -52,21 +56,28 @@ def active_model(counts: DataFrame, configured: str, enough: float = 0.98) -> Da
     return row.select(F.when(good, F.lit(configured)).when(more, F.col("other")).when(F.col("own") > 0, F.lit(configured)).alias("model"))
 
 
-def reciprocal_rank_fusion(keyword: DataFrame, semantic: DataFrame, limit: int = 50) -> DataFrame:
-    """keyword: id, group, rank; semantic: group, rank, representative.
+def reciprocal_rank_fusion(keyword: DataFrame, semantic: DataFrame, limit: int = 50, key: str | None = None) -> DataFrame:
+    """keyword: id, group, rank; semantic: group, rank, representative; both with the query that they answer, if ``key``
+    names its column: each query then has its own votes and up to ``limit`` hits.
 
     A group found by meaning votes for each of its keyword hits, or else for its representative.
     """
     vote = lambda rank: 1.0 / (RRF_K + F.col(rank))
-    by_word = keyword.select("id", "group", F.col("rank").alias("word_rank"))
-    by_meaning = semantic.where(F.col("rank") <= SEMANTIC_DEPTH).select("group", F.col("rank").alias("meaning_rank"), "representative")
-    both = by_word.join(by_meaning, "group", "left")
-    hits = both.select("id", "word_rank", "meaning_rank", (vote("word_rank") + F.coalesce(vote("meaning_rank"), F.lit(0.0))).alias("score"))
-    alone = by_meaning.join(by_word.select("group").distinct(), "group", "left_anti").join(by_word.select(F.col("id").alias("representative")), "representative", "left_anti")
-    alone = alone.select(F.col("representative").alias("id"), F.lit(None).cast("int").alias("word_rank"), "meaning_rank", vote("meaning_rank").alias("score"))
+    keys = [key] if key else []
+    by_word = keyword.select(*keys, "id", "group", F.col("rank").alias("word_rank"))
+    by_meaning = semantic.where(F.col("rank") <= SEMANTIC_DEPTH).select(*keys, "group", F.col("rank").alias("meaning_rank"), "representative")
+    both = by_word.join(by_meaning, [*keys, "group"], "left")
+    hits = both.select(*keys, "id", "word_rank", "meaning_rank", (vote("word_rank") + F.coalesce(vote("meaning_rank"), F.lit(0.0))).alias("score"))
+    alone = by_meaning.join(by_word.select(*keys, "group").distinct(), [*keys, "group"], "left_anti")
+    alone = alone.join(by_word.select(*keys, F.col("id").alias("representative")), [*keys, "representative"], "left_anti")
+    alone = alone.select(*keys, F.col("representative").alias("id"), F.lit(None).cast("int").alias("word_rank"), "meaning_rank", vote("meaning_rank").alias("score"))
     found = F.when(F.col("word_rank").isNull(), "meaning").when(F.col("meaning_rank").isNull(), "keyword").otherwise("both")
-    rows = hits.unionByName(alone).select("id", F.round("score", 9).alias("score"), found.alias("found_by"), "word_rank", "meaning_rank")
-    return rows.orderBy(F.desc("score"), F.asc_nulls_last("word_rank"), F.asc_nulls_last("meaning_rank"), "id").limit(limit).select("id", "score", "found_by")
+    rows = hits.unionByName(alone).select(*keys, "id", F.round("score", 9).alias("score"), found.alias("found_by"), "word_rank", "meaning_rank")
+    order = [F.desc("score"), F.asc_nulls_last("word_rank"), F.asc_nulls_last("meaning_rank"), F.col("id")]
+    if key is None:
+        return rows.orderBy(*order).limit(limit).select("id", "score", "found_by")
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return rows.withColumn("place", place).where(F.col("place") <= limit).select(key, "id", "score", "found_by")
 
 
 def representative(members: DataFrame, words: list[str], key: str) -> DataFrame:
