@@ -141,3 +141,11 @@ def test_licenses_of_wrapped_notices(spark):
     rows = [(n, k, style(text)) for n, style in enumerate(styles) for k, text in enumerate(want.values())]
     got = licenses.scan_licenses(spark.createDataFrame([(100 * n + k, t) for n, k, t in rows], "doc_id long, text string")).collect()
     assert {r.doc_id: r.licenses for r in got} == {100 * n + k: list(want)[k] for n, k, _ in rows}
+
+
+def test_pages_without_article_are_differenced(spark):
+    """Lines of both pages go, shared body sentences too; an article keeps them, and pages of other hosts share nothing."""
+    said = "<p>A sentence that both say</p>"
+    rows = [(1, "http://a.b/1", page("one") + said), (2, "http://a.b/2", page("two") + said), (3, "http://c.d/1", page("three") + said)]
+    rows += [(4, "http://e.f/1", f"<div>Site name</div><article><p>four</p>{said}</article><p>out</p>"), (5, "http://e.f/2", f"<div>Site name</div>{said}<p>five</p>")]
+    assert texts(spark, rows) == [(1, "one"), (2, "two"), (3, "Site name\nthree\nAll the same here\nA sentence that both say"), (4, "four\nA sentence that both say"), (5, "five")]
