@@ -15,15 +15,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_chunks
 
-#: Documents that a block of the packing holds on average.
-BLOCK_DOCS = 40_000
+#: Documents, and pieces, that a block of the packing holds on average at most.
+BLOCK_DOCS, BLOCK_PIECES = 40_000, 400_000
+#: Runs of white space that are encoded as pieces of their own (White_Space of Unicode, which Python's \s is not).
+LONG_SPACE = regex.compile(r"\p{White_Space}{256,}+")
+END_OF_TEXT = "<|endoftext|>"
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -40,20 +43,36 @@ def encoding(ranks_path: str, end_of_text: int = 50256):
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    special = {"<|endoftext|>": end_of_text}
+    special = {END_OF_TEXT: end_of_text}
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def text_ids(text: str, ranks_path: str) -> bytes:
-    """Little-endian 32-bit ids of a text."""
-    return encoding(ranks_path).encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+    """Little-endian 32-bit ids of a text.
+
+    The library's pattern reads a run of white space but for its last character as one piece, or all of it where the text
+    or its part before a special string ends, and its matcher gives up on runs of a million. So long runs are cut out
+    here, by the same rule, and merged without the pattern.
+    """
+    encoder = encoding(ranks_path)
+    parts, at = [], 0
+    for m in LONG_SPACE.finditer(text):
+        whole = m.end() == len(text) or text.startswith(END_OF_TEXT, m.end())
+        end = m.end() if whole else m.end() - 1
+        if m.start() > at:
+            parts.append(encoder.encode_to_numpy(text[at : m.start()], allowed_special="all"))
+        parts.append(np.array(encoder._encode_single_piece(text[m.start() : end]), np.uint32))
+        at = end
+    if at < len(text):
+        parts.append(encoder.encode_to_numpy(text[at:], allowed_special="all"))
+    return b"".join(p.astype("<u4", copy=False).tobytes() for p in parts)
 
 
 def cut_pieces(docs: DataFrame, size: int = 1024, closing_id: int = 2, ranks_path: str | None = None) -> DataFrame:
     """The pieces of each row of ``docs`` (doc_id, text): PIECE_SCHEMA.
 
     A null text counts as empty and gives one piece, the closing id. Only the first piece of a document can be
-    shorter than ``size``. Repeated rows give repeated pieces.
+    shorter than ``size``. Repeated rows give repeated pieces; a null doc_id stays null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,27 +125,33 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 
 
 def pack(pieces: DataFrame, blocks: int, size: int = 1024) -> DataFrame:
-    """``pieces`` with sequence_id and offset. Reruns give the same sequences."""
+    """``pieces`` with sequence_id and offset. Reruns give the same sequences.
+
+    Pieces without a doc_id are dealt by their place in the table, so that they don't all come into one block.
+    """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        full = int((rows["length"] == size).sum())
-        sequence, offset = sum_of_squares(rows["length"].to_numpy()[full:], size)
-        rows["sequence_id"] = (int(key[0]) << 40) + np.concatenate([np.arange(full), sequence + full])
-        rows["offset"] = np.concatenate([np.zeros(full, np.int64), offset])
-        return rows.drop(columns="block")
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.drop_columns("block").sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        lengths = rows.column("length").to_numpy()
+        full = int((lengths == size).sum())
+        sequence, offset = sum_of_squares(lengths[full:], size)
+        ids = (key[0].as_py() << 40) + np.concatenate([np.arange(full), sequence + full])
+        return rows.append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(np.concatenate([np.zeros(full, np.int64), offset])))
 
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInPandas(run, f"{PIECE_SCHEMA}, sequence_id long, offset long")
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", place), F.lit(blocks)))
+    return dealt.groupBy("block").applyInArrow(run, f"{PIECE_SCHEMA}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, size: int = 1024, closing_id: int = 2, ranks_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of the pieces of ``docs``.
 
-    Null or empty texts give one piece of one id; repeated rows are packed as often as they stand there; an empty
-    table gives no rows; columns other than doc_id and text are left out.
+    Null or empty texts give one piece of one id; repeated rows are packed as often as they stand there; rows without a
+    doc_id are packed as others; an empty table gives no rows; columns other than doc_id and text are left out.
     """
-    blocks = max(1, -(-docs.count() // BLOCK_DOCS))
+    sizes = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("bytes")).first()
+    # an id stands for one byte at least
+    blocks = max(1, -(-sizes["n"] // BLOCK_DOCS), -(-(sizes["n"] + sizes["bytes"] // size) // BLOCK_PIECES))
     return pack(cut_pieces(docs, size, closing_id, ranks_path), blocks, size)
 
 
