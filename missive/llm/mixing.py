@@ -3,10 +3,12 @@
 Each document of a source is expected as often as its source's target asks, target / size of the source. The prefix
 sums of these expected copies, moved by one random offset for each source, are cut at the integers, and a document is
 taken once for each integer that its own part crosses. Documents of a source lie in the order of their sizes, so that
-the words taken come near the target however uneven the sizes are.
+the words taken differ from the target by less than the source's largest document, whatever the offset. The offset is
+drawn a few times, and the draw whose words come nearest to the target counts.
 
-No task holds a source: documents are range-partitioned by source, size and doc_id. Prefix sums run inside the
-partitions, and over the partitions' counts; the order, and so what is taken, doesn't depend on how many there are.
+No task holds a source: documents are range-partitioned by source, size and doc_id. Ranks are the rows' places in their
+partitions, behind what the partitions before hold; what is taken doesn't depend on how many there are. Only the list of
+sources itself (a row each) is ordered in one task.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, table
 
-#: Rows of a partition, about.
-BLOCK_ROWS = 1 << 20
+#: Rows of a partition, about, and draws of a source's offset.
+BLOCK_ROWS, DRAWS = 1 << 20, 16
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -50,12 +52,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return rows.withColumn("chosen", chosen).select("key", "source_size", target.alias("target"))
 
 
-def offset(key: Column, seed: int) -> Column:
-    """The random offset of a source, from 0 to less than 1, the same in every run."""
-    digits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{seed}")).cast("binary")), 1, 8), 16, 10)
+def offset(key: Column, seed: int, draw: int) -> Column:
+    """A random offset of a source, from 0 to less than 1, the same in every run."""
+    digits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{seed}|{draw}")).cast("binary")), 1, 8), 16, 10)
     return digits.cast("double") / F.lit(float(1 << 32))
 
 
+def crossed(offset: Column, rate: Column, rank: Column) -> Column:
+    """Integers that the part of the prefix sums at a rank crosses."""
+    return (F.floor(offset + rate * rank) - F.floor(offset + rate * (rank - 1))).cast("long")
+
+
 def mixed(
     docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 7
 ) -> DataFrame:
@@ -67,31 +74,43 @@ def mixed(
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     rows = docs.select(F.col("doc_id").cast("long"), source_key(F.col("source").cast("string")).alias("key"), size.alias("size"))
-    rows = checkpoint(rows)
-    order = [F.col("size"), F.col("doc_id").asc_nulls_last()]
+    rows = checkpoint(rows.withColumn("row", F.monotonically_increasing_id()))
+    order = [F.col("key"), F.col("size"), F.col("doc_id").asc_nulls_last(), F.col("row")]
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // BLOCK_ROWS))
-    rows = checkpoint(rows.repartitionByRange(parts, F.col("key"), *order).withColumn("part", F.spark_partition_id()))
-    counts = rows.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("size").alias("part_size"))
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # of a row in its partition
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = checkpoint(rows.select("doc_id", "key", "size", F.spark_partition_id().alias("part"), place.alias("place")))
+    counts = rows.groupBy("key", "part").agg(F.count("*").alias("n"), F.sum("size").alias("part_size"), F.min("place").alias("first"))
     goals = targets(counts.groupBy("key").agg(F.sum("part_size").alias("source_size")), weights, share, most)
     ahead = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = counts.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(goals, "key")
-    blocks = blocks.select("key", "part", "before", "source_size", "target")
-    place = F.row_number().over(Window.partitionBy("key", "part").orderBy(*order))
-    placed = rows.withColumn("place", place).join(blocks, ["key", "part"])
+    behind = F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first") + 1
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rank = F.col("before") + F.col("place")
-    upto, below = (F.floor(offset(F.col("key"), seed) + F.col("rate") * n) for n in (F.col("rank"), F.col("rank") - 1))
-    placed = placed.withColumn("rate", rate).withColumn("rank", rank).withColumn("copies", (upto - below).cast("long"))
+    draws = [f"draw{k}" for k in range(DRAWS)]
+    blocks = counts.withColumn("behind", behind).join(goals, "key").withColumn("rate", rate)
+    drawn = blocks.select("key", "part", "behind", "rate", *[offset(F.col("key"), seed, k).alias(draw) for k, draw in enumerate(draws)])
+    rank = F.col("place") + F.col("behind")
+    sums = rows.join(drawn, ["key", "part"]).groupBy("key").agg(*[F.sum(crossed(F.col(draw), F.col("rate"), rank) * F.col("size")).alias(draw) for draw in draws])
+    miss = [F.struct(F.abs(F.col(draw) - F.col("target")).alias("miss"), F.lit(k).alias("draw"), offset(F.col("key"), seed, k).alias("offset")) for k, draw in enumerate(draws)]
+    best = sums.join(goals, "key").select("key", F.array_min(F.array(*miss))["offset"].alias("offset"))
+    chosen = blocks.join(best, "key").select("key", "part", "behind", "rate", "offset", "source_size", "target")
+    placed = rows.join(chosen, ["key", "part"]).withColumn("rank", rank)
+    placed = placed.withColumn("copies", crossed(F.col("offset"), F.col("rate"), F.col("rank")))
     return placed.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` (all columns; doc_id is a key), each as often as the mix takes it."""
+    """The rows of ``docs`` (all columns; doc_id is a key), each as often as the mix takes it.
+
+    Rows of one doc_id all come as often as the one of them that the mix takes most.
+    """
     taken = mixed(docs, **parameters).where("copies > 0").select(F.col("doc_id").alias("mixed_id"), "copies")
     wanted = taken.groupBy("mixed_id").agg(F.max("copies").alias("copies"))
     both = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["mixed_id"]))
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), wanted["copies"])).alias("_copy")
-    return both.select(*[docs[c] for c in docs.columns], copy).drop("_copy")
+    copy, known = "copy", {c.lower() for c in docs.columns}
+    while copy in known:
+        copy += "_"
+    each = F.explode(F.sequence(F.lit(1).cast("long"), wanted["copies"])).alias(copy)
+    return both.select(*[docs[c] for c in docs.columns], each).drop(copy)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,13 +135,19 @@ l AS (
 g AS (
   SELECT key, source_size, least(cap, weight * max(CASE WHEN level <= cap / weight THEN level END) OVER ()) AS target FROM l),
 r AS (
-  SELECT d.*, row_number() OVER (PARTITION BY key ORDER BY floor(log2((size + 1)::DOUBLE) * 16), size, doc_id) AS rank FROM d),
+  SELECT d.doc_id, d.size, d.key, g.source_size, g.target,
+         CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0::DOUBLE END AS rate,
+         row_number() OVER (PARTITION BY d.key ORDER BY d.size, d.doc_id) AS rank
+  FROM d JOIN g ON d.key = g.key),
+u AS (
+  SELECT key, target, k, ('0x' || substr(md5(key || '|7|' || k), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
+  FROM g, range(16) x(k)),
+m AS (
+  SELECT u.key, u.k, u.u, abs(sum((floor(u + rate * rank) - floor(u + rate * (rank - 1)))::BIGINT * size)::BIGINT::DOUBLE - any_value(u.target)) AS miss
+  FROM r JOIN u ON r.key = u.key GROUP BY u.key, u.k, u.u),
+b AS (
+  SELECT key, arg_min(u, (miss, k)) AS u FROM m GROUP BY key),
 c AS (
-  SELECT r.doc_id, r.size, g.source_size, g.target,
-         CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0.0::DOUBLE END AS rate, r.rank,
-         ('0x' || substr(md5(r.key || '|7'), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
-  FROM r JOIN g ON r.key = g.key),
-k AS (
-  SELECT *, (floor(u + rate * rank) - floor(u + rate * (rank - 1)))::BIGINT AS copies FROM c)
-SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM k
+  SELECT r.*, (floor(u + rate * rank) - floor(u + rate * (rank - 1)))::BIGINT AS copies FROM r JOIN b ON r.key = b.key)
+SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM c
 """
