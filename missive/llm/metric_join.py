@@ -2,8 +2,9 @@
 
 Vectors of a label are points of the unit sphere, where cosine >= c means a distance of at most r = sqrt(2 - 2c).
 Pivots, some vectors of the label, partition them into cells: a vector is at home with its nearest pivot p. By the
-triangle inequality a vector y within r of some x at home with q has d(y, q) - d(y, p) <= 2 r, so y also visits all
-cells q for which that holds, and no others. Each cell then joins its own vectors with all that are there,
+triangle inequality a vector y within r of some x at home with q has d(y, q) - d(y, p) <= 2 r; as distances are Euclidean,
+y is also no farther than r from the half-space of points nearer to q than to p, so that
+d(y, q)^2 - d(y, p)^2 <= 2 r d(p, q), which is tighter. So y also visits all cells q for which both hold, and no others. Each cell then joins its own vectors with all that are there,
 independently of other cells; cells larger than a task's share are split into pairs of chunks. Equal vectors count
 once, with their number. Results are counts and one edge for each vector and local component, never pairs.
 """
@@ -61,19 +62,21 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], column: str = "")
 
 def _assign(threshold: float):
     """Rows of a part of a label, pivots (kind 0) first: each vector at home and where else it visits."""
-    reach = 2 * np.sqrt(2 - 2 * threshold) + SLACK
+    radius = np.sqrt(2 - 2 * threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (label, dim, _), rows in _runs(batches, ["label", "dim", "part"]):
             kind = rows.column("kind").to_numpy()
             pivots = unit(rows.filter(pa.array(kind == 0)).column("vector").to_pylist())
+            between = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
             rest = rows.filter(pa.array(kind == 1))
             for begin in range(0, rest.num_rows, 4096):
                 part = rest.slice(begin, 4096).combine_chunks()
                 x = unit(part.column("vector").to_pylist())
                 far = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T))
                 home = far.argmin(axis=1)
-                at, cell = np.nonzero(far - far.min(axis=1)[:, None] <= reach)
+                least = far.min(axis=1)[:, None]
+                at, cell = np.nonzero((far - least <= 2 * radius + SLACK) & (far * far - least * least <= 2 * radius * between[home] + SLACK))
                 out = part.take(pa.array(at))
                 columns = [pa.array(np.full(len(at), label)), pa.array(np.full(len(at), dim)), pa.array(cell), pa.array(home[at] == cell)]
                 batch = pa.Table.from_arrays([*columns, out.column("rep"), out.column("weight"), out.column("vector")], names=["label", "dim", "cell", "home", "rep", "weight", "vector"])
@@ -117,11 +120,12 @@ def _join_cell(threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of ``vectors`` (vec_id, embedding, label).
 
-    A null, empty or zero vector, one with null or non-finite components, and one without a label links with nothing;
-    vectors of different lengths do not link. Equal vectors link. Other columns are left out; an empty table gives no
-    rows.
+    A null, empty or zero vector, one with null or non-finite components, and one without a label or without a vec_id
+    links with nothing; the last is kept and has no component. Vectors of different lengths do not link. Equal vectors
+    link; repeated rows count as vectors of their own. Other columns are left out; an empty table gives no rows.
     """
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("long"), F.col("embedding").cast("array<double>").alias("vector"))
+    label = F.when(F.col("vec_id").isNotNull(), F.col("label").cast("long"))
+    rows = vectors.select(F.col("vec_id").cast("long"), label.alias("label"), F.col("embedding").cast("array<double>").alias("vector"))
     sound = rows.where(F.col("label").isNotNull() & is_sound(F.col("vector")))
     same = sound.groupBy("label", "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     same = checkpoint(same.withColumn("dim", F.size("vector").cast("long")))
@@ -174,6 +178,6 @@ reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN l
 c AS (SELECT u, min(v) AS least FROM reach GROUP BY u),
 n AS (SELECT u, count(*) AS n_links FROM links GROUP BY u)
 SELECT e.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c.least, e.vec_id)) AS component_id,
-       e.vec_id = least(e.vec_id, coalesce(c.least, e.vec_id)) AS kept
+       e.vec_id IS NOT DISTINCT FROM least(e.vec_id, coalesce(c.least, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN c ON c.u = e.vec_id LEFT JOIN n ON n.u = e.vec_id
 """
