@@ -27,8 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from .common import U64, checkpoint, connected_components, mix64, release, table, text_bytes, text_chunks, word_hashes
 
@@ -170,7 +171,8 @@ def _index(docs: DataFrame, buckets: int) -> DataFrame:
 
         def send() -> Iterator[pa.RecordBatch]:
             nonlocal number, gathered
-            if not held:
+            if not gathered:
+                held.clear()
                 return
             sig = np.concatenate([s for s, _, _ in held])
             node = np.concatenate([x for _, x, _ in held])
@@ -444,14 +446,15 @@ def join_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs`` (doc_id, text).
 
     A null or empty text, or one without words, has no shingles, links with nothing and is its own component; so is a
-    text with fewer than five words a set of one shingle. Equal texts, and repeated rows, are one component; an empty
-    table gives no rows; other columns are left out.
+    text with fewer than five words a set of one shingle. Equal texts, and repeated rows, are one component; a row without
+    a doc_id links with nothing and has no component; an empty table gives no rows; other columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = checkpoint(sketches(docs))
+    docs = docs.where("doc_id IS NOT NULL")
     elements = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-elements * 6 // 10 // BUCKET_SIGNATURES))
-    same = sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
+    same = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
 
     same = checkpoint(same)
     vectors = sets.join(same.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
@@ -473,18 +476,25 @@ def join_components(docs: DataFrame) -> DataFrame:
 
     classes = same.join(component, same["rep"] == component["node"], "left")
     classes = classes.select("h1", "h2", "n", F.coalesce("component", "rep").alias("component_id"))
-    own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return sets.drop("vector").join(classes, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without all but the smallest doc_id of each component, each doc_id once.
 
-    Rows without a doc_id can't be told apart and stay.
+    Of rows with one doc_id the one with the least text (null first) stays, of those the one that is least by a hash of
+    its other columns. Rows without a doc_id can't be told apart and stay.
     """
     classes = join_components(docs)
     first = classes.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(first, docs["doc_id"] == first["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(first, docs["doc_id"] == first["kept_id"], "left_semi")
+    place, known = "place", {c.lower() for c in docs.columns}
+    while place in known:
+        place += "_"
+    hashed = F.xxhash64(*[docs[f.name] for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))])
+    one = Window.partitionBy("doc_id").orderBy("text", hashed)
+    named = named.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1).drop(place)
     return named.unionByName(docs.where(docs["doc_id"].isNull()))
 
 
