@@ -4,7 +4,7 @@ A document is the mean of the learned vectors of its words, of its character n-g
 a word, all hashed into buckets; a softmax layer gives the classes (Joulin et al., "Bag of tricks for efficient text
 classification", 2016). It is trained by stochastic gradient descent in numpy on a bounded sample of the labelled
 documents, whole texts. As both layers are linear, a trained bucket is one number, and scoring a document is a sum over
-its bytes and words.
+its characters and words.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, text_bytes, text_chunks, word_hashes
@@ -23,16 +23,29 @@ from .common import table, text_bytes, text_chunks, word_hashes
 BUCKETS = 1 << 16
 REPEAT = BUCKETS
 GRAMS = (2, 3, 4)
-#: Labelled documents that the model learns from at most (they are chosen by a hash of doc_id).
-SAMPLE = 4000
+#: Labelled documents that the model learns from at most, and bytes of their texts (beyond which no further one is taken);
+#: they are chosen by a hash of doc_id.
+SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
 FOLDS = 5
 
 _GRAM_FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 
 
-def _grams(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Buckets of the n-grams that begin at each byte, white space as one kind of byte."""
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character (its bytes, the first lowest; white space as one kind) and the text that it is in."""
+    if not len(data):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    first = (data & 0xC0) != 0x80
+    first[offsets[:-1][offsets[:-1] < len(data)]] = True
+    begins = np.flatnonzero(first)
     plain = np.where((data >= 9) & (data <= 13), np.uint8(32), data).astype(np.uint32)
+    place = np.arange(len(data)) - begins[np.cumsum(first) - 1]
+    code = np.add.reduceat(plain << (8 * np.minimum(place, 3)).astype(np.uint32), begins).astype(np.uint32)
+    return code, np.searchsorted(offsets, begins, side="right") - 1
+
+
+def _grams(plain: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Buckets of the n-grams that begin at each character."""
     code = np.zeros(len(plain), np.uint32)
     for n in range(1, max(GRAMS) + 1):
         if len(plain) < n:
@@ -45,8 +58,8 @@ def _grams(data: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Kinds of features of texts given as bytes: the buckets, and the text of each, in order."""
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    for n, bucket in _grams(data):
+    plain, text = characters(data, offsets)
+    for n, bucket in _grams(plain):
         inside = text[n - 1 :] == text[: len(text) - n + 1]
         yield bucket[inside], text[: len(text) - n + 1][inside]
     words, of = word_hashes(data, offsets, lower=False)
@@ -109,13 +122,18 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Trains on labelled rows outside fold 0; of more than ``sample`` labels, those least by a hash of doc_id."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Trains on labelled rows outside fold 0; of more than ``sample`` labels, those least by a hash of doc_id, and of these
+    documents, in that order, as many as begin within ``sample_bytes``."""
     known = labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("quality").isin(0, 1) & (fold(F.col("labelled")) != 0))
     known = known.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(sample)  # this many rows are broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))
-    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "quality").toArrow()
+    rows = rows.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "quality")
+    # a window over the sample, of ``sample`` labels at most
+    ahead = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length("text")).over(ahead), F.lit(0))
+    rows = rows.withColumn("before", before).where(F.col("before") < sample_bytes).drop("before").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("text", "ascending")])
     return train(rows.column("text").to_pylist(), rows.column("quality").to_pylist())
 
