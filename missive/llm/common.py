@@ -24,13 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder that the session names.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a temporary folder is used.
+    Only where ``spark.checkpoint.dir`` is unset and the session runs on one machine (tests) a temporary folder is used;
+    on a cluster that would lose data, so there it is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="missive-checkpoint-")
-        )
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="missive-checkpoint-"))
     return df.checkpoint(eager=True)
 
 

@@ -280,7 +280,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of ``pages`` (page_id, url, html).
 
     A null or empty page, or one without lines of its own, has the text "" and no characters. A null URL is a page of
-    the empty host. Repeated rows give repeated rows; other columns are left out; an empty table gives no rows.
+    the empty host; a page without a page_id is no page's partner and has none. Repeated rows give repeated rows; other
+    columns are left out; an empty table gives no rows.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     lines = checkpoint(pages.mapInArrow(_hashes, "page_id long, url string, lines array<long>")).where("page_id IS NOT NULL")

@@ -12,6 +12,7 @@ from test_llm_operators import brute_components, brute_spans
 
 import corpus_pipeline
 from missive.llm import mixing
+from missive.llm.common import checkpoint
 
 PERSONAL = ["mail bob@mail.org now", "call +1 (555) 555-1234 now", "card 4111 1111 1111 1111 paid", "host 10.0.0.1 down, amy@mail.org knows"]
 
@@ -47,7 +48,7 @@ def stages(spark, planted, tmp_path_factory):
     spark.createDataFrame([(k, int(k not in bad)) for k, *_ in rows], "doc_id long, quality int").write.parquet(f"{folder}/labels.parquet")
     out = {"documents": [tuple(r) for r in docs.collect()]}
     for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, folder).localCheckpoint()
+        docs = checkpoint(stage(spark, docs, folder))
         out[name] = [tuple(r) for r in docs.collect()] if name != "packing" else docs.collect()
     return out
 
