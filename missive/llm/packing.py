@@ -24,8 +24,9 @@ from .common import table, text_chunks
 
 #: Documents, and pieces, that a block of the packing holds on average at most.
 BLOCK_DOCS, BLOCK_PIECES = 40_000, 400_000
-#: Runs of white space that are encoded as pieces of their own (White_Space of Unicode, which Python's \s is not).
-LONG_SPACE = regex.compile(r"\p{White_Space}{256,}+")
+#: Characters of the runs of white space that are cut out (White_Space of Unicode, which Python's \s is not).
+LONG = 1 << 16
+LONG_SPACE = regex.compile(rf"\p{{White_Space}}{{{LONG},}}+")
 END_OF_TEXT = "<|endoftext|>"
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -56,7 +57,7 @@ def text_ids(text: str, ranks_path: str) -> bytes:
     """
     encoder = encoding(ranks_path)
     parts, at = [], 0
-    for m in LONG_SPACE.finditer(text):
+    for m in LONG_SPACE.finditer(text) if len(text) >= LONG else ():
         whole = m.end() == len(text) or text.startswith(END_OF_TEXT, m.end())
         end = m.end() if whole else m.end() - 1
         if m.start() > at:
