@@ -3,25 +3,28 @@
 Exact: two sets link when 100 |x & y| >= 80 |x | y|. The two kinds of skipping are those of Wang, Qin, Lin, Zhang and
 Chang, "Leveraging set relations in exact set similarity join" (2017), laid out for a cluster:
 
-* Index level. A set's elements, ordered by hash, fall into as many blocks of positions as its size class asks for.
-  An index list holds the sets that are equal in one block. Sets of sizes n and m that link differ in at most
-  (n + m) / 9 elements, so some block with elements is the same in both unless a set has no more such blocks than
-  that; a set that has so few also goes to the lists of its single elements. All other blocks are skipped: a passage
-  that many sets share fills a block of theirs only if it makes up most of them.
-* Answer level. Each list has a pivot, its first set, and a star is a pivot with the members of its lists; all pairs of
-  a list are never written out. In a star, a set that agrees with the pivot is answered by it: it joins the pivot's
-  component. Only for the others answers are sought among the star's other members. That happens twice: first on
-  block vectors, a byte for every two or so elements (sets that differ in more blocks than two linked sets can have
+* Index level. A set's elements are ordered by how often they occur, rare ones first (counted in a table of fixed size, by
+  hash; any order that all sets share gives right results). Sets of sizes n and m that link differ in at most (n + m) / 9
+  elements, so the places i and j of their first common element add up to (n + m) / 9 at most. So only a set's first
+  elements have entries, one for each size class in which it may link, and an element's list in a class falls into blocks
+  of places: blocks that are too late to link with the list's first block are skipped. A passage that many sets share
+  stands last in their orders and fills no list.
+* Answer level. Each list has a pivot, the first set of its first block, and a star is a pivot with the members of its
+  lists; all pairs of a list are never written out. In a star, a set that agrees with the pivot is answered by it: it joins
+  the pivot's component. Only for the others answers are sought among the star's other members. That happens twice: first
+  on block vectors, a byte for every two or so elements (sets that differ in more blocks than two linked sets can have
   elements apart do not link), which leaves groups that hold all links and little else; then on the sets themselves,
   where |y & b| <= min(|y & p|, |b & p|) + min(|y - p|, |b - p|) decides pairs from what is known about the pivot p
   and only what that leaves open is counted.
 
-Equal sets count once from the lists on. A star larger than a task's share is split into chunks that hold the pivot
+Equal sets count once from the lists on. Lists of very frequent elements are not read by one task: their entries are
+rows, whose pivots come from an aggregation. A star larger than a task's share is split into chunks that hold the pivot
 each; members that do not agree with the pivot then also visit the star's other chunks.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +39,16 @@ from .common import U64, checkpoint, connected_components, mix64, release, table
 WORDS = 5
 #: A link needs TOP * intersection >= BOTTOM * union.
 TOP, BOTTOM = 100, 80
-#: Block signatures that a bucket of the index holds on average, and that a task gathers before it sends them on.
-BUCKET_SIGNATURES, SEND_SIGNATURES = 2_000_000, 2_000_000
+#: Entries that a bucket of the index holds on average, and that a task gathers before it sends or reads them.
+BUCKET_ENTRIES, SEND_ENTRIES = 2_000_000, 2_000_000
 #: Set elements that a chunk of a star holds on average.
 CHUNK_ELEMENTS = 400_000
-#: Class of the lists of single elements; the other classes are floor(log2(size)).
-SINGLE = 63
+#: Blocks of places that a list has, from the first place to the last at which the first common element can be.
+BLOCKS = 8
+#: Bits of an element's hash that name its counter, and slices in which the counters travel.
+COUNTER_BITS, SLICES = 20, 64
+#: An element is very frequent if its counter says at least this, and as many times the mean counter.
+FREQUENT, TIMES_MEAN = 1 << 20, 64
 
 _FACTORS = mix64(np.arange(1, WORDS + 1, dtype=U64)) | U64(1)
 
@@ -77,50 +84,47 @@ def set_hashes(values: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.n
     return mix64(_sums(mix64(values ^ U64(0x5851F42D4C957F2D)), begins)), mix64(_sums(mix64(values ^ U64(0x14057B7EF767814F)), begins))
 
 
-def blocks_of(size_class: int | np.ndarray) -> np.ndarray:
-    """Blocks of positions in a size class: more than two of its sets that link can differ in, with some to spare."""
-    most = 2 * (2 ** (np.asarray(size_class) + 1) - 1) // 9
-    return np.where(most == 0, 1, most + most * 15 // 100 + 5)
+def frequency_levels(counts: np.ndarray) -> np.ndarray:
+    """For each counter the level that orders its elements (6 bits), and whether they are very frequent (the top bit)."""
+    level = np.minimum(2 * np.log2(counts + 1.0), 63).astype(np.uint8)
+    frequent = counts >= max(FREQUENT, TIMES_MEAN * counts.mean())
+    return level | (frequent.astype(np.uint8) << 7)
 
 
-def signatures(values: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of all blocks with elements of all sets, and the set of each.
+def list_entries(values: np.ndarray, begins: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The lists (64-bit hashes of element and size class) in which the sets have entries, the set of each entry, its block,
+    and whether its element is very frequent.
 
-    A set is in its own size class, and in the next one if sets there may link to it.
+    A set is in the lists of its own size class, and in those of the next one if sets there may link to it.
     """
     sizes = np.diff(begins)
     some = np.flatnonzero(sizes)
     own = np.zeros(len(sizes), np.int64)
     own[some] = np.floor(np.log2(sizes[some])).astype(np.int64)
     largest = sizes * TOP // BOTTOM
-    mixed = mix64(values ^ U64(0x9FB21C651E98DF25))
     sets = np.repeat(np.arange(len(sizes)), sizes)
-    out, of = [], []
+    level = levels[values >> U64(64 - COUNTER_BITS)]
+    # by set, level and value; a set's values are in order already, so a stable sort of what fits into 64 bits is exact
+    bits = len(sizes).bit_length()
+    key = (sets.astype(U64) << U64(64 - bits)) | ((level & 63).astype(U64) << U64(58 - bits)) | (values >> U64(6 + bits))
+    order = np.argsort(key, kind="stable")
+    ordered, frequent = values[order], level[order] >> 7
+    place = np.arange(len(values)) - begins[sets]
+    out: list[tuple[np.ndarray, ...]] = []
 
     def add(chosen: np.ndarray, size_class: np.ndarray) -> None:
-        """Signatures of the chosen sets in a class each, and of the single elements of those with too few blocks."""
-        held = chosen[sets]
-        v, m, s = values[held], mixed[held], sets[held]
-        if not len(v):
-            return
-        block = ((v >> U64(32)) * blocks_of(size_class)[s].astype(U64)) >> U64(32)
-        first = np.append(True, (block[1:] != block[:-1]) | (s[1:] != s[:-1]))
-        at = np.flatnonzero(first)
-        salt = (size_class[s[at]].astype(U64) << U64(40)) | block[at]
-        out.append(mix64(np.add.reduceat(m, at) ^ mix64(salt + U64(1))))
-        of.append(s[at])
-        filled = np.bincount(s[at], minlength=len(sizes))
-        differ = (sizes + np.minimum(largest, 2 ** (size_class + 1) - 1)) // 9
-        few = (chosen & (filled <= differ))[s]
-        if few.any():
-            out.append(mix64(m[few] ^ mix64(U64(SINGLE << 40) + U64(1))))
-            of.append(s[few])
+        most = 2 ** (size_class + 1) - 1  # elements of a set of the class
+        upto = np.where(chosen, (sizes + np.minimum(largest, most)) // 9, -1)
+        at = np.flatnonzero(place <= upto[sets])
+        s = sets[at]
+        salt = mix64(size_class[s].astype(U64) + U64(1))
+        # floor(BLOCKS * i / (2 * most / 9)): the blocks of two places that may both be first add up to BLOCKS at most
+        block = place[at] * (9 * BLOCKS) // (2 * most[s])
+        out.append((mix64(ordered[at] ^ salt), s, block.astype(np.uint8), frequent[at].astype(bool)))
 
     add(sizes > 0, own)
     add((sizes > 0) & (largest >= 2 ** (own + 1)), own + 1)
-    if not out:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    return np.concatenate(out), np.concatenate(of)
+    return tuple(np.concatenate(column) for column in zip(*out, strict=True))
 
 
 def vector_blocks(sizes: np.ndarray) -> np.ndarray:
@@ -145,105 +149,188 @@ def block_vectors(values: np.ndarray, begins: np.ndarray) -> list[bytes]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of its set), h1 and h2 (hashes of its set), vector (its block vector) of each document."""
+    """doc_id, n (size of its set), h1 and h2 (hashes of its set), vector (its block vector) of each document; and, in rows
+    whose slice is not null, a task's counters of elements, each slice's packed in vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in batches:
             for begin, end in text_chunks(batch):
                 part = batch.slice(begin, end - begin)
                 values, begins = shingle_sets(*text_bytes(part.column("text")))
+                np.add.at(counters, (values >> U64(64 - COUNTER_BITS)).astype(np.int64), np.uint32(1))
                 h1, h2 = set_hashes(values, begins)
                 columns = [part.column("doc_id"), pa.array(np.diff(begins)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
-                columns.append(pa.array(block_vectors(values, begins), pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "vector"])
+                columns += [pa.array(block_vectors(values, begins), pa.binary()), pa.nulls(part.num_rows, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "vector", "slice"])
+        if counters.any():
+            none = pa.nulls(SLICES, pa.int64())
+            packed = pa.array([pack_counters(c) for c in np.split(counters, SLICES)], pa.binary())
+            yield pa.RecordBatch.from_arrays([none, none, none, none, packed, pa.array(range(SLICES), pa.int32())], names=["doc_id", "n", "h1", "h2", "vector", "slice"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, vector binary")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, vector binary, slice int")
 
 
-def _index(docs: DataFrame, buckets: int) -> DataFrame:
-    """The index lists' entries, in bulk: rows of (bucket, part, number, signatures, nodes, counts):
-    the low halves of a bucket's signatures, set by set, the sets, and how many signatures each has there."""
+def pack_counters(counts: np.ndarray) -> bytes:
+    """Counters in planes of one byte each, compressed: most of the upper planes are zeros."""
+    return zlib.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpack_counters(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def total_counters(found: DataFrame) -> np.ndarray:
+    """The sum of all tasks' counters; a table of fixed size, whatever the input's."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, packed in zip(batch.column("slice").to_pylist(), batch.column("vector").to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + unpack_counters(packed)
+        columns = [pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["slice", "counts"])
+
+    total = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), np.int64)
+    for row in found.select("slice", "vector").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():
+        total[row["slice"]] = np.frombuffer(row["counts"], np.int64)
+    return total.ravel()
+
+
+def _index(docs: DataFrame, buckets: int, levels: np.ndarray) -> DataFrame:
+    """The lists' entries, in bulk: rows of (bucket, block, part, number, lists, nodes), the lists being the low halves of
+    their hashes; and, in buckets below 0, entries of very frequent elements with whole hashes and a block each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_id, number = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         gathered = 0
 
         def send() -> Iterator[pa.RecordBatch]:
             nonlocal number, gathered
             if not gathered:
-                held.clear()
                 return
-            sig = np.concatenate([s for s, _, _ in held])
-            node = np.concatenate([x for _, x, _ in held])
-            firsts = np.cumsum([0, *(len(x) for _, x, _ in held)])
-            of = np.concatenate([o + first for (_, _, o), first in zip(held, firsts, strict=False)])
+            name, node, block, frequent = (np.concatenate(column) for column in zip(*held, strict=True))
             held.clear()
             gathered = 0
-            bucket = ((sig >> U64(32)) * U64(buckets)) >> U64(32)
-            order = np.lexsort((of, bucket))
-            bucket, low, of = bucket[order], sig[order].astype(np.uint32), of[order]
-            ids, begins = np.unique(bucket, return_index=True)
-            rows: list[tuple[bytes, bytes, bytes]] = []
-            for a, b in zip(begins, [*begins[1:], len(bucket)], strict=True):
-                sets, counts = np.unique(of[a:b], return_counts=True)
-                rows.append((low[a:b].tobytes(), node[sets].tobytes(), counts.astype(np.uint32).tobytes()))
-            head = [pa.array(ids.astype(np.int64)), pa.array(np.full(len(ids), part_id)), pa.array(np.full(len(ids), number))]
+            bucket = (((name >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
+            bucket[frequent] = -1 - (part_id + number) % buckets
+            cell = bucket * (BLOCKS + 1) + block
+            order = np.argsort(cell, kind="stable")
+            name, node, block, bucket = name[order], node[order], block[order], bucket[order]
+            _, begins = np.unique(cell[order], return_index=True)
+            rows = []
+            for a, b in zip(begins.tolist(), [*begins[1:].tolist(), len(cell)], strict=True):
+                lists = name[a:b] if bucket[a] < 0 else name[a:b].astype(np.uint32)
+                rows.append((int(bucket[a]), int(block[a]), part_id, number, lists.tobytes(), node[a:b].tobytes()))
             number += 1
-            columns = [*head, *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "part", "number", "signatures", "nodes", "counts"])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "part", "number", "lists", "nodes"])
 
         for batch in batches:
             for begin, end in text_chunks(batch):
                 values, begins = shingle_sets(*text_bytes(batch.slice(begin, end - begin).column("text")))
-                sig, of = signatures(values, begins)
-                held.append((sig, set_hashes(values, begins)[0], of))
-                gathered += len(sig)
-                if gathered >= SEND_SIGNATURES:
+                hashes = set_hashes(values, begins)[0]
+                name, of, block, frequent = list_entries(values, begins, levels)
+                _, once = np.unique(hashes, return_index=True)  # of equal sets the first
+                first = np.zeros(len(hashes), bool)
+                first[once] = True
+                keep = first[of]
+                held.append((name[keep], hashes[of[keep]].view(np.int64), block[keep], frequent[keep]))
+                gathered += int(keep.sum())
+                if gathered >= SEND_ENTRIES:
                     yield from send()
         yield from send()
 
-    entries = docs.select("doc_id", "text").mapInArrow(run, "bucket long, part long, number long, signatures binary, nodes binary, counts binary")
-    return entries.repartition("bucket").sortWithinPartitions("bucket", "part", "number")
+    entries = docs.select("doc_id", "text").mapInArrow(run, "bucket long, block int, part long, number long, lists binary, nodes binary")
+    return entries.repartition("bucket").sortWithinPartitions("bucket", "block", "part", "number")
+
+
+class _Lists:
+    """The lists of a bucket, read block by block: of each its pivot and its first block, not its members."""
+
+    def __init__(self) -> None:
+        self.names, self.pivots, self.blocks = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def read(self, block: int, names: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """(pivot, node) of the next entries, all of one block, without those that are skipped."""
+        mine, first = np.unique(names, return_index=True)
+        at = np.minimum(np.searchsorted(self.names, mine), max(0, len(self.names) - 1))
+        new = self.names[at] != mine if len(self.names) else np.ones(len(mine), bool)
+        all_names = np.concatenate([self.names, mine[new]])
+        order = np.argsort(all_names, kind="stable")
+        self.names = all_names[order]
+        self.pivots = np.concatenate([self.pivots, nodes[first[new]]])[order]
+        self.blocks = np.concatenate([self.blocks, np.full(int(new.sum()), block)])[order]
+        at = np.searchsorted(self.names, names)
+        pivots = self.pivots[at]
+        linked = (pivots != nodes) & (self.blocks[at] + block <= BLOCKS)
+        return np.unique(np.stack([pivots[linked], nodes[linked]], axis=1), axis=0)
 
 
 def _star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, node) of the lists: a list's first set and each other one. Only signatures are held, not the lists."""
+    """(pivot, node) of the lists; and (node, list, block) of the entries of very frequent elements as they are."""
+    names = ["pivot", "node", "list", "block"]
     found: list[np.ndarray] = []
     waiting = 0
 
     def send() -> Iterator[pa.RecordBatch]:
         nonlocal waiting
-        if found:
+        if waiting:
             pairs = np.unique(np.concatenate(found), axis=0)
             found.clear()
             waiting = 0
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["pivot", "node"])
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), none, none.cast(pa.int32())], names=names)
+
+    lists, place, held, gathered = _Lists(), (None, None), [], 0
+
+    def read() -> None:
+        nonlocal gathered, waiting
+        if gathered:
+            pairs = lists.read(place[1], *(np.concatenate(c) for c in zip(*held, strict=True)))
+            held.clear()
+            gathered = 0
+            if len(pairs):
+                found.append(pairs)
+                waiting += len(pairs)
 
-    bucket, keys, pivots = None, np.zeros(0, np.uint32), np.zeros(0, np.int64)
     for batch in batches:
-        for b, sig, node, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "signatures", "nodes", "counts")), strict=True):
-            if b != bucket:
-                bucket, keys, pivots = b, np.zeros(0, np.uint32), np.zeros(0, np.int64)
-            sig = np.frombuffer(sig, np.uint32)
-            node = np.repeat(np.frombuffer(node, np.int64), np.frombuffer(counts, np.uint32))
-            mine, first = np.unique(sig, return_index=True)
-            at = np.searchsorted(keys, mine)
-            old = at < len(keys)
-            old[old] = keys[at[old]] == mine[old]
-            all_keys, all_pivots = np.concatenate([keys, mine[~old]]), np.concatenate([pivots, node[first[~old]]])
-            order = np.argsort(all_keys, kind="stable")
-            keys, pivots = all_keys[order], all_pivots[order]
-            pivot = pivots[np.searchsorted(keys, sig)]
-            other = pivot != node
-            if other.any():
-                found.append(np.unique(np.stack([pivot[other], node[other]], axis=1), axis=0))
-                waiting += len(found[-1])
-                if waiting >= SEND_SIGNATURES:
+        for bucket, block, name, node in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "lists", "nodes")), strict=True):
+            node = np.frombuffer(node, np.int64)
+            if bucket < 0:
+                columns = [pa.nulls(len(node), pa.int64()), pa.array(node), pa.array(np.frombuffer(name, np.int64)), pa.array(np.full(len(node), block, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                continue
+            if (bucket, block) != place or gathered >= SEND_ENTRIES:
+                read()
+                if bucket != place[0]:
+                    lists = _Lists()
+                place = bucket, block
+                if waiting >= SEND_ENTRIES:
                     yield from send()
+            held.append((np.frombuffer(name, np.uint32), node))
+            gathered += len(node)
+    read()
     yield from send()
 
 
+def star_pairs(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(pivot, node) of all stars: each list's pivot and each other set of it that may link to one of it."""
+    buckets = max(1, -(-int(counts.sum()) // 3 // BUCKET_ENTRIES))
+    levels = frequency_levels(counts)
+    found = _index(docs, buckets, levels).mapInArrow(_star_pairs, "pivot long, node long, list long, block int")
+    if not (levels >> 7).any():
+        return found.select("pivot", "node").distinct()
+    found = checkpoint(found)
+    entries = found.where("list IS NOT NULL").select("list", "block", "node")
+    firsts = entries.groupBy("list").agg(F.min(F.struct("block", "node")).alias("first"))
+    frequent = entries.join(firsts, "list").where((F.col("node") != F.col("first.node")) & (F.col("block") + F.col("first.block") <= BLOCKS))
+    frequent = frequent.select(F.col("first.node").alias("pivot"), "node")
+    return found.where("list IS NULL").select("pivot", "node").unionByName(frequent).distinct()
+
+
 class _Union:
     def __init__(self, n: int):
         self.parent = list(range(n))
@@ -450,17 +537,16 @@ def join_components(docs: DataFrame) -> DataFrame:
     a doc_id links with nothing and has no component; an empty table gives no rows; other columns are left out.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sets = checkpoint(sketches(docs))
+    found = checkpoint(sketches(docs))
+    counts = total_counters(found.where("slice IS NOT NULL"))
+    sets = found.where("slice IS NULL").drop("slice")
     docs = docs.where("doc_id IS NOT NULL")
-    elements = sets.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-elements * 6 // 10 // BUCKET_SIGNATURES))
     same = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-
     same = checkpoint(same)
     vectors = sets.join(same.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
     vectors = vectors.select(F.col("doc_id").alias("rep"), F.col("vector").alias("payload"))
     reps = same.select(F.col("h1").alias("node"), "rep", "n")
-    pairs = _index(docs, buckets).mapInArrow(_star_pairs, "pivot long, node long").distinct()
+    pairs = star_pairs(docs, counts)
     star = checkpoint(pairs.join(reps, "node").select("pivot", "rep", "n"))
     del pairs
     release(docs.sparkSession)

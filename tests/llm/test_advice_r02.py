@@ -5,8 +5,10 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from test_llm_operators import brute_components
 
 from missive.llm import common, html_text, jaccard_join, metric_join, mixing, packing, quality
 
@@ -27,6 +29,7 @@ LONG = {
     "blanks": "x " + " " * 2_000_000 + "y",
     "mixed": "\n \t　\x85" * 400_000 + "end",
     "special": "\n " * 1_000_000 + "<|endoftext|>" + " " * 300 + "<|endoftext|> z",
+    "two": " \n" * 40_000 + "a" + "\t" * 65_535 + "b" + " " * 65_536 + " c" + "\r\n" * 32_768,
     "many": "".join("w" + " \n"[k % 2] * (250 + k % 12) + "'s" * (k % 3 == 0) for k in range(4000)),
 }
 
@@ -176,3 +179,40 @@ def test_quality_learns_from_a_bounded_sample(spark):
     got = quality.score(docs, model).collect()
     assert sum((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in got) >= 395
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels, sample=0)).collect()} == {0.5}
+
+
+def test_jaccard_join_of_short_texts_that_share_a_passage(spark):
+    """Three hundred short texts hold one passage, most of them little else; some link by way of others."""
+    rng = np.random.default_rng(8)
+    passage = "the same passage stands in every one of these".split()
+    texts = {}
+    for k in range(300):
+        own = [f"w{int(x)}" for x in rng.integers(0, 9, int(rng.integers(0, 6)))]
+        texts[k] = " ".join(passage[: int(rng.integers(5, 10))] + own if k % 2 else own + passage)
+    want = brute_components(texts)
+    rows = spark.createDataFrame([*texts.items(), (999, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join_components(rows.repartition(7)).collect()}
+    assert got == want | {999: (0, 999)}
+    assert 5 < len({c for _, c in want.values()}) < 200
+
+
+def test_lists_read_in_parts_give_the_same_stars(monkeypatch):
+    """However many entries are read at once, every two sets that meet in blocks which may link are in one star."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for bucket in (0, 1):
+        for block in range(jaccard_join.BLOCKS + 1):
+            for part in range(3):
+                n = int(rng.integers(1, 40))
+                rows.append((bucket, block, part, 0, rng.integers(0, 30, n).astype(np.uint32).tobytes(), rng.integers(0, 25, n).tobytes()))
+    names = ["bucket", "block", "part", "number", "lists", "nodes"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[k : k + 5]]) for k in range(0, len(rows), 5)]
+    entries = [(b, x, int(name), int(node)) for b, x, _, _, lists, nodes in rows for name, node in zip(np.frombuffer(lists, np.uint32), np.frombuffer(nodes, np.int64))]
+    for most in (2_000_000, 10):
+        monkeypatch.setattr(jaccard_join, "SEND_ENTRIES", most)
+        pairs = {(p, n) for batch in jaccard_join._star_pairs(iter(batches)) for p, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+        pivots = {}
+        for b, x, name, node in entries:
+            pivots.setdefault((b, name), (x, node))
+        want = {(pivots[b, name][1], node) for b, x, name, node in entries if node != pivots[b, name][1] and x + pivots[b, name][0] <= jaccard_join.BLOCKS}
+        assert pairs == want

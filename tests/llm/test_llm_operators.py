@@ -109,9 +109,14 @@ def brute_components(texts):
     return {k: (len(sets[k]), root(k)) for k in sets}
 
 
-@pytest.mark.parametrize("chunk", [400_000, 300])
-def test_jaccard_join_equals_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "frequent", "entries"), [(400_000, 1 << 20, 2_000_000), (300, 2, 2_000_000), (300, 4, 50)])
+def test_jaccard_join_equals_brute_force(spark, monkeypatch, chunk, frequent, entries):
+    """Also with stars of many chunks, lists of frequent elements as rows, and many buckets that are sent and read in parts."""
     monkeypatch.setattr(jaccard_join, "CHUNK_ELEMENTS", chunk)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard_join, "TIMES_MEAN", 1)
+    monkeypatch.setattr(jaccard_join, "SEND_ENTRIES", entries)
+    monkeypatch.setattr(jaccard_join, "BUCKET_ENTRIES", entries)
     rng = random.Random(4)
     vocabulary = [f"w{k}" for k in range(400)]
     passage = rng.choices(vocabulary, k=40)
@@ -134,8 +139,8 @@ def test_jaccard_join_of_nothing(empty):
     assert jaccard_join.join_components(empty).count() == 0
 
 
-def test_blocks_of_signatures_find_every_linked_pair():
-    """A pair at the threshold shares a signature, whatever elements it differs in."""
+def test_lists_hold_every_linked_pair_in_blocks_that_are_read():
+    """A pair at the threshold meets in a list, in blocks that are not skipped for one another, whatever the counters say."""
     rng = np.random.default_rng(2)
     for n in [1, 2, 4, 5, 9, 10, 17, 40, 100, 333]:
         for _ in range(30):
@@ -144,8 +149,27 @@ def test_blocks_of_signatures_find_every_linked_pair():
             split = int(rng.integers(0, own + 1))
             extra = jaccard_join.mix64(rng.integers(1, 1 << 62, own).astype(np.uint64))
             x, y = np.sort(np.append(common, extra[:split])), np.sort(np.append(common, extra[split:]))
-            sig, of = jaccard_join.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
-            assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist()), n
+            levels = jaccard_join.frequency_levels(rng.integers(0, 40, 1 << jaccard_join.COUNTER_BITS))
+            name, of, block, _ = jaccard_join.list_entries(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), levels)
+            mine = dict(zip(name[of == 0].tolist(), block[of == 0].tolist()))
+            assert any(k in mine and mine[k] + b <= jaccard_join.BLOCKS for k, b in zip(name[of == 1].tolist(), block[of == 1].tolist())), n
+            assert block.max() <= jaccard_join.BLOCKS
+
+
+def test_lists_skip_blocks_that_are_too_late():
+    lists = jaccard_join._Lists()
+    assert lists.read(3, np.array([7, 7, 8], np.uint32), np.array([1, 2, 3])).tolist() == [[1, 2]]
+    assert lists.read(5, np.array([7, 8], np.uint32), np.array([4, 5])).tolist() == [[1, 4], [3, 5]]
+    assert lists.read(6, np.array([7, 9, 9], np.uint32), np.array([6, 7, 8])).tolist() == []
+
+
+def test_counters_are_whole(spark, docs):
+    from missive.llm.common import text_bytes
+
+    found = jaccard_join.sketches(docs.select("doc_id", "text").repartition(3))
+    counts = jaccard_join.total_counters(found.where("slice IS NOT NULL"))
+    values, _ = jaccard_join.shingle_sets(*text_bytes(docs.select("text").toArrow().column("text").combine_chunks()))
+    assert counts.tolist() == np.bincount((values >> np.uint64(64 - jaccard_join.COUNTER_BITS)).astype(int), minlength=1 << jaccard_join.COUNTER_BITS).tolist()
 
 
 def test_mixing(docs, empty):
