@@ -85,15 +85,18 @@ def set_hashes(values: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def frequency_levels(counts: np.ndarray) -> np.ndarray:
-    """For each counter the level that orders its elements (6 bits), and whether they are very frequent (the top bit)."""
-    level = np.minimum(2 * np.log2(counts + 1.0), 63).astype(np.uint8)
-    frequent = counts >= max(FREQUENT, TIMES_MEAN * counts.mean())
-    return level | (frequent.astype(np.uint8) << 7)
+    """For each counter the level that orders its elements, in 6 bits: twice its binary logarithm."""
+    return np.minimum(2 * np.log2(counts + 1.0), 63).astype(np.uint8)
 
 
-def list_entries(values: np.ndarray, begins: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, ...]:
+def frequent_level(total: int) -> int:
+    """The level from which on elements are very frequent, where all counters together say ``total``."""
+    return int(frequency_levels(np.array([max(FREQUENT, TIMES_MEAN * total >> COUNTER_BITS)]))[0])
+
+
+def list_entries(values: np.ndarray, begins: np.ndarray, levels: np.ndarray, frequent_from: int = 64) -> tuple[np.ndarray, ...]:
     """The lists (64-bit hashes of element and size class) in which the sets have entries, the set of each entry, its block,
-    and whether its element is very frequent.
+    and whether its element's level is that of very frequent ones.
 
     A set is in the lists of its own size class, and in those of the next one if sets there may link to it.
     """
@@ -106,9 +109,9 @@ def list_entries(values: np.ndarray, begins: np.ndarray, levels: np.ndarray) ->
     level = levels[values >> U64(64 - COUNTER_BITS)]
     # by set, level and value; a set's values are in order already, so a stable sort of what fits into 64 bits is exact
     bits = len(sizes).bit_length()
-    key = (sets.astype(U64) << U64(64 - bits)) | ((level & 63).astype(U64) << U64(58 - bits)) | (values >> U64(6 + bits))
+    key = (sets.astype(U64) << U64(64 - bits)) | (level.astype(U64) << U64(58 - bits)) | (values >> U64(6 + bits))
     order = np.argsort(key, kind="stable")
-    ordered, frequent = values[order], level[order] >> 7
+    ordered, frequent = values[order], level[order] >= frequent_from
     place = np.arange(len(values)) - begins[sets]
     out: list[tuple[np.ndarray, ...]] = []
 
@@ -120,7 +123,7 @@ def list_entries(values: np.ndarray, begins: np.ndarray, levels: np.ndarray) ->
         salt = mix64(size_class[s].astype(U64) + U64(1))
         # floor(BLOCKS * i / (2 * most / 9)): the blocks of two places that may both be first add up to BLOCKS at most
         block = place[at] * (9 * BLOCKS) // (2 * most[s])
-        out.append((mix64(ordered[at] ^ salt), s, block.astype(np.uint8), frequent[at].astype(bool)))
+        out.append((mix64(ordered[at] ^ salt), s, block.astype(np.uint8), frequent[at]))
 
     add(sizes > 0, own)
     add((sizes > 0) & (largest >= 2 ** (own + 1)), own + 1)
@@ -180,28 +183,35 @@ def unpack_counters(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
 
 
-def total_counters(found: DataFrame) -> np.ndarray:
-    """The sum of all tasks' counters; a table of fixed size, whatever the input's."""
+def total_levels(found: DataFrame) -> tuple[np.ndarray, int]:
+    """The levels of the sum of all tasks' counters, and that sum over all elements: a table of fixed size (a byte for each
+    counter), whatever the input's."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, packed in zip(batch.column("slice").to_pylist(), batch.column("vector").to_pylist(), strict=True):
                 sums[k] = sums.get(k, 0) + unpack_counters(packed)
-        columns = [pa.array(list(sums), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, names=["slice", "counts"])
+        columns = [pa.array(list(sums), pa.int32()), pa.array([int(c.sum()) for c in sums.values()], pa.int64())]
+        columns.append(pa.array([frequency_levels(c).tobytes() for c in sums.values()], pa.binary()))
+        yield pa.RecordBatch.from_arrays(columns, names=["slice", "total", "levels"])
 
-    total = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), np.int64)
-    for row in found.select("slice", "vector").repartition(SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():
-        total[row["slice"]] = np.frombuffer(row["counts"], np.int64)
-    return total.ravel()
+    levels = np.zeros((SLICES, (1 << COUNTER_BITS) // SLICES), np.uint8)
+    total = 0
+    for row in found.select("slice", "vector").repartition("slice").mapInArrow(add, "slice int, total long, levels binary").collect():
+        levels[row["slice"]] = np.frombuffer(row["levels"], np.uint8)
+        total += row["total"]
+    return levels.ravel(), total
 
 
-def _index(docs: DataFrame, buckets: int, levels: np.ndarray) -> DataFrame:
+def _index(docs: DataFrame, buckets: int, levels: np.ndarray, frequent_from: int) -> DataFrame:
     """The lists' entries, in bulk: rows of (bucket, block, part, number, lists, nodes), the lists being the low halves of
     their hashes; and, in buckets below 0, entries of very frequent elements with whole hashes and a block each."""
 
+    sent = zlib.compress(levels.tobytes(), 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(zlib.decompress(sent), np.uint8)
         part_id, number = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, ...]] = []
         gathered = 0
@@ -232,7 +242,7 @@ def _index(docs: DataFrame, buckets: int, levels: np.ndarray) -> DataFrame:
             for begin, end in text_chunks(batch):
                 values, begins = shingle_sets(*text_bytes(batch.slice(begin, end - begin).column("text")))
                 hashes = set_hashes(values, begins)[0]
-                name, of, block, frequent = list_entries(values, begins, levels)
+                name, of, block, frequent = list_entries(values, begins, levels, frequent_from)
                 _, once = np.unique(hashes, return_index=True)  # of equal sets the first
                 first = np.zeros(len(hashes), bool)
                 first[once] = True
@@ -316,12 +326,12 @@ def _star_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from send()
 
 
-def star_pairs(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(pivot, node) of all stars: each list's pivot and each other set of it that may link to one of it."""
-    buckets = max(1, -(-int(counts.sum()) // 3 // BUCKET_ENTRIES))
-    levels = frequency_levels(counts)
-    found = _index(docs, buckets, levels).mapInArrow(_star_pairs, "pivot long, node long, list long, block int")
-    if not (levels >> 7).any():
+def star_pairs(docs: DataFrame, levels: np.ndarray, total: int) -> DataFrame:
+    """(pivot, node) of all stars: each list's pivot and each other set of it that may link to one of it. ``levels`` are those
+    of the elements, ``total`` is how many there are."""
+    buckets, frequent_from = max(1, -(-total // 3 // BUCKET_ENTRIES)), frequent_level(total)
+    found = _index(docs, buckets, levels, frequent_from).mapInArrow(_star_pairs, "pivot long, node long, list long, block int")
+    if not (levels >= frequent_from).any():
         return found.select("pivot", "node").distinct()
     found = checkpoint(found)
     entries = found.where("list IS NOT NULL").select("list", "block", "node")
@@ -538,7 +548,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = checkpoint(sketches(docs))
-    counts = total_counters(found.where("slice IS NOT NULL"))
+    levels, total = total_levels(found.where("slice IS NOT NULL"))
     sets = found.where("slice IS NULL").drop("slice")
     docs = docs.where("doc_id IS NOT NULL")
     same = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
@@ -546,7 +556,7 @@ def join_components(docs: DataFrame) -> DataFrame:
     vectors = sets.join(same.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id"])
     vectors = vectors.select(F.col("doc_id").alias("rep"), F.col("vector").alias("payload"))
     reps = same.select(F.col("h1").alias("node"), "rep", "n")
-    pairs = star_pairs(docs, counts)
+    pairs = star_pairs(docs, levels, total)
     star = checkpoint(pairs.join(reps, "node").select("pivot", "rep", "n"))
     del pairs
     release(docs.sparkSession)

@@ -97,7 +97,7 @@ def train(texts: list[str], classes: list[int], dims: int = 8, epochs: int = 6,
         data = np.frombuffer(text.encode("utf-8"), np.uint8)
         found = [b for b, _ in features(data, np.array([0, len(data)]))]
         ids, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, int), np.zeros(0))
-        bags.append((ids.astype(np.int64), counts / max(1, counts.sum())))
+        bags.append((ids.astype(np.uint32), (counts / max(1, counts.sum())).astype(np.float32)))
     wanted = np.asarray(classes, np.int64)
     steps, step = max(1, epochs * len(bags)), 0
     for _ in range(epochs):

@@ -167,9 +167,10 @@ def test_counters_are_whole(spark, docs):
     from missive.llm.common import text_bytes
 
     found = jaccard_join.sketches(docs.select("doc_id", "text").repartition(3))
-    counts = jaccard_join.total_counters(found.where("slice IS NOT NULL"))
+    levels, total = jaccard_join.total_levels(found.where("slice IS NOT NULL"))
     values, _ = jaccard_join.shingle_sets(*text_bytes(docs.select("text").toArrow().column("text").combine_chunks()))
-    assert counts.tolist() == np.bincount((values >> np.uint64(64 - jaccard_join.COUNTER_BITS)).astype(int), minlength=1 << jaccard_join.COUNTER_BITS).tolist()
+    counts = np.bincount((values >> np.uint64(64 - jaccard_join.COUNTER_BITS)).astype(int), minlength=1 << jaccard_join.COUNTER_BITS)
+    assert total == len(values) and levels.tolist() == jaccard_join.frequency_levels(counts).tolist()
 
 
 def test_mixing(docs, empty):
