@@ -8,21 +8,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ingest import canonical_json
+
 DIRECT = ("dm", "saved")
 ORDER = ("sent_at_unix", "id")
 #: Seconds of silence that divide a conversation: 30 days.
 SILENCE = 30 * 86400
 
 
-def save_summary(message: DataFrame, thread: DataFrame, identity: DataFrame, person: DataFrame, import_run: DataFrame) -> DataFrame:
-    """One row of counts, the owner's name, and when the last completed run ended."""
-    counts = [t.agg(F.count("*").alias(n)) for t, n in ((message, "messages"), (thread, "threads"), (identity, "identities"), (person, "people"), (import_run, "imports"))]
-    owner = person.where("is_owner").agg(F.min("display_name").alias("owner_name"))
-    last = import_run.where("status = 'completed'").agg(F.max("finished_unix").alias("last_finished"))
-    out = counts[0]
-    for one in [*counts[1:], owner, last]:
+def save_summary(message: DataFrame, thread: DataFrame, identity: DataFrame, person: DataFrame, source: DataFrame, media: DataFrame, import_run: DataFrame) -> DataFrame:
+    """One row of seven counts, the owner's name, and when the last completed run ended."""
+    counted = ((message, "messages"), (thread, "threads"), (person, "people"), (source, "sources"), (media, "media"))
+    parts = [t.agg(F.count("*").alias(n)) for t, n in counted]
+    parts.append(identity.agg(F.count("*").alias("identities"), F.count_if("is_synthetic").alias("synthetic")))
+    parts.append(person.where("is_owner").agg(F.min("display_name").alias("owner_name")))
+    parts.append(import_run.where("status = 'completed'").agg(F.max("finished_unix").alias("last_finished")))
+    out = parts[0]
+    for one in parts[1:]:
         out = out.crossJoin(one)  # one row each
-    return out
+    return out.select("messages", "threads", "people", "identities", "synthetic", "sources", "media", "owner_name", "last_finished")
 
 
 def people(person: DataFrame, identity: DataFrame, identity_person: DataFrame, message: DataFrame, search: str | None = None) -> DataFrame:
@@ -128,6 +132,19 @@ def message_context(message: DataFrame, anchors: DataFrame, radius: int = 8) ->
     return each.select("anchor_id", "id", "thread_id", (F.col("at") - F.col("ahead")).cast("long").alias("distance"))
 
 
+def message_context_of(message: DataFrame, anchor_id: int, radius: int = 8) -> DataFrame:
+    """The context of one message: its neighbours on either side are the first rows of two orders of its thread."""
+    at = message.where(F.col("id") == anchor_id).select("thread_id", F.col("sent_at_unix").alias("unix"), F.col("id").alias("anchor_id")).limit(1)
+    rows = message.select("id", "thread_id", "sent_at_unix").join(F.broadcast(at), "thread_id")  # one row
+    here = F.struct("sent_at_unix", "id") >= F.struct("unix", "anchor_id")
+    columns = ["anchor_id", "id", "thread_id", "sent_at_unix"]
+    after = rows.where(here).orderBy("sent_at_unix", "id").limit(radius + 1).select(*columns)
+    before = rows.where(~here).orderBy(F.desc("sent_at_unix"), F.desc("id")).limit(radius).select(*columns)
+    forth, back = (F.row_number().over(Window.orderBy(*order)).cast("long") for order in (("sent_at_unix", "id"), (F.desc("sent_at_unix"), F.desc("id"))))  # 17 rows at most
+    out = after.withColumn("distance", forth - 1).unionByName(before.withColumn("distance", -back))
+    return out.select("anchor_id", "id", "thread_id", "distance")
+
+
 def person_of(message: DataFrame, thread: DataFrame, participant: DataFrame, identity_person: DataFrame, person: DataFrame) -> DataFrame:
     """The person a message belongs with: in a direct thread the other one (the least if there are several), else the sender."""
     direct = thread.where(F.col("kind").isin(*DIRECT)).select(F.col("id").alias("thread_id"))
@@ -187,6 +204,11 @@ def decide_kind(chat: DataFrame, kind: str, decision: str, undecided_only: bool
     return chat.withColumn("decision", F.when(applies, F.lit(decision)).otherwise(F.col("decision")))
 
 
+def decide(chat: DataFrame, chat_id: str, decision: str) -> DataFrame:
+    """Chats with the decision for one of them, whatever it was before."""
+    return chat.withColumn("decision", F.when(F.col("chat_id") == chat_id, F.lit(decision)).otherwise(F.col("decision")))
+
+
 def upsert_chats(stored: DataFrame, seen: DataFrame) -> DataFrame:
     """Stored chats brought up to date: titles and kinds as seen, the later last message, decisions kept."""
     new = seen.select("chat_id", F.col("title").alias("new_title"), F.col("peer_kind").alias("new_kind"), F.col("last_message_unix").alias("new_last"))
@@ -195,14 +217,23 @@ def upsert_chats(stored: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def dataset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row: messages in both, those of them that differ, and those on one side only inside the ids both sides cover of a thread."""
-    a = left.select("uid", "thread_id", F.col("id").alias("left_id"), F.col("plaintext").alias("left_text"), F.col("kind").alias("left_kind"))
-    b = right.select("uid", F.col("thread_id").alias("right_thread"), F.col("id").alias("right_id"), F.col("plaintext").alias("right_text"), F.col("kind").alias("right_kind"))
+    """One row: messages (uid, thread_id, id, plaintext, service_action, entities) in both, those of them that differ in text,
+    action or entities (as JSON without its white space), and those on one side only inside the ids that the right side
+    covers of a thread."""
+    fields = ("plaintext", "service_action", "entities")
+    a = left.select("uid", "thread_id", F.col("id").alias("left_id"), *[F.col(c).alias(f"left_{c}") for c in fields])
+    b = right.select("uid", F.col("thread_id").alias("right_thread"), F.col("id").alias("right_id"), *[F.col(c).alias(f"right_{c}") for c in fields])
     span = right.groupBy(F.col("thread_id").alias("span_thread")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
     rows = a.join(b, "uid", "full").withColumn("t", F.coalesce("thread_id", "right_thread")).join(span, F.col("t") == F.col("span_thread"), "left")
     inside = F.coalesce("left_id", "right_id").between(F.col("low"), F.col("high"))
     shared = F.col("left_id").isNotNull() & F.col("right_id").isNotNull()
-    same = F.col("left_text").eqNullSafe(F.col("right_text")) & F.col("left_kind").eqNullSafe(F.col("right_kind"))
+    equal = {c: F.col(f"left_{c}").eqNullSafe(F.col(f"right_{c}")) for c in fields}
+    # only entities that differ as they are written are read as JSON
+    doubtful = shared & ~equal["entities"]
+    one, other = (canonical_json(F.when(doubtful, F.col(f"{side}_entities"))) for side in ("left", "right"))
+    rows = rows.withColumn("left_json", one).withColumn("right_json", other)
+    blank = lambda c: F.when(F.trim(c) != "", F.col(c))
+    same = equal["plaintext"] & equal["service_action"] & (equal["entities"] | blank("left_json").eqNullSafe(blank("right_json")))
     out = rows.agg(
         F.count_if(shared).alias("shared"), F.count_if(shared & ~same).alias("differ"),
         F.count_if(F.col("right_id").isNull() & inside).alias("left_only"), F.count_if(F.col("left_id").isNull() & inside).alias("right_only"),
@@ -210,6 +241,20 @@ def dataset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return out.withColumn("clean", F.expr("shared > 0 AND differ = 0 AND left_only = 0 AND right_only = 0"))
 
 
+def people_with_suggestions(person: DataFrame, identity_person: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """People of whom an identity may be somebody else's too. suggestions: left_id, right_id."""
+    named = suggestions.select(F.col("left_id").alias("identity_id")).unionByName(suggestions.select(F.col("right_id").alias("identity_id")))
+    theirs = identity_person.join(named, "identity_id", "left_semi").select(F.col("person_id").alias("id"))
+    return person.join(theirs, "id", "left_semi")
+
+
+def people_with_synthetic(person: DataFrame, identity_person: DataFrame, identity: DataFrame) -> DataFrame:
+    """People with an account that an export names without an id."""
+    synthetic = identity.where("is_synthetic").select(F.col("id").alias("identity_id"))
+    theirs = identity_person.join(synthetic, "identity_id", "left_semi").select(F.col("person_id").alias("id"))
+    return person.join(theirs, "id", "left_semi")
+
+
 def owner_accounts(person: DataFrame, identity_person: DataFrame, identity: DataFrame) -> DataFrame:
     """The owner's name with each account; one row without an account where there is none."""
     accounts = identity_person.join(identity.select(F.col("id").alias("identity_id"), "platform", "handle"), "identity_id")

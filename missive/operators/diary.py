@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +20,13 @@ def month_activity(message: DataFrame, thread: DataFrame, participant: DataFrame
     """Messages and active days of each person and UTC month: of their dm threads, and those they sent elsewhere."""
     dm = thread.where("kind = 'dm'").select(F.col("id").alias("thread_id"))
     of = participant.join(dm, "thread_id", "left_semi").join(identity_person, "identity_id").select("thread_id", "person_id").distinct()
-    columns = ["person_id", "id", "sent_at_unix"]
+    columns = ["person_id", "sent_at_unix"]
     shared = message.join(of, "thread_id").select(columns)
-    sent = message.join(identity_person, F.col("sender_identity_id") == F.col("identity_id")).select(columns)
-    rows = shared.unionByName(sent).distinct()
-    return rows.groupBy("person_id", month_of("sent_at_unix").alias("month")).agg(F.count("*").alias("messages"), F.count_distinct(F.floor(F.col("sent_at_unix") / 86400)).alias("days"))
+    sent = message.join(identity_person, F.col("sender_identity_id") == F.col("identity_id")).select("thread_id", *columns)
+    rows = shared.unionByName(sent.join(of, ["thread_id", "person_id"], "left_anti").select(columns))
+    day = F.floor(F.col("sent_at_unix") / 86400)
+    days = rows.groupBy("person_id", month_of("sent_at_unix").alias("month"), day.alias("day")).agg(F.count("*").alias("n"))
+    return days.groupBy("person_id", "month").agg(F.sum("n").alias("messages"), F.count("*").alias("days"))
 
 
 def quiet_months(activity: DataFrame) -> DataFrame:
@@ -47,29 +50,46 @@ def latest_versions(artifact: DataFrame) -> DataFrame:
     return rows.where("place = 1").select("scope", "start", "id", "previous_id", "revisions")
 
 
-def excerpt_budget(least: int = SHARE_LEAST, total: int = SHARE_TOTAL) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """For one person's lines by session: each session gives lines up to its share, all of them up to the total."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["session_id", "sent_at_unix", "id"], kind="stable")
-        share = max(least, total // max(1, rows["session_id"].nunique()))
-        kept, spent = [], 0
-        for _, lines in rows.groupby("session_id", sort=True):
-            mine = 0
-            for at, length in zip(lines.index, lines["length"], strict=True):
-                if mine + length > share or spent + length > total:
-                    break
-                mine += length
-                spent += length
-                kept.append(at)
-        return rows.loc[kept, ["person_id", "session_id", "id"]]
+def _budgeted(total: int):
+    """Rows in order of person, session and place, as a stream: of each session the lines up to its limit, together up to
+    the total. Only sums are held, whatever a person's or a session's rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        person = session = None
+        spent = mine = 0
+        open_ = True
+        for batch in batches:
+            kept = np.zeros(batch.num_rows, bool)
+            columns = [batch.column(c).to_pylist() for c in ("person_id", "session_id", "length", "share")]
+            for k, (who, which, length, share) in enumerate(zip(*columns, strict=True)):
+                if who != person:
+                    person, session, spent = who, None, 0
+                if which != session:
+                    session, mine, open_ = which, 0, True
+                open_ = open_ and mine + length <= share and spent + length <= total
+                if open_:
+                    mine += length
+                    spent += length
+                    kept[k] = True
+            yield batch.select(["person_id", "session_id", "id"]).filter(pa.array(kept))
 
     return run
 
 
-def excerpts(lines: DataFrame) -> DataFrame:
-    """lines: person_id, session_id, id, sent_at_unix, length; only numbers travel, one person's window at a time."""
-    return lines.groupBy("person_id").applyInPandas(excerpt_budget(), "person_id string, session_id string, id long")
+def excerpts(lines: DataFrame, least: int = SHARE_LEAST, total: int = SHARE_TOTAL) -> DataFrame:
+    """For each person and session the first lines up to the session's share, all of a person's up to the total; the line
+    that exceeds one ends its session. lines: person_id, session_id, id, sent_at_unix, length.
+
+    A line beyond its session's share is dropped before the person's lines are put in order, and only numbers travel.
+    """
+    sessions = lines.groupBy("person_id").agg(F.count_distinct("session_id").alias("sessions"))
+    share = F.greatest(F.lit(least), F.expr(f"{total} div sessions"))
+    inside = Window.partitionBy("person_id", "session_id").orderBy("sent_at_unix", "id").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("length", F.coalesce("length", F.lit(0)).cast("long"))
+    rows = lines.withColumn("upto", F.sum("length").over(inside)).join(sessions.select("person_id", share.alias("share")), "person_id")
+    order = ["person_id", "session_id", "sent_at_unix", "id"]
+    rows = rows.where("upto <= share").select(*order, "length", "share").repartition("person_id").sortWithinPartitions(*order)
+    return rows.mapInArrow(_budgeted(total), "person_id string, session_id string, id long")
 
 
 def plan_months(months: DataFrame, busy: DataFrame, unread: DataFrame, prompt: str) -> DataFrame:

@@ -30,20 +30,112 @@ def merge_suggestions(identity: DataFrame, identity_person: DataFrame, message:
     return out.orderBy(F.desc("strength"), F.desc("volume"), "left_display_name", "left_id", "right_id").limit(limit)
 
 
-def merge_people(identity_person: DataFrame, person: DataFrame, source: str, target: str) -> tuple[DataFrame, DataFrame]:
+def _without_empty(person: DataFrame, bridge: DataFrame) -> DataFrame:
+    """People without those left with no identity, but for the owner."""
+    used = bridge.select(F.col("person_id").alias("id")).distinct()
+    return person.where("is_owner").unionByName(person.where(~F.col("is_owner")).join(used, "id", "left_semi"))
+
+
+def _owner_flag(person: DataFrame, person_id: str) -> bool:
+    row = person.where(F.col("id") == person_id).select("is_owner").first()
+    if row is None:
+        raise ValueError(f"no such person: {person_id}")
+    return row["is_owner"]
+
+
+def merge_people(identity_person: DataFrame, person: DataFrame, source: str, target: str, confirm_owner: bool = False) -> tuple[DataFrame, DataFrame]:
     """The bridge with all of a person's identities at another, and the people without those left with none.
 
-    Merging a person with itself changes nothing; the owner can't be a source.
+    Merging a person with itself changes nothing; the owner can't be a source, and is a target only if that is confirmed.
     """
     if source == target:
         return identity_person, person
-    owner = F.col("is_owner") & (F.col("id") == source)
-    if not person.where(owner).isEmpty():
+    if _owner_flag(person, source):
         raise ValueError("the owner can't be merged into somebody else")
+    if _owner_flag(person, target) and not confirm_owner:
+        raise ValueError("merging somebody into the owner needs to be confirmed")
     moved = F.col("person_id") == source
     bridge = identity_person.select("identity_id", F.when(moved, target).otherwise(F.col("person_id")).alias("person_id"), F.when(moved, "manual").otherwise(F.col("confidence")).alias("confidence"))
-    used = bridge.select(F.col("person_id").alias("id")).distinct()
-    return bridge, person.where("is_owner").unionByName(person.where(~F.col("is_owner")).join(used, "id", "left_semi"))
+    return bridge, _without_empty(person, bridge)
+
+
+def merge_identity(identity_person: DataFrame, person: DataFrame, identity_id: str, target: str, confirm_owner: bool = False) -> tuple[DataFrame, DataFrame, str | None]:
+    """The bridge with one identity at another person, the people without those left with none, and the person whose last
+    identity it was, if so: what is known of them moves too (``move_knowledge``). The owner as a target must be confirmed."""
+    if _owner_flag(person, target) and not confirm_owner:
+        raise ValueError("merging an identity into the owner needs to be confirmed")
+    link = identity_person.where(F.col("identity_id") == identity_id).first()
+    if link is None:
+        raise ValueError(f"no such identity: {identity_id}")
+    it = F.col("identity_id") == identity_id
+    bridge = identity_person.select("identity_id", F.when(it, target).otherwise(F.col("person_id")).alias("person_id"), F.when(it, "manual").otherwise(F.col("confidence")).alias("confidence"))
+    before = link["person_id"]
+    emptied = before != target and bridge.where(F.col("person_id") == before).isEmpty()
+    return bridge, _without_empty(person, bridge), before if emptied else None
+
+
+def move_knowledge(fact: DataFrame, edge: DataFrame, job: DataFrame, source: str, target: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(facts, edges, jobs) after a person became another one.
+
+    Facts about the source are about the target. An edge of the source becomes the target's; where the target has that
+    edge already, its facts join it. The edge between the two goes, with its facts, and so do jobs about the source.
+    fact: subject_person_id, subject_edge_id and others; edge: id, person_a_id, person_b_id; job: subject_kind, subject_id.
+    """
+    here = (F.col("person_a_id") == source) | (F.col("person_b_id") == source)
+    between = here & ((F.col("person_a_id") == target) | (F.col("person_b_id") == target))
+    other = F.when(F.col("person_a_id") == source, F.col("person_b_id")).otherwise(F.col("person_a_id"))
+    ends = (F.least(other, F.lit(target)).alias("person_a_id"), F.greatest(other, F.lit(target)).alias("person_b_id"))
+    moving = edge.where(here & ~between).select(F.col("id").alias("moving_id"), *ends)
+    theirs = edge.where(~here).select(F.col("id").alias("kept_id"), "person_a_id", "person_b_id")
+    moved = moving.join(theirs, ["person_a_id", "person_b_id"], "left")
+    goes = edge.where(between).select(F.col("id").alias("subject_edge_id"))
+    facts = fact.join(goes, "subject_edge_id", "left_anti")
+    facts = facts.join(moved.where("kept_id IS NOT NULL").select(F.col("moving_id").alias("subject_edge_id"), "kept_id"), "subject_edge_id", "left")
+    facts = facts.withColumn("subject_edge_id", F.coalesce("kept_id", "subject_edge_id"))
+    facts = facts.withColumn("subject_person_id", F.when(F.col("subject_person_id") == source, target).otherwise(F.col("subject_person_id")))
+    became = moved.where("kept_id IS NULL").select(F.col("moving_id").alias("id"), "person_a_id", "person_b_id")
+    edges_ = edge.where(~here).select("id", "person_a_id", "person_b_id").unionByName(became)
+    return facts.select(fact.columns), edges_, job.where(~((F.col("subject_kind") == "person") & (F.col("subject_id") == source)))
+
+
+def ensure_identities(seen: DataFrame, identity: DataFrame, person: DataFrame, identity_person: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(identities, people, bridge) with the identities that an import sees (columns of ``identity``).
+
+    A known identity stays as it is. A new one, of several with its id the least by name, gets a person of its own named
+    like it.
+    """
+    fields = [c for c in identity.columns if c != "id"]
+    new = seen.join(identity.select("id"), "id", "left_anti").groupBy("id").agg(F.min(F.struct("display_name", *[c for c in fields if c != "display_name"])).alias("x"))
+    new = new.select("id", *[F.col(f"x.{c}").alias(c) for c in fields])
+    own = F.concat(F.lit("p:"), "id")
+    people = new.select(own.alias("id"), "display_name", F.lit(False).alias("is_owner")).join(person.select("id"), "id", "left_anti")
+    links = new.select(F.col("id").alias("identity_id"), own.alias("person_id"), F.lit("auto").alias("confidence"))
+    links = links.join(identity_person.select("identity_id"), "identity_id", "left_anti")
+    return identity.unionByName(new), person.select("id", "display_name", "is_owner").unionByName(people), identity_person.unionByName(links)
+
+
+def seed_owner(identity: DataFrame, person: DataFrame, identity_person: DataFrame, identity_id: str) -> tuple[DataFrame, DataFrame]:
+    """(people, bridge) with an identity as the owner's, whoever it was before: by the export's word (``seed``), or by a guess
+    (``auto``) if the identity is synthetic. Without an owner there is one from now on; people left with no identity go."""
+    it = identity.where(F.col("id") == identity_id).select("display_name", "is_synthetic").first()
+    if it is None:
+        raise ValueError(f"no such identity: {identity_id}")
+    known = person.where("is_owner").select("id").first()
+    owner = known["id"] if known else "owner"
+    people = person.select("id", "display_name", "is_owner")
+    if known is None:
+        fresh = person.sparkSession.createDataFrame([(owner, it["display_name"], True)], "id string, display_name string, is_owner boolean")
+        people = people.unionByName(fresh)
+    linked = person.sparkSession.createDataFrame([(identity_id, owner, "auto" if it["is_synthetic"] else "seed")], "identity_id string, person_id string, confidence string")
+    bridge = identity_person.select(linked.columns).where(F.col("identity_id") != identity_id).unionByName(linked)
+    return _without_empty(people, bridge), bridge
+
+
+def ensure_participants(roster: DataFrame, stored: DataFrame) -> DataFrame:
+    """Participants that a roster (thread_id, identity_id, first_seen_unix) adds to the stored ones, each once, whether or
+    not they said anything."""
+    rows = roster.groupBy("thread_id", "identity_id").agg(F.min("first_seen_unix").alias("first_seen_unix"))
+    return rows.join(stored.select("thread_id", "identity_id"), ["thread_id", "identity_id"], "left_anti")
 
 
 def edges(pairs: DataFrame) -> DataFrame:
@@ -89,9 +181,7 @@ def unmerge(identity: DataFrame, identity_person: DataFrame, person: DataFrame,
     fresh = f"p:{identity_id}:own"
     it = F.col("identity_id") == identity_id
     bridge = identity_person.select("identity_id", F.when(it, fresh).otherwise(F.col("person_id")).alias("person_id"), F.when(it, "manual").otherwise(F.col("confidence")).alias("confidence"))
-    used = bridge.select(F.col("person_id").alias("id")).distinct()
-    people = person.select("id", "display_name", "is_owner").where(F.col("id") != fresh)
-    kept = people.where("is_owner").unionByName(people.where(~F.col("is_owner")).join(used, "id", "left_semi"))
+    kept = _without_empty(person.select("id", "display_name", "is_owner").where(F.col("id") != fresh), bridge)
     return bridge, kept.unionByName(identity.where(F.col("id") == identity_id).select(F.lit(fresh).alias("id"), "display_name", F.lit(False).alias("is_owner")))
 
 

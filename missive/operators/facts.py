@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import similar, value_key
+from ..functions.text import compatible, similar, value_key
 
 ASSERTING = ("asserts", "corroborates")
 CHASE = 16
-PREDICATE = r"^[a-z][a-z0-9_]{1,59}$"
+PREDICATE, PREDICATE_SHAPE = r"^[a-z][a-z0-9_]{1,59}$", "^[a-z][a-z0-9_]*$"
+#: Most characters of the parts of a fact, and how far ahead its dates may lie.
+MOST_PREDICATE, MOST_OBJECT, MOST_CLAIM, FUTURE = 60, 200, 400, 5 * 365 * 86400
 
 
 def is_live() -> Column:
@@ -30,6 +32,27 @@ def live_facts(fact: DataFrame, citation: DataFrame) -> DataFrame:
     return rows.select("id", "subject_person_id", "predicate", "object_text", F.round("confidence", 6).alias("confidence"), (F.col("source") == "user_edited").alias("by_user"), F.coalesce("citations", F.lit(0)).alias("citations"), "first_message")
 
 
+def facts_of(fact: DataFrame, citation: DataFrame, edge: DataFrame, person: DataFrame, person_id: str) -> DataFrame:
+    """What is known of a person: live facts about them, and about them and somebody else (then with the other's name).
+
+    Citations count whatever their role, those of folded facts too; the first message is the first that asserts the fact
+    itself. The user's own facts come first, then the certain ones, by predicate. Everything but the person's facts is
+    pruned before it is joined.
+    """
+    there = edge.where((F.col("person_a_id") == person_id) | (F.col("person_b_id") == person_id))
+    other = F.when(F.col("person_a_id") == person_id, F.col("person_b_id")).otherwise(F.col("person_a_id"))
+    there = there.select(F.col("id").alias("subject_edge_id"), other.alias("other_id"))
+    theirs = fact.where(is_live()).join(there, "subject_edge_id", "left")
+    theirs = theirs.where((F.col("subject_person_id") == person_id) | F.col("other_id").isNotNull())
+    theirs = theirs.join(person.select(F.col("id").alias("other_id"), F.col("display_name").alias("other_name")), "other_id", "left")
+    folded = fact.select(F.col("id").alias("fact_id"), F.coalesce("merged_into", "id").alias("id")).join(theirs.select("id"), "id", "left_semi")
+    own = F.when((F.col("fact_id") == F.col("id")) & (F.col("role") == "asserts"), F.col("message_id"))
+    said = citation.join(folded, "fact_id").groupBy("id").agg(F.count("*").alias("citations"), F.min(own).alias("first_message"))
+    rows = theirs.join(said, "id", "left").withColumn("confidence", F.round("confidence", 6))
+    columns = ["id", "subject_person_id", "other_name", "predicate", "object_text", "confidence", "source", F.coalesce("citations", F.lit(0)).alias("citations"), "first_message"]
+    return rows.orderBy(F.col("source") == "extracted", F.desc("confidence"), "predicate", "id").select(columns)
+
+
 def merge_candidates(fact: DataFrame) -> DataFrame:
     """Subjects and predicates with two live facts or more."""
     return fact.where(is_live()).groupBy("subject_person_id", "predicate").agg(F.count("*").alias("n")).where("n >= 2")
@@ -37,7 +60,7 @@ def merge_candidates(fact: DataFrame) -> DataFrame:
 
 def preferred(fact: DataFrame, citation: DataFrame) -> DataFrame:
     """For each subject, predicate and value key of live facts: the preferred one, and how many it stands for."""
-    rows = live_facts(fact, citation).withColumn("key", value_key(F.col("object_text")))
+    rows = live_facts(fact, citation).withColumn("key", value_key(compatible(F.col("object_text"))))
     group = Window.partitionBy("subject_person_id", "predicate", "key")
     order = group.orderBy(F.desc("by_user"), F.desc("citations"), F.desc("confidence"), F.asc_nulls_last("first_message"), "id")
     rows = rows.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(group))
@@ -47,15 +70,15 @@ def preferred(fact: DataFrame, citation: DataFrame) -> DataFrame:
 def merge_plan(fact: DataFrame, citation: DataFrame, judged: DataFrame, few: int = 6) -> DataFrame:
     """Pairs of preferred facts to be judged: of one subject and predicate, all where there are few, else similar ones.
 
-    judged: a_id, b_id.
+    judged: a_id, b_id. Keys are made once, and facts with equal keys are one, before pairs are: only keys are compared.
     """
-    best = preferred(fact, citation).join(fact.select("id", "object_text", "source"), "id")
+    best = preferred(fact, citation).join(fact.select("id", "source"), "id")
     size = Window.partitionBy("subject_person_id", "predicate")
-    best = best.withColumn("size", F.count("*").over(size))
-    a = best.select("subject_person_id", "predicate", "size", F.col("id").alias("a_id"), F.col("object_text").alias("a_text"), F.col("source").alias("a_source"))
-    b = best.select("subject_person_id", "predicate", F.col("id").alias("b_id"), F.col("object_text").alias("b_text"), F.col("source").alias("b_source"))
+    best = best.select("subject_person_id", "predicate", "id", "key", "source", F.count("*").over(size).alias("size"))
+    a = best.select("subject_person_id", "predicate", "size", *[F.col(c).alias(f"a_{c}") for c in ("id", "key", "source")])
+    b = best.select("subject_person_id", "predicate", *[F.col(c).alias(f"b_{c}") for c in ("id", "key", "source")])
     pairs = a.join(b, ["subject_person_id", "predicate"]).where(F.col("a_id") < F.col("b_id"))
-    pairs = pairs.where((F.col("size") <= few) | similar(F.col("a_text"), F.col("b_text")))
+    pairs = pairs.where((F.col("size") <= few) | similar(F.col("a_key"), F.col("b_key")))
     pairs = pairs.where(~((F.col("a_source") == "user_edited") & (F.col("b_source") == "user_edited")))
     return pairs.join(judged, ["a_id", "b_id"], "left_anti").select("a_id", "b_id")
 
@@ -81,6 +104,17 @@ def expire(older: DataFrame) -> DataFrame:
     return older.select("id", F.coalesce("valid_to", "newer_valid_from", "newer_first_said").alias("valid_to"))
 
 
+def changed(fact: DataFrame, citation: DataFrame, said_at: DataFrame, verdict: DataFrame) -> DataFrame:
+    """Facts that a verdict says a newer one replaced, ready for ``expire``: unless folded, retracted or replaced before.
+
+    verdict: older_id, newer_id; said_at: message_id, sent_at_unix.
+    """
+    first = citation.where(F.col("role").isin(*ASSERTING)).join(said_at, "message_id").groupBy(F.col("fact_id").alias("newer_id")).agg(F.min("sent_at_unix").alias("newer_first_said"))
+    newer = verdict.join(fact.select(F.col("id").alias("newer_id"), F.col("valid_from").alias("newer_valid_from")), "newer_id").join(first, "newer_id", "left")
+    older = fact.where("merged_into IS NULL AND retracted_at IS NULL").select("id", "valid_to")
+    return older.join(newer.withColumnRenamed("older_id", "id"), "id").select("id", "newer_id", "valid_to", "newer_valid_from", "newer_first_said")
+
+
 def replaced(fact: DataFrame) -> DataFrame:
     """Live facts with the next one of their subject and predicate, ready for ``expire``."""
     order = Window.partitionBy("subject_person_id", "predicate").orderBy("valid_from", "id")
@@ -97,19 +131,93 @@ def facts_in_window(fact: DataFrame, citation: DataFrame, said_at: DataFrame, st
 
 
 def validate(proposed: DataFrame, now: int) -> DataFrame:
-    """Whether a proposed fact can be written, and if not, the first reason."""
+    """Whether a proposed fact can be written, and if not, the first reason: by its own fields alone."""
     reason = (
         F.when(~F.col("predicate").rlike(PREDICATE), "predicate")
         .when(F.length(F.trim("object_text")) == 0, "empty")
-        .when(F.length("object_text") > 200, "too long")
+        .when(F.length("object_text") > MOST_OBJECT, "too long")
+        .when(restates(F.col("predicate"), F.col("object_text")), "restates")
         .when((F.col("confidence") < 0) | (F.col("confidence") > 1), "confidence")
         .when(F.col("valid_to") < F.col("valid_from"), "order")
-        .when(F.col("valid_from") > now + 5 * 366 * 86400, "future")
-        .when(value_key(F.col("object_text")) == value_key(F.col("predicate")), "restates")
+        .when(F.col("valid_from") > now + FUTURE, "future")
     )
     return proposed.select("id", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
+def restates(predicate: Column, value: Column) -> Column:
+    """Whether a value is the predicate or one of its words."""
+    key = F.replace(F.lower(F.trim(value)), F.lit(" "), F.lit("_"))
+    return (key != "") & ((key == predicate) | F.array_contains(F.split(predicate, "_"), key))
+
+
+def stage(proposed: DataFrame, message: DataFrame, people: DataFrame, now: int, own_archive: bool = True) -> DataFrame:
+    """Proposed facts against the windows of their sessions: id, accepted, reason (the first), evidence, staged.
+
+    proposed: id, session_id, place (order of the calls), subject_person_id, other_person_id (null: about one person),
+    predicate, object_text, claim_text, confidence, message_ids, valid_from, valid_from_message_id, valid_to,
+    valid_to_message_id; message: session_id, message_id, sender_person_id, those that may be cited; people: session_id,
+    person_id.
+
+    Evidence is a self-report if the first cited message is the subject's own, else reflected, which somebody else's
+    archive refuses. A fact that was accepted before with the same value, whatever its case, and the same citations is
+    accepted again, but not staged.
+    """
+    here = people.select("session_id", "person_id").distinct()
+    known = lambda c: here.select("session_id", F.col("person_id").alias(c), F.lit(True).alias(f"{c}_known"))
+    rows = proposed.join(known("subject_person_id"), ["session_id", "subject_person_id"], "left").join(known("other_person_id"), ["session_id", "other_person_id"], "left")
+    window = message.select("session_id", "message_id", "sender_person_id").dropDuplicates(["session_id", "message_id"])
+    cited = proposed.select("id", "session_id", F.posexplode("message_ids").alias("at", "message_id"))
+    cited = cited.join(window.withColumn("there", F.lit(True)), ["session_id", "message_id"], "left")
+    checks = cited.groupBy("id").agg(F.count_if(F.col("there").isNull()).alias("astray"), F.max(F.when(F.col("at") == 0, F.col("sender_person_id"))).alias("speaker"))
+    rows = rows.join(checks, "id", "left")
+    for end in ("valid_from", "valid_to"):
+        at = window.select("session_id", F.col("message_id").alias(f"{end}_message_id"), F.lit(True).alias(f"{end}_there"))
+        rows = rows.join(at, ["session_id", f"{end}_message_id"], "left")
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    long = lambda c, most: F.length(F.trim(c)) > most
+    a, b = F.col("subject_person_id"), F.col("other_person_id")
+    spoke = F.coalesce((F.col("speaker") == a) | (F.col("speaker") == b), F.lit(False))
+    evidence = F.when(spoke, "self_report").otherwise("reflected")
+    reason = (
+        F.when(blank("subject_person_id") | F.col("subject_person_id_known").isNull(), "subject")
+        .when(b.isNotNull() & F.col("other_person_id_known").isNull(), "other")
+        .when(a == b, "same person")
+        .when(blank("predicate") | long("predicate", MOST_PREDICATE) | ~F.trim("predicate").rlike(PREDICATE_SHAPE), "predicate")
+        .when(blank("object_text") | long("object_text", MOST_OBJECT), "object")
+        .when(blank("claim_text") | long("claim_text", MOST_CLAIM), "claim")
+        .when(restates(F.trim("predicate"), F.col("object_text")), "restates")
+        .when(F.col("confidence").isNull() | ~F.col("confidence").between(0, 1), "confidence")
+        .when(F.coalesce(F.size("message_ids"), F.lit(-1)) <= 0, "uncited")
+        .when(F.col("astray") > 0, "citation")
+        .when((F.col("valid_from") > now + FUTURE) | (F.col("valid_to") > now + FUTURE), "future")
+        .when((F.col("valid_from").isNotNull() & F.col("valid_from_there").isNull()) | (F.col("valid_to").isNotNull() & F.col("valid_to_there").isNull()), "date citation")
+        .when(F.col("valid_from") > F.col("valid_to"), "order")
+    )
+    if not own_archive:
+        reason = reason.when(~spoke, "reflected")
+    rows = rows.withColumn("reason", reason)
+    same = ["session_id", F.coalesce(F.least(a, b), a), F.coalesce(F.greatest(a, b), F.lit("")), F.trim("predicate"), F.lower(F.trim("object_text")), "message_ids", F.col("reason").isNull()]
+    first = F.row_number().over(Window.partitionBy(*same).orderBy("place", "id")) == 1
+    return rows.select("id", F.col("reason").isNull().alias("accepted"), "reason", evidence.alias("evidence"), (F.col("reason").isNull() & first).alias("staged"))
+
+
+def outcome(run: DataFrame) -> DataFrame:
+    """How the extraction of a session ended. run: session_id, readable (it has a window), calls, nothing (the model said
+    that there is nothing), facts, corroborations, contradictions (staged).
+
+    A run that found nothing is written all the same, so that it isn't read again.
+    """
+    nothing_staged = (F.col("facts") == 0) & (F.col("corroborations") == 0) & (F.col("contradictions") == 0)
+    ended = (
+        F.when(~F.col("readable"), "skipped")
+        .when(F.col("calls") == 0, "needs_review")
+        .when(F.col("nothing") & (F.col("facts") == 0), "nothing_to_record")
+        .when(nothing_staged, "needs_review")
+        .otherwise("written")
+    )
+    return run.select("session_id", ended.alias("outcome"), ended.isin("nothing_to_record", "written").alias("is_written"))
+
+
 def release_from_retracted(fact: DataFrame) -> DataFrame:
     """Facts that were folded into one that is retracted now stand for themselves again."""
     gone = fact.where("retracted_at IS NOT NULL").select(F.col("id").alias("merged_into"), F.lit(True).alias("gone"))

@@ -25,26 +25,37 @@ def new_rows(batch: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     return batch.join(stored.select(key), key, "left_anti")
 
 
-def revisions(batch: DataFrame, stored: DataFrame, key: str = "uid") -> DataFrame:
-    """Stored bodies that a batch replaces: same key, another content hash."""
-    new = batch.select(key, F.col("content_hash").alias("new_hash"))
-    both = stored.join(new, key)
-    return both.where(~F.col("content_hash").eqNullSafe(F.col("new_hash"))).select(key, F.col("content_hash").alias("old_hash"), "new_hash")
+def replayed(batch: DataFrame, stored: DataFrame, key: str = "uid", order: list[str] | None = None) -> DataFrame:
+    """A batch's rows with the content hash that each finds: that of the row before it with its key, or else the stored
+    one (old_hash, null if there is none), and whether it is its key's last (newest). ``order`` gives the batch's order;
+    without it rows of one key follow by their hashes.
+    """
+    place = order or ["content_hash"]
+    own = Window.partitionBy(key).orderBy(*place)
+    rows = batch.join(stored.select(key, F.col("content_hash").alias("stored_hash")), key, "left")
+    rows = rows.withColumn("old_hash", F.coalesce(F.lag("content_hash").over(own), "stored_hash"))
+    return rows.withColumn("newest", F.lead(F.lit(True), 1, False).over(own) == F.lit(False)).drop("stored_hash")
+
+
+def revisions(batch: DataFrame, stored: DataFrame, key: str = "uid", order: list[str] | None = None) -> DataFrame:
+    """Bodies that a batch replaces, in the store or earlier in the batch: same key, another content hash."""
+    rows = replayed(batch, stored, key, order).where(F.col("old_hash").isNotNull() & (F.col("old_hash") != F.col("content_hash")))
+    return rows.select(key, "old_hash", F.col("content_hash").alias("new_hash"))
 
 
-def commit(batch: DataFrame, stored: DataFrame, key: str = "uid") -> DataFrame:
-    """The stored rows after a batch: new ones added, changed ones replaced; a second time nothing changes."""
+def commit(batch: DataFrame, stored: DataFrame, key: str = "uid", order: list[str] | None = None) -> DataFrame:
+    """The stored rows after a batch: new ones added, changed ones replaced, of several with one key the last; a second
+    time nothing changes."""
     kept = stored.join(batch.select(key), key, "left_anti")
-    return kept.unionByName(batch.select(stored.columns))
+    newest = replayed(batch, stored, key, order).where("newest")
+    return kept.unionByName(newest.select(stored.columns))
 
 
-def commit_stats(batch: DataFrame, stored: DataFrame, key: str = "uid") -> DataFrame:
-    """One row: inserted, revised and skipped rows of a batch."""
-    old = stored.select(key, F.col("content_hash").alias("old_hash"), F.lit(True).alias("known"))
-    rows = batch.join(old, key, "left")
-    same = F.col("content_hash").eqNullSafe(F.col("old_hash"))
-    known = F.coalesce("known", F.lit(False))
-    return rows.agg(F.count_if(~known).alias("inserted"), F.count_if(known & ~same).alias("revised"), F.count_if(known & same).alias("skipped"))
+def commit_stats(batch: DataFrame, stored: DataFrame, key: str = "uid", order: list[str] | None = None) -> DataFrame:
+    """One row: inserted, revised and skipped rows of a batch, read in its order."""
+    rows = replayed(batch, stored, key, order)
+    new, same = F.col("old_hash").isNull(), F.col("old_hash") == F.col("content_hash")
+    return rows.agg(F.count_if(new).alias("inserted"), F.count_if(~new & ~same).alias("revised"), F.count_if(~new & same).alias("skipped"))
 
 
 def store_media(media: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_ATTEMPTS, LEASE, LOG_ROWS, DAY = 3, 900, 5000, 86400
@@ -29,6 +29,32 @@ def claim(queue: DataFrame, withheld: list[str], now: int, limit: int = 1) -> Da
     return rows.select("id", "kind", F.lit("running").alias("state"), (F.col("attempts") + 1).alias("attempts"), F.lit(now + LEASE).cast("long").alias("lease_unix"))
 
 
+def complete(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """The queue with some jobs finished, or left for somebody to look at. done: id, needs_review."""
+    rows = queue.join(done.select("id", "needs_review"), "id", "left")
+    finished = F.col("needs_review").isNotNull()
+    state = F.when(F.col("needs_review"), "needs_review").when(finished, "done").otherwise(F.col("state"))
+    rows = rows.withColumn("state", state).withColumn("lease_unix", F.when(~finished, F.col("lease_unix")))
+    return rows.select(queue.columns)
+
+
+def retry(queue: DataFrame) -> DataFrame:
+    """The queue with every failed job pending again, with all its attempts."""
+    failed = F.col("state") == "failed"
+    rows = queue.withColumn("attempts", F.when(failed, F.lit(0)).otherwise(F.col("attempts")).cast("long")).withColumn("lease_unix", F.when(~failed, F.col("lease_unix")))
+    return rows.withColumn("state", F.when(failed, "pending").otherwise(F.col("state")))
+
+
+def clear(queue: DataFrame) -> DataFrame:
+    """An empty queue."""
+    return queue.where(F.lit(False))
+
+
+def priority(unix: str) -> Column:
+    """Whole days: the newest is done first."""
+    return F.expr(f"{unix} div {DAY}")
+
+
 def fail(queue: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """Running jobs after a failure: tried again until they have had all their attempts."""
     return queue.where("state = 'running'").select("id", F.when(F.col("attempts") >= max_attempts, "failed").otherwise("pending").alias("state"))
@@ -41,7 +67,9 @@ def reclaim(queue: DataFrame, now: int) -> DataFrame:
 
 
 def counts(queue: DataFrame) -> DataFrame:
-    return queue.groupBy("kind").agg(*[F.count_if(F.col("state") == s).alias(s) for s in ("pending", "running", "done", "failed")])
+    """Jobs of each kind by state; any other state needs a look."""
+    known = ("pending", "running", "done", "failed")
+    return queue.groupBy("kind").agg(*[F.count_if(F.col("state") == s).alias(s) for s in known], F.count_if(~F.col("state").isin(*known)).alias("needs_review"))
 
 
 def interaction_totals(log: DataFrame) -> DataFrame:

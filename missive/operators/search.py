@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,15 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import fold, plain_words, words
+
 #: Okapi BM25, as published.
 K1, B = 1.2, 0.75
 CAP = 1000
 
-# Accented Latin letters and their bases, for expressions that stay in the JVM.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-
-
 @dataclass(frozen=True)
 class Term:
     """Words that must stand next to each other; the last one may be a beginning."""
@@ -28,26 +24,17 @@ class Term:
     prefix: bool
 
 
-def fold(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
-
-
 def parse_query(query: str) -> list[Term]:
     """Bare words are prefixes, quoted ones phrases; an open quote runs to the end; terms without letters or digits go."""
     terms = []
     for m in re.finditer(r'"([^"]*)(?:"|$)|([^\s"]+)', query):
         quoted = m.group(2) is None
-        words = tuple(re.findall(r"[^\W_]+", fold(m.group(1) if quoted else m.group(2))))
-        if words:
-            terms.append(Term(words, not quoted))
+        found = tuple(plain_words(m.group(1) if quoted else m.group(2)))
+        if found:
+            terms.append(Term(found, not quoted))
     return terms
 
 
-def tokens(text: Column) -> Column:
-    """Words of letters and digits in order, lower case, without accents."""
-    return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-
-
 def occurrences(term: Term, words: Column) -> Column:
     """How often a term stands in an array of words; overlapping places count each.
 
@@ -60,32 +47,24 @@ def occurrences(term: Term, words: Column) -> Column:
     return F.regexp_count(line, F.lit(f" {first}(?={ahead})" if ahead else f" {first}"))
 
 
-def search(documents: DataFrame, query: str, limit: int | None = 200, **filters) -> DataFrame:
-    """Documents (id, body, ...) that hold all terms, best first by BM25; each term's expansions count as one term.
+def filtered(hits: DataFrame, thread_id=None, person_id=None, provenance=None, since=None, until=None) -> DataFrame:
+    """Hits of a thread, a person, a provenance, and a time (inclusive at both ends)."""
+    for column, value in (("thread_id", thread_id), ("person_id", person_id), ("provenance", provenance)):
+        if value is not None:
+            hits = hits.where(F.col(column) == value)
+    if since is not None:
+        hits = hits.where(F.col("sent_at_unix") >= since)
+    return hits if until is None else hits.where(F.col("sent_at_unix") <= until)
 
-    filters: thread_id, provenance, since and until (inclusive).
-    """
-    terms = parse_query(query)
-    rows = documents.withColumn("words", tokens(F.col("body")))
-    rows = rows.withColumn("length", F.size("words"))
-    for k, term in enumerate(terms):
-        rows = rows.withColumn(f"tf{k}", occurrences(term, F.col("words")))
-    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
-    if not terms:
-        return rows.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
-    hit = rows
-    for k in range(len(terms)):
+
+def scored(counted: DataFrame, stats: DataFrame, n_terms: int, limit: int | None = 200, **filters) -> DataFrame:
+    """id and BM25 score of the rows with all terms (id, length, tf0, tf1, ...); stats: one row of n, mean, df0, df1, ..."""
+    hit = counted
+    for k in range(n_terms):
         hit = hit.where(F.col(f"tf{k}") > 0)
-    for column in ("thread_id", "provenance"):
-        if filters.get(column) is not None:
-            hit = hit.where(F.col(column) == filters[column])
-    if filters.get("since") is not None:
-        hit = hit.where(F.col("sent_at_unix") >= filters["since"])
-    if filters.get("until") is not None:
-        hit = hit.where(F.col("sent_at_unix") <= filters["until"])
-    hit = hit.drop("words", "body").crossJoin(stats)  # one row of counts
+    hit = filtered(hit, **filters).crossJoin(F.broadcast(stats))  # one row of counts
     score = F.lit(0.0)
-    for k in range(len(terms)):
+    for k in range(n_terms):
         tf, df = F.col(f"tf{k}"), F.col(f"df{k}")
         idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
         score += idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -93,6 +72,26 @@ def search(documents: DataFrame, query: str, limit: int | None = 200, **filters)
     return found if limit is None else found.orderBy(F.desc("score"), "id").limit(limit)
 
 
+def frequencies(n_terms: int) -> list[Column]:
+    return [F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(n_terms)]
+
+
+def search(documents: DataFrame, query: str, limit: int | None = 200, **filters) -> DataFrame:
+    """Documents (id, body, ...) that hold all terms, best first by BM25; each term's expansions count as one term.
+
+    Reads all texts; ``index.search`` answers from stored postings. filters: those of ``filtered``.
+    """
+    terms = parse_query(query)
+    if not terms:
+        return documents.select("id", F.lit(0.0).alias("score")).where(F.lit(False))
+    rows = documents.withColumn("words", words(F.col("body")))
+    rows = rows.withColumn("length", F.size("words"))
+    for k, term in enumerate(terms):
+        rows = rows.withColumn(f"tf{k}", occurrences(term, F.col("words")))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *frequencies(len(terms)))
+    return scored(rows.drop("words", "body"), stats, len(terms), limit, **filters)
+
+
 def ranked(found: DataFrame) -> DataFrame:
     """id and rank of all hits, best first; no task holds them all."""
     rows = found.select("id", "score").orderBy(F.desc("score"), "id").rdd.zipWithIndex()
@@ -104,6 +103,13 @@ def capped_count(found: DataFrame, cap: int = CAP) -> DataFrame:
     return found.limit(cap).agg(F.count("*").alias("hits")).withColumn("exact", F.col("hits") < cap)
 
 
+def count_if_truncated(found: DataFrame, limit: int, cap: int = CAP) -> DataFrame:
+    """Hits shown, and hits in all up to a cap: counted only where a page is full, as others show all there are."""
+    shown = found.limit(limit).count()
+    total = capped_count(found, cap) if shown == limit else found.sparkSession.range(1).select(F.lit(shown).cast("long").alias("hits"), F.lit(True).alias("exact"))
+    return total.select(F.lit(shown).cast("long").alias("shown"), "hits", "exact")
+
+
 def cut_snippet(text: str, terms: list[Term], around: int = 12) -> list[tuple[str, bool]]:
     """Up to ``around`` words about the first match, as runs of matched and other text."""
     spans = [m.span() for m in re.finditer(r"[^\W_]+", text)]

@@ -18,8 +18,8 @@ def session_members(message: DataFrame, gap: int = GAP) -> DataFrame:
     return message.withColumn("begins", begins).withColumn("number", F.sum("begins").over(order)).drop("begins")
 
 
-def sessions(message: DataFrame, gap: int = GAP) -> DataFrame:
-    """Sessions with start, end, count, the hash of their members and an id made of thread and hash."""
+def numbered(message: DataFrame, gap: int = GAP) -> DataFrame:
+    """``sessions`` with their numbers in the thread."""
     members = session_members(message, gap)
     ordered = F.array_sort(F.collect_list(F.struct("sent_at_unix", "id", "uid")))
     rows = members.groupBy("thread_id", "number").agg(
@@ -28,7 +28,18 @@ def sessions(message: DataFrame, gap: int = GAP) -> DataFrame:
     digest = F.sha2(F.array_join(F.transform("all", lambda x: x["uid"]), "\n"), 256)
     rows = rows.withColumn("member_hash", digest)
     name = F.concat(F.lit("s_"), F.substring(F.sha2(F.concat_ws("|", "thread_id", "member_hash"), 256), 1, 24))
-    return rows.select(name.alias("session_id"), "thread_id", "started_at_unix", "ended_at_unix", "message_count", "member_hash")
+    return rows.select(name.alias("session_id"), "thread_id", "number", "started_at_unix", "ended_at_unix", "message_count", "member_hash")
+
+
+def sessions(message: DataFrame, gap: int = GAP) -> DataFrame:
+    """Sessions with start, end, count, the hash of their members and an id made of thread and hash."""
+    return numbered(message, gap).drop("number")
+
+
+def assigned(message: DataFrame, gap: int = GAP) -> DataFrame:
+    """Each message (id) with the id of its session."""
+    members = session_members(message, gap).select("id", "thread_id", "number")
+    return members.join(numbered(message, gap).select("thread_id", "number", "session_id"), ["thread_id", "number"]).select("id", "session_id")
 
 
 def session_diff(wanted: DataFrame, existing: DataFrame) -> DataFrame:
@@ -53,9 +64,11 @@ def substantive(members: DataFrame, keys: list[str]) -> DataFrame:
     rows = spoken.groupBy(keys).agg(
         F.max(utf16_length(F.col("plaintext"))).alias("longest"),
         F.count("*").alias("spoken"),
-        F.size(F.array_distinct(F.flatten(F.collect_list(words(F.col("plaintext")))))).cast("long").alias("distinct_words"),
         F.coalesce(F.bool_or(F.col("plaintext").contains("?") | F.col("plaintext").contains("？")), F.lit(False)).alias("asks"),
     )
+    # pairs of session and word are made distinct where they are before they travel; no task holds a session's words
+    pairs = spoken.select(*keys, F.explode(F.array_distinct(words(F.col("plaintext")))).alias("word")).distinct()
+    rows = rows.join(pairs.groupBy(keys).agg(F.count("*").alias("distinct_words")), keys, "left").fillna(0, ["distinct_words"])
     verdict = (
         (F.col("longest") >= LONG_TEXT)
         | ((F.col("distinct_words") >= MANY_WORDS) & (F.col("distinct_words") >= VARIETY * F.col("spoken")))
@@ -76,6 +89,32 @@ def unread(session: DataFrame, extract: DataFrame, thread: DataFrame) -> DataFra
     return session.join(extract, "session_id", "left_anti").join(allowed, "thread_id", "left_semi").select("session_id", "thread_id", "message_count")
 
 
+def coverage_summary(message: DataFrame, session: DataFrame, extract: DataFrame, prompt: str, per: DataFrame | None = None) -> DataFrame:
+    """Seven counts and two shares (0 where there is nothing): threads with spoken messages, those with sessions, spoken
+    messages, those in sessions, sessions, substantive ones, and substantive ones that were read at a prompt version.
+
+    message: thread_id, session_id (null outside of sessions), spoken ones that are not deleted; session: session_id,
+    thread_id, substantive; extract: session_id, prompt. ``per`` (person_id, thread_id) gives a row for each person, over
+    the threads they are in, instead of one for all; the threads are then those they are in, spoken in or not.
+    """
+    read = extract.where(F.col("prompt") == prompt).select("session_id", F.lit(True).alias("read")).distinct()
+    of_sessions = session.join(read, "session_id", "left").groupBy("thread_id").agg(
+        F.count("*").alias("sessions"), F.count_if("substantive").alias("substantive"), F.count_if(F.col("substantive") & F.col("read")).alias("extracted")
+    )
+    of_messages = message.groupBy("thread_id").agg(F.count("*").alias("messages"), F.count("session_id").alias("messages_in_sessions"))
+    threads = of_messages.join(of_sessions, "thread_id", "full")
+    keys = []
+    if per is not None:
+        keys, threads = ["person_id"], per.select("person_id", "thread_id").distinct().join(threads, "thread_id", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c)
+    count = F.count("*") if per is not None else F.count("messages")
+    rows = threads.groupBy(keys).agg(
+        count.alias("threads"), F.count("sessions").alias("threads_segmented"), *[total(c) for c in ("messages", "messages_in_sessions", "sessions", "substantive", "extracted")]
+    )
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.round(F.col(part) / F.col(whole), 6)).otherwise(0.0)
+    return rows.withColumn("segmented_share", share("threads_segmented", "threads")).withColumn("extracted_share", share("extracted", "substantive"))
+
+
 def coverage(session: DataFrame, extract: DataFrame) -> DataFrame:
     """Sessions, how many were read, and the share; 0 where there are none."""
     read = session.join(extract.select("session_id").distinct().withColumn("read", F.lit(1)), "session_id", "left")
@@ -96,6 +135,15 @@ def session_text(members: DataFrame, keys: list[str], most: int = 4000) -> DataF
     return rows.select(*keys, F.substring(F.array_join(F.transform("all", lambda x: x["line"]), ""), 1, most).alias("text"))
 
 
+# What families of embedding models expect before a document and before a query.
+PREFIXES = (("nomic", "search_document: ", "search_query: "), ("e5", "passage: ", "query: "))
+
+
+def prefix_for(model: str, query: bool = False) -> str:
+    """The prefix of a text for an embedding model, by its name; none for most."""
+    return next((of_query if query else of_document for family, of_document, of_query in PREFIXES if family in model.lower()), "")
+
+
 def eligible(session: DataFrame, thread: DataFrame, participant: DataFrame, identity_person: DataFrame, person: DataFrame) -> DataFrame:
     """Substantive sessions (``substantive``) of threads that are not excluded, nor direct ones with an excluded person."""
     excluded = person.where("ai_excluded").select(F.col("id").alias("person_id"))

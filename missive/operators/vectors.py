@@ -21,6 +21,15 @@ def normalized(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", F.when(n > 0, F.transform("embedding", lambda x: x / n)).otherwise(F.col("embedding").cast("array<double>")).alias("vector"))
 
 
+def write(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Stored vectors (session_id, model, input_hash, vector) with new ones (embedding instead of vector), of length 1, in
+    the place of those of the same session and model."""
+    unit = normalized(new.withColumn("vec_id", F.struct("session_id", "model", "input_hash")))
+    unit = unit.select("vec_id.*", "vector")
+    kept = stored.join(new.select("session_id", "model"), ["session_id", "model"], "left_anti")
+    return kept.select(unit.columns).unionByName(unit)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -83,8 +92,22 @@ def reciprocal_rank_fusion(keyword: DataFrame, semantic: DataFrame, limit: int =
 def representative(members: DataFrame, words: list[str], key: str) -> DataFrame:
     """A group's message with the most query words of three letters or more, then the longest, then the first."""
     hits = sum((F.when(F.contains(F.lower("plaintext"), F.lit(w.lower())), 1).otherwise(0) for w in words if len(w) >= 3), F.lit(0))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(hits.desc(), F.length("plaintext").desc(), "id"))
-    return members.withColumn("place", place).where("place = 1").select(key, F.col("id").alias("message_id"))
+    rank = F.struct(hits.alias("hits"), F.length("plaintext").alias("length"), (-F.col("id")).alias("first"))
+    return members.groupBy(key).agg(F.max_by("id", rank).alias("message_id"))  # combined before it travels
+
+
+def hybrid(keyword: DataFrame, nearest: DataFrame, members: DataFrame, words: list[str], provenance: str | None = None, limit: int = 50) -> DataFrame:
+    """Hits of a search by words and of one by meaning in one order.
+
+    keyword: id, rank, session_id; nearest: session_id, rank; members: id, session_id, plaintext. Where a search asks for
+    another provenance than messages, meaning has no say.
+    """
+    by_word = keyword.select("id", F.col("session_id").alias("group"), "rank")
+    if provenance not in (None, "message"):
+        nearest = nearest.where(F.lit(False))
+    best = representative(members.join(nearest.select("session_id"), "session_id", "left_semi"), words, "session_id")
+    semantic = nearest.join(best, "session_id").select(F.col("session_id").alias("group"), "rank", F.col("message_id").alias("representative"))
+    return reciprocal_rank_fusion(by_word, semantic, limit)
 
 
 def pending(session: DataFrame, embedding: DataFrame, version: str) -> DataFrame:

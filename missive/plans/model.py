@@ -58,7 +58,13 @@ TABLES: dict[str, str] = {
                CAST(1700000000 AS BIGINT) + conv_id * 86400 + turn * 60 + CASE WHEN turn >= 4 THEN 18000 ELSE 0 END AS sent_at_unix,
                text AS plaintext, turn, conv_id FROM {conversations}""",
     "search_document": """
-        SELECT doc_id AS id, text AS body, source AS provenance, lang AS thread_id, doc_id * 3600 AS sent_at_unix FROM {documents}""",
+        SELECT doc_id AS id, text AS body, source AS provenance, lang AS thread_id, concat('p:', CAST(doc_id % 20 AS STRING)) AS person_id,
+               doc_id * 3600 AS sent_at_unix FROM {documents}""",
+    # the same with words of letters with marks, composed and not
+    "marked_document": """
+        SELECT id, concat(coalesce(body, ''), CASE id % 6 WHEN 0 THEN ' Мой дом, твой ЁЖ' WHEN 1 THEN ' żółw i Gęś, łódź' WHEN 2 THEN ' ő és ű, větší' WHEN 3 THEN ' мои дома, ёжик'
+               WHEN 4 THEN ' zolw ges' ELSE ' gęś mой' END) AS body, provenance, thread_id, person_id, sent_at_unix
+        FROM {search_document}""",
     "import_run": """
         SELECT concat('imp-', CAST(c_custkey AS STRING)) AS id, CASE WHEN c_custkey % 2 = 0 THEN 'src:a' ELSE 'src:b' END AS source_id,
                concat('/exports/', c_mktsegment) AS source_path, concat('fp', CAST(c_custkey % 37 AS STRING)) AS source_fingerprint,

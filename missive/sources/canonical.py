@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 CANONICAL = (
     "platform string, thread_id string, thread_kind string, title string, uid string, sender_id string, sender_name string, kind string, "
     "service_action string, text string, sent_at_unix long, edited_at_unix long, reply_to_uid string, "
-    "reactions array<struct<emoji: string, actor: string, count: long>>, media array<string>"
+    "reactions array<struct<emoji: string, actor: string, count: long>>, media array<string>, entities string, tz_offset_minutes long"
 )
 NAMES = [c.split()[0] for c in CANONICAL.replace("array<struct<emoji: string, actor: string, count: long>>", "x").split(", ")]
 _TYPES = dict(zip(NAMES, [c.split(" ", 1)[1] for c in CANONICAL.replace(": string, actor: string, count: long", "").split(", ")], strict=True))

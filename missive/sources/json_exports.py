@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .canonical import canonical, derived_uid, file_part, with_occurrence
 
 _REACTION = "array<struct<emoji: string, actor: string, count: long>>"
 
 TELEGRAM_MESSAGE = (
-    "struct<id: long, type: string, date_unixtime: string, edited_unixtime: string, `from`: string, from_id: string, actor: string, actor_id: string, "
-    "action: string, text_entities: array<struct<type: string, text: string>>, reply_to_message_id: long, photo: string, file: string, "
-    "reactions: array<struct<type: string, count: long, emoji: string, recent: array<struct<`from`: string, from_id: string>>>>>"
+    "struct<id: long, type: string, date: string, date_unixtime: string, edited_unixtime: string, `from`: string, from_id: string, actor: string, actor_id: string, "
+    "action: string, text_entities: array<struct<type: string, text: string, href: string, document_id: string, user_id: long, language: string>>, reply_to_message_id: long, "
+    "photo: string, file: string, contact_vcard: string, "
+    "reactions: array<struct<type: string, count: long, emoji: string, document_id: string, recent: array<struct<`from`: string, from_id: string>>>>>"
 )
 TELEGRAM_CHAT = f"struct<name: string, type: string, id: long, messages: array<{TELEGRAM_MESSAGE}>>"
 TELEGRAM = f"chats struct<list: array<{TELEGRAM_CHAT}>>, left_chats struct<list: array<{TELEGRAM_CHAT}>>, name string, type string, id long, messages array<{TELEGRAM_MESSAGE}>"
-#: Kinds of threads by the export's chat types.
+#: Kinds of threads by the export's chat types; any other is a group.
 TELEGRAM_KINDS = {
-    "personal_chat": "dm", "bot_chat": "dm", "saved_messages": "saved", "private_group": "group", "private_supergroup": "group",
-    "public_supergroup": "group", "private_channel": "channel", "public_channel": "channel",
+    "saved_messages": "saved", "personal_chat": "dm", "bot_chat": "dm", "private_group": "group", "private_supergroup": "group",
+    "public_supergroup": "group", "channel": "channel", "private_channel": "channel", "public_channel": "channel",
 }
 MISSING_MEDIA = "(File not included. Change data exporting settings to download.)"
 
@@ -30,29 +35,41 @@ def _telegram_id(ref: Column) -> Column:
 
 
 def telegram(spark: SparkSession, path: str) -> DataFrame:
-    """result.json of all chats or of one. Text is that of text_entities, never ``text``; service messages name an actor."""
+    """result.json of all chats or of one. Text is that of text_entities, never ``text``; service messages name an actor.
+
+    A chat without an id goes by its name. The zone's offset is what local time differs from the stamp by, in whole minutes;
+    a message with local time only is taken for UTC, its offset unknown. One without either raises, and so does a chat
+    without id and name.
+    """
     root = spark.read.schema(TELEGRAM).option("multiLine", True).json(path)
     one = F.when(F.col("messages").isNotNull(), F.array(F.struct("name", "type", "id", "messages")))
     none = F.array().cast(f"array<{TELEGRAM_CHAT}>")
     chats = F.concat(*[F.coalesce(c, none) for c in (F.col("chats.list"), F.col("left_chats.list"), one)])
     rows = root.select(F.explode(chats).alias("chat")).select("chat.*").select("name", "type", F.col("id").alias("chat_id"), F.explode("messages").alias("m"))
     kinds = F.create_map(*[F.lit(x) for pair in TELEGRAM_KINDS.items() for x in pair])
-    kind = F.coalesce(F.try_element_at(kinds, F.col("type")), F.raise_error(F.concat(F.lit("unknown chat type: "), F.coalesce("type", F.lit("none")))))
+    kind = F.coalesce(F.try_element_at(kinds, F.col("type")), F.lit("group"))
     service = F.col("m.type") == "service"
-    thread = F.col("chat_id").cast("string")
+    named_chat = F.when(F.trim("name") != "", F.concat(F.lit("name:"), "name"))
+    thread = F.coalesce(F.col("chat_id").cast("string"), named_chat, F.raise_error(F.lit("a chat without an id or a name")))
+    local = F.unix_seconds(F.try_to_timestamp(F.concat("m.date", F.lit("Z"))))
+    stamp = F.col("m.date_unixtime").try_cast("long")
+    sent = F.coalesce(stamp, local, F.raise_error(F.lit("a message without a time")).cast("long"))
+    marked = F.filter(F.coalesce("m.text_entities", F.array()), lambda e: e["type"] != "plain")
     uid = lambda n: F.concat(F.lit("tg/"), thread, F.lit("/"), n.cast("string"))
-    named = F.flatten(F.transform("m.reactions", lambda r: F.transform(F.coalesce(r["recent"], F.array()), lambda a: F.struct(r["emoji"].alias("emoji"), a["from_id"].alias("actor"), F.lit(1).cast("long").alias("count")))))
+    shown = lambda r: F.coalesce(r["emoji"], r["document_id"])  # noqa: E731 (custom emoji have an id only)
+    named = F.flatten(F.transform("m.reactions", lambda r: F.transform(F.coalesce(r["recent"], F.array()), lambda a: F.struct(shown(r).alias("emoji"), a["from_id"].alias("actor"), F.lit(1).cast("long").alias("count")))))
     rest = F.filter(
-        F.transform("m.reactions", lambda r: F.struct(r["emoji"].alias("emoji"), F.lit(None).cast("string").alias("actor"), (r["count"] - F.size(F.coalesce(r["recent"], F.array()))).cast("long").alias("count"))),
+        F.transform("m.reactions", lambda r: F.struct(shown(r).alias("emoji"), F.lit(None).cast("string").alias("actor"), (r["count"] - F.size(F.coalesce(r["recent"], F.array()))).cast("long").alias("count"))),
         lambda r: r["count"] > 0,
     )
-    media = F.filter(F.array("m.photo", "m.file"), lambda f: f.isNotNull())
+    media = F.filter(F.array("m.photo", "m.file", "m.contact_vcard"), lambda f: f.isNotNull())
     return canonical(
         rows, platform=F.lit("telegram"), thread_id=thread, thread_kind=kind, title=F.col("name"), uid=uid(F.col("m.id")),
         sender_id=_telegram_id(F.when(service, F.col("m.actor_id")).otherwise(F.col("m.from_id"))), sender_name=F.when(service, F.col("m.actor")).otherwise(F.col("m.from")),
         kind=F.when(service, "service").otherwise("message"), service_action=F.col("m.action"),
         text=F.array_join(F.transform(F.coalesce("m.text_entities", F.array()), lambda e: e["text"]), ""),
-        sent_at_unix=F.col("m.date_unixtime").cast("long"), edited_at_unix=F.col("m.edited_unixtime").cast("long"),
+        sent_at_unix=sent, edited_at_unix=F.col("m.edited_unixtime").cast("long"), tz_offset_minutes=F.round((local - stamp) / 60).cast("long"),
+        entities=F.when(F.size(marked) > 0, F.to_json(marked)),
         reply_to_uid=uid(F.col("m.reply_to_message_id")), reactions=F.concat(named, rest).cast(_REACTION),
         media=F.transform(media, lambda f: F.when(f == MISSING_MEDIA, F.lit("missing")).otherwise(f)),
     )
@@ -149,7 +166,8 @@ def google_chat(spark: SparkSession, root: str) -> DataFrame:
 
 META = (
     "participants array<struct<name: string>>, title string, thread_path string, messages array<struct<sender_name: string, timestamp_ms: long, content: string, "
-    "type: string, is_unsent: boolean, photos: array<struct<uri: string>>, reactions: array<struct<reaction: string, actor: string>>>>"
+    "type: string, is_unsent: boolean, photos: array<struct<uri: string>>, videos: array<struct<uri: string>>, gifs: array<struct<uri: string>>, audio_files: array<struct<uri: string>>, "
+    "files: array<struct<uri: string>>, sticker: struct<uri: string>, reactions: array<struct<reaction: string, actor: string>>>>"
 )
 
 
@@ -163,57 +181,106 @@ def repaired(text: Column) -> Column:
 def meta(spark: SparkSession, path: str, platform: str = "messenger") -> DataFrame:
     """message_*.json files of Messenger or Instagram; a thread's parts come together by their folder."""
     files = spark.read.schema(META).option("multiLine", True).json(path).withColumn("path", F.input_file_name())
-    rows = files.select("participants", "title", F.coalesce("thread_path", file_part(F.col("path"), 2)).alias("thread_id"), F.explode("messages").alias("m"))
+    rows = files.select("participants", "title", "path", F.coalesce("thread_path", file_part(F.col("path"), 2)).alias("thread_id"), F.posexplode("messages").alias("place", "m"))
     rows = rows.withColumn("sender", repaired(F.col("m.sender_name"))).withColumn("content", F.when(F.coalesce("m.is_unsent", F.lit(False)), "").otherwise(repaired(F.col("m.content"))))
     rows = rows.withColumn("at", F.col("m.timestamp_ms"))
-    rows = with_occurrence(rows, ["thread_id", "at", "sender", "content"], ["at"])
+    rows = with_occurrence(rows, ["thread_id", "at", "sender", "content"], ["path", "place"])
+    none = F.array().cast("array<struct<uri: string>>")
+    media = F.concat(*[F.coalesce(f"m.{c}", none) for c in ("photos", "videos", "gifs", "audio_files", "files")], F.when(F.col("m.sticker").isNotNull(), F.array("m.sticker")).otherwise(none))
     reactions = F.transform("m.reactions", lambda r: F.struct(repaired(r["reaction"]).alias("emoji"), repaired(r["actor"]).alias("actor"), F.lit(1).cast("long").alias("count")))
     service = F.col("m.type").isin("Call", "Subscribe", "Unsubscribe")
     return canonical(
         rows, platform=F.lit(platform), thread_id=F.col("thread_id"), thread_kind=F.when(F.size("participants") <= 2, "dm").otherwise("group"), title=repaired(F.col("title")),
         uid=derived_uid(platform[:2], "at", "sender", "content"), sender_id=F.col("sender"), sender_name=F.col("sender"), kind=F.when(service, "service").otherwise("message"),
         service_action=F.when(service, F.lower("m.type")), text=F.coalesce("content", F.lit("")), sent_at_unix=F.floor(F.col("at") / 1000).cast("long"), reactions=reactions,
-        media=F.transform("m.photos", lambda p: p["uri"]),
+        media=F.transform(media, lambda p: p["uri"]),
     )
 
 
 SKYPE = "userId string, conversations array<struct<id: string, displayName: string, MessageList: array<struct<id: string, originalarrivaltime: string, messagetype: string, content: string, `from`: string, displayName: string, properties: struct<edittime: string, deletetime: string>>>>>"
 
 
+#: Skype's types of messages, and what service messages do.
+SKYPE_TEXT = "Text"
+SKYPE_RICH = (
+    "RichText", "RichText/Html", "RichText/Location", "RichText/Contacts", "RichText/Media_Card", "RichText/Sms",
+    "RichText/UriObject", "RichText/Media_Video", "RichText/Media_AudioMsg", "RichText/Media_GenericFile", "RichText/Media_FlikMsg",
+)
+SKYPE_SERVICE = {
+    "Event/Call": "phone_call", "ThreadActivity/AddMember": "invite_members", "ThreadActivity/DeleteMember": "remove_members",
+    "ThreadActivity/TopicUpdate": "edit_group_title", "ThreadActivity/PictureUpdate": "edit_group_photo",
+}
+
+
+@F.pandas_udf(StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Text with its character references decoded."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def skype(spark: SparkSession, path: str) -> DataFrame:
-    """messages.json: conversations of kinds 8, 28, 4 and 2 are direct, 19 groups, 48 aren't chats; markup goes."""
+    """messages.json: conversations of kinds 8, 28, 4 and 2 are direct, 19 groups, 48 aren't chats.
+
+    Rich text loses its markup, plain text stays; service messages have none, and neither have deleted ones. An unknown kind
+    or type raises; other thread activities go by their names.
+    """
     root = spark.read.schema(SKYPE).option("multiLine", True).json(path)
     rows = root.select(F.explode("conversations").alias("c")).select(F.col("c.id").alias("conversation"), F.col("c.displayName").alias("title"), F.explode("c.MessageList").alias("m"))
     prefix = F.substring_index("conversation", ":", 1)
     kind = F.when(prefix.isin("8", "28", "4", "2"), "dm").when(prefix == "19", "group").otherwise(F.raise_error(F.concat(F.lit("unknown conversation: "), "conversation")))
     rows = rows.where(prefix != "48")
-    spoken = F.col("m.messagetype").isin("Text", "RichText")
-    text = F.regexp_replace(F.coalesce("m.content", F.lit("")), "<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    named = F.col("m.messagetype")
+    known = F.create_map(*[F.lit(x) for pair in SKYPE_SERVICE.items() for x in pair])
+    activity = F.when(named.startswith("ThreadActivity/"), F.lower(F.substring_index(named, "/", -1)))
+    unknown = F.raise_error(F.concat(F.lit("unknown message type: "), F.coalesce(named, F.lit("none"))))
+    rows = rows.withColumn("action", F.when(~(F.coalesce(named, F.lit("")).isin(SKYPE_TEXT, *SKYPE_RICH)), F.coalesce(F.try_element_at(known, named), activity, unknown)))
+    # references are decoded in Python, only where there are any
+    rich = F.regexp_replace(F.coalesce("m.content", F.lit("")), "<[^>]*>", "")
+    rows = rows.withColumn("rich", rich).withColumn("rich", F.coalesce(unescaped(F.when(F.contains("rich", F.lit("&")), F.col("rich"))), "rich"))
+    gone = F.col("action").isNotNull() | F.col("m.properties.deletetime").isNotNull()
+    text = F.when(gone, "").when(named == SKYPE_TEXT, F.coalesce("m.content", F.lit(""))).otherwise(F.col("rich"))
     return canonical(
         rows, platform=F.lit("skype"), thread_id=F.col("conversation"), thread_kind=kind, title=F.col("title"), uid=F.concat(F.lit("sk/"), "conversation", F.lit("/"), "m.id"),
-        sender_id=F.col("m.from"), sender_name=F.col("m.displayName"), kind=F.when(spoken, "message").otherwise("service"), service_action=F.when(~spoken, F.lower("m.messagetype")),
-        text=F.when(F.col("m.properties.deletetime").isNotNull(), "").otherwise(text), sent_at_unix=F.unix_seconds(F.to_timestamp("m.originalarrivaltime")),
+        sender_id=F.col("m.from"), sender_name=F.col("m.displayName"), kind=F.when(F.col("action").isNull(), "message").otherwise("service"), service_action=F.col("action"),
+        text=text, sent_at_unix=F.unix_seconds(F.to_timestamp("m.originalarrivaltime")),
         edited_at_unix=F.floor(F.col("m.properties.edittime").cast("long") / 1000).cast("long"),
     )
 
 
 SLACK_MESSAGE = "type string, subtype string, user string, text string, ts string, thread_ts string, bot_id string, username string, reactions array<struct<name: string, users: array<string>, count: long>>"
 SLACK_USERS = "id string, name string, real_name string"
-#: Subtypes that people write; all others but tombstones are service messages.
-SLACK_SPOKEN = ("bot_message", "file_share", "me_message", "thread_broadcast", "file_comment", "reply_broadcast")
+SLACK_CHATS = "id string, name string, members array<string>"
+#: The platform's subtypes of messages that somebody writes; all others but tombstones are service messages.
+SLACK_SPOKEN = ("bot_message", "file_comment", "file_share", "me_message", "reply_broadcast", "slackbot_response", "thread_broadcast")
+#: Its subtypes of service messages by what they do; the rest go by their names.
+SLACK_SERVICE = {
+    "bot_add": "invite_members", "bot_remove": "remove_members", "channel_archive": "archive", "channel_join": "invite_members", "channel_leave": "remove_members",
+    "channel_name": "edit_group_title", "channel_purpose": "edit_group_title", "channel_topic": "edit_group_title", "channel_unarchive": "unarchive", "group_archive": "archive",
+    "group_join": "invite_members", "group_leave": "remove_members", "group_name": "edit_group_title", "group_purpose": "edit_group_title", "group_topic": "edit_group_title",
+    "group_unarchive": "unarchive", "huddle_thread": "phone_call", "pinned_item": "pin_message", "reminder_add": "reminder", "unpinned_item": "unpin_message",
+}
 
 
 def slack(spark: SparkSession, folder: str) -> DataFrame:
-    """An export folder: users.json and <channel>/<day>.json. Mentions and links are written out."""
+    """An export folder: users.json, lists of conversations, and <conversation>/<day>.json. Mentions and links are written out.
+
+    Channels, private groups and group messages are groups, filed by name; direct messages are filed by id. A folder that no
+    list names is a group of its own.
+    """
     users = spark.read.schema(SLACK_USERS).option("multiLine", True).json(f"{folder}/users.json")
     names = users.select(F.col("id").alias("user"), F.coalesce("real_name", "name").alias("sender_name"))
+    lists = spark.read.schema(SLACK_CHATS).option("multiLine", True).json(f"{folder}/{{channels,groups,dms,mpims}}.json").withColumn("list", file_part(F.input_file_name(), 1))
+    chats = lists.where("id IS NOT NULL AND list IN ('channels.json', 'groups.json', 'dms.json', 'mpims.json')")
+    direct = F.col("list") == "dms.json"
+    chats = chats.select(F.when(direct, F.col("id")).otherwise(F.coalesce("name", "id")).alias("channel"), F.col("id").alias("chat_id"), F.when(direct, "dm").otherwise("group").alias("chat_kind"), F.when(F.col("list").isin("channels.json", "groups.json"), F.concat(F.lit("#"), "name")).alias("chat_title"))
     days = spark.read.schema(SLACK_MESSAGE).option("multiLine", True).json(f"{folder}/*/*.json").withColumn("channel", file_part(F.input_file_name(), 2))
-    rows = days.where("subtype IS NULL OR subtype <> 'tombstone'").join(names, "user", "left")
-    book = names.agg(F.map_from_entries(F.collect_list(F.struct("user", "sender_name"))).alias("book"))  # one workspace's users
-    rows = rows.crossJoin(F.broadcast(book))
-    uid = lambda ts: F.concat(F.lit("sl/"), "channel", F.lit("/"), ts)
+    rows = days.where("subtype IS NULL OR subtype <> 'tombstone'").join(names, "user", "left").join(chats.dropDuplicates(["channel"]), "channel", "left")
+    # the names that a message mentions, looked up by a join: the whole book of users goes nowhere
+    asked = rows.where(F.contains("text", F.lit("<@"))).select("channel", "ts", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("<@([A-Za-z0-9]+)"), F.lit(1)))).alias("user"))
+    book = asked.distinct().join(names, "user").groupBy("channel", "ts").agg(F.map_from_entries(F.collect_list(F.struct("user", "sender_name"))).alias("book"))
+    rows = rows.join(book, ["channel", "ts"], "left").withColumn("book", F.coalesce("book", F.create_map().cast("map<string, string>")))
+    thread = F.coalesce("chat_id", "channel")
+    uid = lambda ts: F.concat(F.lit("sl/"), thread, F.lit("/"), ts)
 
     def shown(part: Column) -> Column:
         inner = F.substring_index(F.regexp_replace(part, "^<|>$", ""), "|", 1)
@@ -230,21 +297,34 @@ def slack(spark: SparkSession, folder: str) -> DataFrame:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
     spoken = F.col("subtype").isNull() | F.col("subtype").isin(*SLACK_SPOKEN)
+    action = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in SLACK_SERVICE.items() for x in pair]), F.col("subtype")), "subtype")
     reactions = F.flatten(F.transform("reactions", lambda r: F.transform(r["users"], lambda u: F.struct(r["name"].alias("emoji"), u.alias("actor"), F.lit(1).cast("long").alias("count")))))
     return canonical(
-        rows, platform=F.lit("slack"), thread_id=F.col("channel"), thread_kind=F.lit("channel"), title=F.col("channel"), uid=uid(F.col("ts")), sender_id=F.coalesce("user", "bot_id"),
-        sender_name=F.coalesce("sender_name", "username"), kind=F.when(spoken, "message").otherwise("service"), service_action=F.when(~spoken, F.col("subtype")), text=text,
-        sent_at_unix=F.floor(F.col("ts").cast("double")).cast("long"), reply_to_uid=F.when(F.col("thread_ts") != F.col("ts"), uid(F.col("thread_ts"))), reactions=reactions,
+        rows, platform=F.lit("slack"), thread_id=thread, thread_kind=F.coalesce("chat_kind", F.lit("group")), title=F.when(F.col("chat_id").isNull(), F.col("channel")).otherwise(F.col("chat_title")),
+        uid=uid(F.col("ts")), sender_id=F.coalesce("user", "bot_id"), sender_name=F.coalesce("sender_name", "username"), kind=F.when(spoken, "message").otherwise("service"),
+        service_action=F.when(~spoken, action), text=text, sent_at_unix=F.floor(F.col("ts").cast("double")).cast("long"),
+        reply_to_uid=F.when(F.col("thread_ts") != F.col("ts"), uid(F.col("thread_ts"))), reactions=reactions,
     )
 
 
+#: Kinds of threads by the platform's channel types.
+DISCORD_TYPES = {1: "dm", 3: "group", 0: "channel", 2: "channel", 4: "channel", 5: "channel", 10: "channel", 11: "channel", 12: "channel", 13: "channel", 15: "channel", 16: "channel"}
+
+
 def discord_package(spark: SparkSession, path: str) -> DataFrame:
-    """messages.csv files of a data package (ID, Timestamp, Contents, Attachments); the folder is the channel."""
+    """messages.csv files of a data package (ID, Timestamp, Contents, Attachments) with channel.json beside each, which has
+    the channel's id and type; without one the folder is the channel. An unknown type raises."""
     rows = spark.read.schema("ID string, Timestamp string, Contents string, Attachments string").csv(path, header=True, multiLine=True, quote='"', escape='"', mode="FAILFAST", enforceSchema=False)
-    rows = rows.withColumn("channel", file_part(F.input_file_name(), 2))
+    rows = rows.withColumn("folder", file_part(F.input_file_name(), 2))
+    about = spark.read.schema("id string, type int, name string").option("multiLine", True).option("pathGlobFilter", "channel.json").option("recursiveFileLookup", True)
+    about = about.json(path.split("*")[0].rstrip("/") if "*" in path else path.rpartition("/")[0]).withColumn("folder", file_part(F.input_file_name(), 2)).withColumnRenamed("id", "channel_id")
+    types = F.create_map(*[F.lit(x) for pair in DISCORD_TYPES.items() for x in pair])
+    rows = rows.join(about.dropDuplicates(["folder"]), "folder", "left").withColumn("channel", F.coalesce("channel_id", "folder"))
+    unknown = F.raise_error(F.concat(F.lit("unknown channel type: "), F.col("type").cast("string")))
+    kind = F.when(F.col("type").isNull(), "channel").otherwise(F.coalesce(F.try_element_at(types, F.col("type")), unknown))
     sent = F.unix_seconds(F.to_timestamp(F.col("Timestamp")))
     return canonical(
-        rows, platform=F.lit("discord"), thread_id=F.col("channel"), thread_kind=F.lit("channel"), uid=F.concat(F.lit("dc/"), "channel", F.lit("/"), "ID"), sender_id=F.lit("self"),
+        rows, platform=F.lit("discord"), thread_id=F.col("channel"), thread_kind=kind, title=F.col("name"), uid=F.concat(F.lit("dc/"), "channel", F.lit("/"), "ID"), sender_id=F.lit("self"),
         kind=F.lit("message"), text=F.coalesce("Contents", F.lit("")), sent_at_unix=sent, media=F.filter(F.split(F.coalesce("Attachments", F.lit("")), " "), lambda a: a != ""),
     )
 

@@ -13,8 +13,8 @@ from .canonical import canonical, derived_uid, file_part, with_occurrence
 from .markup import Node, tree
 from .text_exports import phone
 
-#: File names of Google Voice: who, kind (none for groups) and time.
-VOICE_NAME = r"^(?:(?P<who>.+) - (?P<kind>[A-Za-z]+)|(?P<group>Group Conversation)) - \d{4}-\d\d-\d\dT\d\d_\d\d_\d\dZ\.html$"
+#: The time that ends file names of Google Voice.
+VOICE_TIME = r"\d{4}-\d\d-\d\dT\d\d_\d\d_\d\dZ\.html"
 #: The kinds of its files.
 VOICE_KINDS = ("Text", "Received", "Placed", "Missed", "Voicemail", "Recorded")
 GROUP = "Group Conversation"
@@ -40,9 +40,22 @@ def _media(scope: Node) -> list[str]:
     return [ref for ref in linked if ref and not ref.startswith("tel:")]
 
 
+def voice_name(file: str) -> tuple[str, str] | None:
+    """Who and kind of a file's name, which ends in a kind and a time, or only in a time for groups; None for other files."""
+    front, _, time = file.rpartition(" - ")
+    if not re.fullmatch(VOICE_TIME, time):
+        return None
+    who, _, kind = front.rpartition(" - ")
+    if front == GROUP:
+        return GROUP, "Text"
+    return (who, kind) if who and re.fullmatch("[A-Za-z]+", kind) else None
+
+
 def _voice_file(file: str, page: bytes) -> Iterator[tuple]:
-    name = re.match(VOICE_NAME, file)
-    who, kind = name["who"] or GROUP, name["kind"] or "Text"
+    name = voice_name(file)
+    if name is None:
+        return
+    who, kind = name
     if kind not in VOICE_KINDS:
         raise ValueError(f"a Google Voice file of unknown kind {kind}")
     root = tree(page)
@@ -78,7 +91,7 @@ def google_voice(spark: SparkSession, path: str) -> DataFrame:
     A message has no id: it goes by time, sender and text, and which of equal ones in its file it is. Files whose names
     aren't of this export are passed over; an unknown kind, a message without a sender or without a time raise.
     """
-    pages = _pages(spark, path).where(F.col("file").rlike(re.sub(r"\?P<\w+>", "?:", VOICE_NAME)))
+    pages = _pages(spark, path).where(F.col("file").rlike(f" - {VOICE_TIME}$"))
     rows = pages.select("file", "content").mapInPandas(_voice_pages, _VOICE)
     known = lambda p: F.struct(phone(p["number"]).alias("number"), p["name"].alias("name"))
     rows = rows.withColumns({"people": F.transform("people", known), "sender": F.when(F.col("sender").isNotNull(), known(F.col("sender")))})
@@ -102,13 +115,15 @@ def google_voice(spark: SparkSession, path: str) -> DataFrame:
         "title": F.when(group, F.array_join(F.transform("everybody", shown), ", ")).when(other.isNotNull(), shown(other)).otherwise(F.col("who")),
         "sender_id": F.when(F.col("self"), "self").otherwise(F.col("sender.number")),
         "service_action": F.when(F.col("call") == "Missed", "missed_call").when(~F.col("call").isin("Text", "Voicemail"), "phone_call"),
+        "zone": F.when(F.col("at").rlike("Z$"), 0).otherwise(F.concat(F.regexp_extract("at", "([+-])[0-9]{2}:?[0-9]{2}$", 1), F.lit("1")).try_cast("long") * (
+            F.regexp_extract("at", "[+-]([0-9]{2}):?[0-9]{2}$", 1).try_cast("long") * 60 + F.regexp_extract("at", "[+-][0-9]{2}:?([0-9]{2})$", 1).try_cast("long"))),
         "sent": F.coalesce(F.unix_seconds(F.try_to_timestamp("at")), F.raise_error(F.lit("a Google Voice message without a time")).cast("long")),
     })
     rows = with_occurrence(rows, ["file", "sent", "sender_id", "service_action", "text"], ["pos"])
     return canonical(
         rows, platform=F.lit("googlevoice"), thread_id=F.col("thread_id"), thread_kind=F.when(F.col("group"), "group").otherwise("dm"), title=F.col("title"),
         uid=derived_uid("gv", "sent", "sender_id", "service_action", "text"), sender_id=F.col("sender_id"), sender_name=F.when(~F.col("self"), shown(F.col("sender"))),
-        kind=F.when(F.col("service_action").isNull(), "message").otherwise("service"), service_action=F.col("service_action"), text=F.col("text"), sent_at_unix=F.col("sent"),
+        kind=F.when(F.col("service_action").isNull(), "message").otherwise("service"), service_action=F.col("service_action"), text=F.col("text"), sent_at_unix=F.col("sent"), tz_offset_minutes=F.col("zone"),
         media=F.transform("media", lambda m: F.url_decode(F.replace(m, F.lit("+"), F.lit("%2B")))),
     )
 

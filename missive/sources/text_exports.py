@@ -20,7 +20,8 @@ def whatsapp(spark: SparkSession, path: str) -> DataFrame:
     """Chat files as text. Lines without a head continue a message.
 
     A chat's dates are year first where the year has four digits there, day first with dots; else by which reading of
-    all of them is possible, or goes back in time less often. A chat that leaves both open raises.
+    all of them is possible, or goes back by more than a day less often. A chat that leaves both open is read as the
+    chats of its shape (separator and digits of the year) are, where these agree; else it raises.
     """
     files = spark.read.text(path, wholetext=True).withColumn("chat", file_part(F.input_file_name(), 1))
     lines = files.select("chat", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), "\r?\n")).alias("pos", "line"))
@@ -34,27 +35,33 @@ def whatsapp(spark: SparkSession, path: str) -> DataFrame:
     hour = F.when(half == "PM", number(5) % 12 + 12).when(half == "AM", number(5) % 12).otherwise(number(5))
     a, b, c = number(1), number(3), number(4)
     first = lambda x: F.first(x, ignorenulls=True)
-    lines = lines.select("chat", "number", "pos", body.alias("body"), part(2).alias("sep"), F.length(part(1)).alias("digits"), *[
+    lines = lines.select("chat", "number", "pos", body.alias("body"), part(2).alias("sep"), F.length(part(1)).alias("digits"), F.length(part(4)).alias("last_digits"), *[
         _stamp(y, m, d, hour, number(6), number(7)).alias(n) for n, (y, m, d) in {"ymd": (a, b, c), "dmy": (c, b, a), "mdy": (c, a, b)}.items()
     ])
     rows = lines.groupBy("chat", "number").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "body"))), lambda x: x["body"]), "\n").alias("body"),
-        F.max("sep").alias("sep"), F.max("digits").alias("digits"), *[first(n).alias(n) for n in ("ymd", "dmy", "mdy")],
+        F.max("sep").alias("sep"), F.max("digits").alias("digits"), F.max("last_digits").alias("last_digits"), *[first(n).alias(n) for n in ("ymd", "dmy", "mdy")],
     )
     turn = Window.partitionBy("chat").orderBy("number")
     for n in ("dmy", "mdy"):
-        rows = rows.withColumn(f"{n}_back", (F.col(n) < F.lag(n).over(turn)).cast("int"))
-    whole = Window.partitionBy("chat")
-    votes = {n: (F.max(F.col(n).isNull()).over(whole), F.coalesce(F.sum(f"{n}_back").over(whole), F.lit(0))) for n in ("dmy", "mdy")}
-    (no_dmy, back_dmy), (no_mdy, back_mdy) = votes["dmy"], votes["mdy"]
-    chosen = (
-        F.when(F.max("digits").over(whole) == 4, F.col("ymd"))
-        .when((F.max("sep").over(whole) == ".") | (no_mdy & ~no_dmy), F.col("dmy"))
-        .when(no_dmy & ~no_mdy, F.col("mdy"))
-        .when(back_dmy < back_mdy, F.col("dmy"))
-        .when(back_mdy < back_dmy, F.col("mdy"))
-        .otherwise(F.raise_error(F.concat(F.lit("day or month first? "), "chat")))
+        rows = rows.withColumn(f"{n}_back", (F.col(n) < F.lag(n).over(turn) - 86400).cast("int"))
+    back = lambda n: F.coalesce(F.sum(f"{n}_back"), F.lit(0)).alias(f"{n}_back")
+    never = lambda n: F.bool_or(F.col(n).isNull()).alias(f"no_{n}")
+    shape = F.concat_ws("/", F.min_by("sep", "number"), F.min_by("last_digits", "number")).alias("shape")
+    chats = rows.groupBy("chat").agg(F.max("digits").alias("digits"), F.min("sep").alias("least_sep"), F.max("sep").alias("sep"), never("dmy"), never("mdy"), back("dmy"), back("mdy"), shape)
+    own = (
+        F.when(F.col("digits") == 4, "ymd")
+        .when(((F.col("sep") == ".") & (F.col("least_sep") == ".")) | (F.col("no_mdy") & ~F.col("no_dmy")), "dmy")
+        .when(F.col("no_dmy") & ~F.col("no_mdy"), "mdy")
+        .when(F.col("dmy_back") < F.col("mdy_back"), "dmy")
+        .when(F.col("mdy_back") < F.col("dmy_back"), "mdy")
     )
+    chats = chats.select("chat", "shape", own.alias("own"))
+    peers = chats.where("own IS NOT NULL").groupBy("shape").agg(F.when(F.count_distinct("own") == 1, F.min("own")).alias("theirs"))
+    chats = chats.join(peers, "shape", "left").select("chat", F.coalesce("own", "theirs", F.raise_error(F.concat(F.lit("day or month first? "), "chat"))).alias("order"))
+    rows = rows.join(chats, "chat")
+    chosen = F.when(F.col("order") == "ymd", F.col("ymd")).when(F.col("order") == "dmy", F.col("dmy")).otherwise(F.col("mdy"))
+    whole = Window.partitionBy("chat")
     rows = rows.withColumn("at", chosen)
     sender = F.regexp_extract("body", r"(?s)^([^:\n]{1,80}): (.*)$", 1)
     rows = rows.withColumn("sender", F.when(sender != "", sender)).withColumn("said", F.when(sender != "", F.regexp_extract("body", r"(?s)^([^:\n]{1,80}): (.*)$", 2)).otherwise(F.col("body")))

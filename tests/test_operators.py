@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from missive.functions.text import similar
+from missive.functions.text import similar, value_key, words
 from missive.operators import archive, entity, facts, ingest, jobs, media, search, sessions
 
 
@@ -32,7 +32,7 @@ def test_substance(spark, texts, verdict):
 )
 def test_similar(spark, a, b, same):
     rows = spark.createDataFrame([(a, b)], "a string, b string")
-    assert rows.select(similar(F.col("a"), F.col("b")).alias("s")).first().s is same
+    assert rows.select(similar(value_key(F.col("a")), value_key(F.col("b"))).alias("s")).first().s is same
 
 
 def test_pages_with_ties(spark):
@@ -190,7 +190,7 @@ def test_committed_facts_yield_to_the_user_and_end_what_they_supersede(spark):
 
 def test_overlapping_phrases_count_each(spark):
     rows = spark.createDataFrame([("a a a b",), ("ab a",), ("",), (None,)], "text string")
-    count = lambda query: [r[0] for r in rows.select(search.occurrences(search.parse_query(query)[0], search.tokens(F.col("text")))).collect()]
+    count = lambda query: [r[0] for r in rows.select(search.occurrences(search.parse_query(query)[0], words(F.col("text")))).collect()]
     assert count('"a a"') == [2, 0, 0, None]
     assert count("a") == [3, 2, 0, None]
     assert count('"a b"') == [1, 0, 0, None]
