@@ -254,7 +254,10 @@ def _index(docs: DataFrame, buckets: int, levels: np.ndarray, frequent_from: int
         yield from send()
 
     entries = docs.select("doc_id", "text").mapInArrow(run, "bucket long, block int, part long, number long, lists binary, nodes binary")
-    return entries.repartition("bucket").sortWithinPartitions("bucket", "block", "part", "number")
+    # partitions of about a bucket each, so that what a task reads doesn't grow with the input; few buckets are left to Spark
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = entries.repartition(buckets, "bucket") if buckets > usual else entries.repartition("bucket")
+    return dealt.sortWithinPartitions("bucket", "block", "part", "number")
 
 
 class _Lists:
