@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from . import pretokens
 from .common import table, text_chunks
 
-#: Pre-tokens whose counts a worker remembers; beyond that it forgets all and starts anew (a memo, not a limit).
-MEMO = 400_000
+#: Words whose counts a worker remembers, of so many characters at most; beyond that it forgets all and starts anew (a memo,
+#: not a limit: other words are counted anew in each batch).
+MEMO, MEMO_LENGTH = 400_000, 64
 #: Characters outside the blocks where Python's Unicode tables and the tokenizer's give the same NFC, case and classes.
 OTHER = re.compile("[^\x00-\u06ff\u1e00-\u2bff\u3000-\u9fff\uac00-\ud7a3\uff00-\uffef\U0001f000-\U0001f64f]")
 NO_RANK = np.iinfo(np.int64).max
@@ -171,7 +172,11 @@ class WordBpeCounter:
         if new := {w for _, words in cut for w in words}.difference(self.memo):
             self.learn(list(new))
         known = self.memo.__getitem__
-        return [n + sum(map(known, words)) for n, words in cut]
+        counts = [n + sum(map(known, words)) for n, words in cut]
+        for w in new:
+            if len(w) > MEMO_LENGTH:
+                del self.memo[w]
+        return counts
 
 
 @functools.cache

@@ -216,3 +216,17 @@ def test_lists_read_in_parts_give_the_same_stars(monkeypatch):
             pivots.setdefault((b, name), (x, node))
         want = {(pivots[b, name][1], node) for b, x, name, node in entries if node != pivots[b, name][1] and x + pivots[b, name][0] <= jaccard_join.BLOCKS}
         assert pairs == want
+
+
+def test_the_memo_holds_short_words_only():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from missive.llm import token_counts
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    counter, library = token_counts.WordBpeCounter(path), Tokenizer.from_file(path)
+    texts = ["short words", "x" * 100_000 + " y", "ab" * 50 + " " + "c" * 64 + " short"]
+    for _ in range(2):
+        assert counter(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert set(counter.memo) == {"short", "words", "y", "c" * 64}
