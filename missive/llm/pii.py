@@ -38,7 +38,7 @@ AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP_RUN = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
 # Wider patterns of candidates; that of e-mail addresses begins where the local part ends.
-SPELLED_AT = re.compile(r"(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|\{dot\}|\.) ?[A-Za-z0-9-]+)+")
+SPELLED_AT = re.compile(r"(?:\[at\]|\(at\)|\{at\}) ?[A-Za-z0-9-]+(?:(?: ?(?:\[dot\]|\(dot\)|\{dot\}) ?|\.)[A-Za-z0-9-]+)+")
 WIDE = {
     "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "card": re.compile(r"(?<![0-9A-Za-z])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9A-Za-z])"),
@@ -185,10 +185,11 @@ def candidates(text: str) -> list[Candidate]:
 
 @dataclass
 class Reliability:
-    """prior: how often a candidate is personal data; vote[l][y][v]: how often labeler l votes v where the truth is y."""
+    """prior: how often a candidate is personal data; vote[l][y][v]: how often labeler l, where it votes, votes v and the
+    truth is y. A labeler that abstains says nothing: how often it does depends on the kind, not on the truth."""
 
     prior: float = 0.5
-    vote: np.ndarray = field(default_factory=lambda: np.array([[[0.3, 0.5, 0.2], [0.3, 0.2, 0.5]]] * len(LABELERS)))
+    vote: np.ndarray = field(default_factory=lambda: np.array([[[1.0, 0.7, 0.3], [1.0, 0.3, 0.7]]] * len(LABELERS)))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         log = np.tile(np.log([1 - self.prior, self.prior]), (len(votes), 1))
@@ -207,10 +208,11 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> Reliabi
         weight = np.stack([counts * (1 - p), counts * p])
         vote = np.ones((votes.shape[1], 2, 3))
         for labeler in range(votes.shape[1]):
-            for v in (ABSTAIN, NO, YES):
+            for v in (NO, YES):
                 vote[labeler, :, v] += weight[:, votes[:, labeler] == v].sum(axis=1)
+        vote[:, :, NO:] /= vote[:, :, NO:].sum(axis=2, keepdims=True)
         prior = (weight[1].sum() + 1) / (counts.sum() + 2)
-        model = Reliability(float(prior), vote / vote.sum(axis=2, keepdims=True))
+        model = Reliability(float(prior), vote)
     return model
 
 
