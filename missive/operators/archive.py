@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import gaps, with_days
 from .ingest import canonical_json
 
 DIRECT = ("dm", "saved")
@@ -163,11 +164,12 @@ def silence_label(days: Column) -> Column:
 
 
 def silence_gaps(message: DataFrame, silence: int = SILENCE) -> DataFrame:
-    """Messages that end a silence in their thread, with its whole days and its label."""
-    before = F.lag("sent_at_unix").over(Window.partitionBy("thread_id").orderBy(*ORDER))
-    rows = message.select("id", "thread_id", (F.col("sent_at_unix") - before).alias("gap")).where(F.col("gap") >= silence)
-    days = F.floor(F.col("gap") / 86400).cast("long")
-    return rows.select("id", "thread_id", days.alias("days"), silence_label(days).alias("label"))
+    """Messages that end a silence in their thread, with its whole days and its label. No task holds a thread, only a day of it."""
+    rows, days = gaps(message.select("id", "thread_id", "sent_at_unix"))
+    rows = with_days(rows, days)
+    rows = rows.withColumn("gap", F.when(F.col("first_"), F.col("day_gap_")).otherwise(F.col("gap_"))).where(F.col("gap") >= silence)
+    whole = F.floor(F.col("gap") / 86400).cast("long")
+    return rows.select("id", "thread_id", whole.alias("days"), silence_label(whole).alias("label"))
 
 
 def source_counts(message: DataFrame, import_run: DataFrame) -> DataFrame:

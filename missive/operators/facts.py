@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.store import shared_folder
 from ..functions.text import compatible, similar, value_key
 
 ASSERTING = ("asserts", "corroborates")
@@ -85,6 +86,7 @@ def merge_plan(fact: DataFrame, citation: DataFrame, judged: DataFrame, few: int
 
 def fold_roots(fact: DataFrame, chase: int = CHASE) -> DataFrame:
     """The fact that each folded fact ends in, following at most ``chase`` pointers; dangling ones are left out."""
+    shared_folder(fact.sparkSession)
     pointer = fact.select("id", F.col("merged_into").alias("to"))
     rows = pointer.where("to IS NOT NULL").select("id", F.col("to").alias("root"))
     next_of = pointer.select(F.col("id").alias("root"), F.col("to").alias("further"))
@@ -93,7 +95,7 @@ def fold_roots(fact: DataFrame, chase: int = CHASE) -> DataFrame:
         step = rows.join(next_of, "root")
         ended = step.where("further IS NULL").select("id", "root")
         done = ended if done is None else done.unionByName(ended)
-        rows = step.where("further IS NOT NULL").select("id", F.col("further").alias("root"))
+        rows = step.where("further IS NOT NULL").select("id", F.col("further").alias("root")).checkpoint()  # or each hop would redo all before it
         if rows.isEmpty():
             break
     return done

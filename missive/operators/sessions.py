@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import gaps, with_days
+
 #: A gap of this many seconds or more begins a session: 4 hours.
 GAP = 4 * 3600
 #: Thresholds of substance.
@@ -12,10 +14,11 @@ LONG_TEXT, MANY_WORDS, VARIETY, QUESTION_WORDS = 60, 20, 1.5, 8
 
 
 def session_members(message: DataFrame, gap: int = GAP) -> DataFrame:
-    """Each message with its session's number in the thread, by (sent_at_unix, id)."""
-    order = Window.partitionBy("thread_id").orderBy("sent_at_unix", "id")
-    begins = F.coalesce((F.col("sent_at_unix") - F.lag("sent_at_unix").over(order) >= gap).cast("int"), F.lit(1))
-    return message.withColumn("begins", begins).withColumn("number", F.sum("begins").over(order)).drop("begins")
+    """Each message with its session's number in the thread, by (sent_at_unix, id). No task holds a thread, only a day of it."""
+    rows, days = gaps(message, F.col("gap_") >= gap)
+    rows = with_days(rows, days)
+    opens = F.coalesce((F.col("day_gap_") >= gap).cast("int"), F.lit(1))
+    return rows.withColumn("number", F.col("ahead_") + opens + F.col("marks_")).select(*message.columns, "number")
 
 
 def numbered(message: DataFrame, gap: int = GAP) -> DataFrame:
