@@ -40,7 +40,7 @@ WORDS = 5
 #: A link needs TOP * intersection >= BOTTOM * union.
 TOP, BOTTOM = 100, 80
 #: Entries that a bucket of the index holds on average, and that a task gathers before it sends or reads them.
-BUCKET_ENTRIES, SEND_ENTRIES = 2_000_000, 2_000_000
+BUCKET_ENTRIES, SEND_ENTRIES = 500_000, 2_000_000
 #: Set elements that a chunk of a star holds on average.
 CHUNK_ELEMENTS = 400_000
 #: Blocks of places that a list has, from the first place to the last at which the first common element can be.
