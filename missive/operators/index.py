@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from .ingest import replayed
 from .search import Term, frequencies, parse_query, scored
 
 FILTERS = ("thread_id", "person_id", "provenance", "sent_at_unix")
@@ -34,6 +35,14 @@ def commit(documents: DataFrame, folder: str, segment: int, deleted: DataFrame |
     rows.write.mode("overwrite").parquet(f"{folder}/documents/segment={segment}")
 
 
+def follow(batch: DataFrame, stored: DataFrame, folder: str, segment: int, deleted: DataFrame | None = None, order: list[str] | None = None) -> None:
+    """Writes the segment of a batch that ``ingest.commit`` takes: only documents whose body the batch changes or adds, of
+    several with one id the last. batch and stored: id, content_hash; batch also body and columns of FILTERS."""
+    newest = replayed(batch, stored, "id", order).where("newest")
+    changed = newest.join(stored.select("id", "content_hash"), ["id", "content_hash"], "left_anti")
+    commit(changed, folder, segment, deleted)
+
+
 def live(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of the index, each once, with the segment that has its words."""
     rows = spark.read.parquet(f"{folder}/documents")

@@ -51,6 +51,37 @@ def replay_commit(documents):
     return ingest.commit(batch, once, order=["place"]).select("uid", "content_hash")
 
 
+_BODIES = """o AS (SELECT id AS uid, concat('h', id) AS content_hash, plaintext AS text, CASE WHEN kind = 'service' THEN event_type END AS service_action,
+              CASE WHEN id % 4 <> 0 THEN concat('[{"type":"bold","length":', id % 9, '}]') END AS entities FROM message),
+       n AS (SELECT uid, CASE WHEN uid % 3 = 0 THEN 'new' ELSE content_hash END AS content_hash, CASE WHEN uid % 5 = 0 THEN 'other' ELSE text END AS text,
+              CASE WHEN uid % 7 = 0 THEN 'pin' ELSE service_action END AS service_action, CASE WHEN uid % 12 = 3 THEN '[]' ELSE entities END AS entities FROM o)"""
+
+
+@query("message", f"""WITH {_BODIES} SELECT o.* FROM o JOIN n USING (uid) WHERE o.content_hash <> n.content_hash
+       AND (o.text IS DISTINCT FROM n.text OR o.service_action IS DISTINCT FROM n.service_action OR o.entities IS DISTINCT FROM n.entities)""")
+def reconciled_bodies(message):
+    """What a re-export replaces: it writes its JSON with white space, which is no change."""
+    entities = F.when(F.col("id") % 4 != 0, F.concat(F.lit('[{"type":"bold","length":'), (F.col("id") % 9).cast("string"), F.lit("}]")))
+    stored = message.select(F.col("id").alias("uid"), F.concat(F.lit("h"), F.col("id").cast("string")).alias("content_hash"), F.col("plaintext").alias("text"), F.when(F.col("kind") == "service", F.col("event_type")).alias("service_action"), entities.alias("entities"))
+    batch = stored.withColumn("content_hash", F.when(F.col("uid") % 3 == 0, "new").otherwise(F.col("content_hash"))).withColumn("text", F.when(F.col("uid") % 5 == 0, "other").otherwise(F.col("text")))
+    batch = batch.withColumn("service_action", F.when(F.col("uid") % 7 == 0, "pin").otherwise(F.col("service_action")))
+    batch = batch.withColumn("entities", F.when(F.col("uid") % 12 == 3, "[]").otherwise(F.replace("entities", F.lit(":"), F.lit(" :  "))))
+    return ingest.reconcile(batch, stored)
+
+
+@query("person", "SELECT id, CASE WHEN id = 'p:8' THEN 'Somebody' ELSE display_name END AS display_name FROM person")
+def renamed_people(person):
+    return entity.rename(person, "p:8", "Somebody").select("id", "display_name")
+
+
+@query("identity", "SELECT least(id, 'i:2') AS left_id, greatest(id, 'i:2') AS right_id FROM identity WHERE id NOT IN ('i:2', 'i:3') UNION SELECT 'i:7', 'i:9'")
+def dismissed_pairs(identity):
+    """Everybody's pair with i:2 was dismissed; one is taken back, one more is dismissed, twice."""
+    pairs = identity.where("id <> 'i:2'").select(F.least("id", F.lit("i:2")).alias("left_id"), F.greatest("id", F.lit("i:2")).alias("right_id"))
+    pairs = entity.restore(pairs, "i:3", "i:2")
+    return entity.dismiss(entity.dismiss(pairs, "i:9", "i:7"), "i:7", "i:9")
+
+
 def _known(identity: DataFrame, person: DataFrame, identity_person: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A store that lacks a quarter of the identities."""
     have = identity.where("id = 'i:owner' OR cast(substr(id, 3) AS bigint) % 4 <> 1")
@@ -228,6 +259,13 @@ def coverage_by_person(message, thread_participant, identity_person):
     return sessions.coverage_summary(*_read(message), "v2", per)
 
 
+@query("chat", "WITH message AS (SELECT * FROM chat), " + _MEMBERS + """ SELECT thread_id, number, concat('passage: ', substr(string_agg(concat(sender_identity_id, ': ', plaintext, chr(10)), '' ORDER BY sent_at_unix, id), 1, 4000)) AS text FROM n GROUP BY 1, 2""")
+def session_passages(chat):
+    """Texts of sessions as a model of the E5 family expects them."""
+    rows = sessions.session_text(sessions.session_members(chat), ["thread_id", "number"])
+    return rows.withColumn("text", F.concat(F.lit(sessions.prefix_for("multilingual-e5-large")), "text"))
+
+
 @query("", f"""SELECT vec_id AS session_id, concat('m', vec_id % 2) AS model, CASE WHEN vec_id % 6 = 0 THEN 'old' ELSE 'new' END AS input_hash,
        CASE WHEN vec_id % 6 = 0 THEN [0.0, 0.0] ELSE [round(x / {_NORM}, 6) for x in embedding::DOUBLE[]][1:2] END AS first FROM embeddings""")
 def vectors_written(embeddings):

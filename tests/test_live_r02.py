@@ -192,3 +192,33 @@ def test_context_at_a_threads_ends(spark):
     assert got == {(3, -3), (4, -2), (0, -1), (1, 0), (2, 1), (5, 2), (6, 3)}  # by time, then id
     assert {(r.id, r.distance) for r in archive.message_context_of(message, 3, radius=1).collect()} == {(3, 0), (4, 1)}
     assert archive.message_context_of(message, 1000).count() == 0
+
+
+def test_the_index_follows_what_a_commit_changes(spark, tmp_path):
+    fields = "id long, content_hash string, body string, place int"
+    stored = spark.createDataFrame([(1, "a", "red fox", 0), (2, "b", "blue fox", 0)], fields)
+    batch = spark.createDataFrame([(1, "a", "red fox", 1), (2, "x", "green", 2), (2, "c", "grey hen", 3), (3, "d", "fox", 4), (4, "e", "short lived", 5), (4, "f", "fox hen", 6)], fields)
+    folder = str(tmp_path / "index")
+    index.follow(stored, stored.where("false"), folder, 0)
+    index.follow(batch, stored, folder, 1, order=["place"])
+    find = lambda query: [r.id for r in index.search(spark, folder, query).orderBy("id").collect()]
+    assert (find("fox"), find("hen"), find("blue"), find("green"), find("lived")) == ([1, 3, 4], [2, 4], [], [], [])
+    written = spark.read.parquet(f"{folder}/documents").where("segment = 1")
+    assert sorted(r.id for r in written.collect()) == [2, 3, 4]
+
+
+def test_sessions_are_those_of_whole_threads(spark):
+    """Over ends of days, ties, times before 1970 and none at all, sessions are those of one order of each thread."""
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice([None, -90_000, -1, 0, 5, 86_399, 86_400, 100_799, 100_800, 400_000, rng.randrange(-200_000, 800_000)])) for k in range(300)]
+    message = spark.createDataFrame(rows, "id long, thread_id string, sent_at_unix long").withColumn("number", F.lit("mine"))
+    got = {r.id: r.number for r in sessions.session_members(message.drop("number")).collect()}
+    want = {}
+    for thread in ("a", "b", None):
+        number, before = 0, None
+        for k, _, at in sorted((r for r in rows if r[1] == thread), key=lambda r: (r[2] is not None, r[2] or 0, r[0])):
+            number += before is None or at is None or at - before >= sessions.GAP
+            want[k], before = number, at
+    assert got == want
