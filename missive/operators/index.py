@@ -1,9 +1,10 @@
 """A stored word index that follows inserts, edits and deletions.
 
-An index is a folder of two tables, in segments that commits add: ``postings`` (term, id, position), ordered by term, so
-that a query reads the row groups of its terms only, and ``documents`` (id, length and what searches filter by), in which
-a document's newest segment counts. A commit writes the words of its new and changed documents and the ids of deleted
-ones; ``compact`` makes one segment of all.
+An index is a folder of three tables, in segments that commits add: ``postings`` (term, id, position, and the document's
+length), ordered by term, so that a query reads the row groups of its terms only; ``documents`` (id, length and what
+searches filter by), in which a document's newest segment counts; and ``totals``, a row a segment. A commit writes the
+words of its new and changed documents and the ids of deleted ones; ``compact`` makes one segment of all. An index of one
+segment without deletions answers from its postings and totals, and reads documents only to filter by them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,15 @@ FILTERS = ("thread_id", "person_id", "provenance", "sent_at_unix")
 
 def _write_postings(rows: DataFrame, folder: str, segment: int) -> None:
     order = ["term", "id", "position"]
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/postings/segment={segment}")
+    rows.select("term", "id", "position", "length").repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/postings/segment={segment}")
+
+
+def _write_documents(rows: DataFrame, folder: str, segment: int) -> None:
+    """rows: id, length, deleted, and columns of FILTERS."""
+    rows.write.mode("overwrite").parquet(f"{folder}/documents/segment={segment}")
+    written = rows.sparkSession.read.parquet(f"{folder}/documents/segment={segment}")
+    totals = written.agg(F.count_if(~F.col("deleted")).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words"), F.count_if("deleted").alias("gone"))
+    totals.coalesce(1).write.mode("overwrite").parquet(f"{folder}/totals/segment={segment}")
 
 
 def commit(documents: DataFrame, folder: str, segment: int, deleted: DataFrame | None = None) -> None:
@@ -28,11 +37,12 @@ def commit(documents: DataFrame, folder: str, segment: int, deleted: DataFrame |
     ones. A segment that is written again replaces itself. A null body has no words."""
     kept = [c for c in FILTERS if c in documents.columns]
     cut = documents.select("id", *kept, F.coalesce(words(F.col("body")), F.array().cast("array<string>")).alias("words"))
-    _write_postings(cut.select("id", F.posexplode("words").alias("position", "term")).select("term", "id", "position"), folder, segment)
-    rows = cut.select("id", F.size("words").alias("length"), *kept, F.lit(False).alias("deleted"))
+    cut = cut.withColumn("length", F.size("words"))
+    _write_postings(cut.select("id", "length", F.posexplode("words").alias("position", "term")), folder, segment)
+    rows = cut.select("id", "length", *kept, F.lit(False).alias("deleted"))
     if deleted is not None:
         rows = rows.unionByName(deleted.select("id", F.lit(True).alias("deleted")), allowMissingColumns=True)
-    rows.write.mode("overwrite").parquet(f"{folder}/documents/segment={segment}")
+    _write_documents(rows, folder, segment)
 
 
 def follow(batch: DataFrame, stored: DataFrame, folder: str, segment: int, deleted: DataFrame | None = None, order: list[str] | None = None) -> None:
@@ -51,14 +61,15 @@ def live(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, folder: str) -> DataFrame:
-    """term, id and position of the words of live documents."""
-    return spark.read.parquet(f"{folder}/postings").join(live(spark, folder).select("id", "segment"), ["id", "segment"], "left_semi").select("term", "id", "position")
+    """term, id, position and length of the words of live documents."""
+    rows = spark.read.parquet(f"{folder}/postings")
+    return rows.join(live(spark, folder).select("id", "segment"), ["id", "segment"], "left_semi").select("term", "id", "position", "length")
 
 
 def compact(spark: SparkSession, folder: str, target: str) -> None:
     """The index of ``folder`` as one segment of ``target``."""
     _write_postings(postings(spark, folder), target, 0)
-    live(spark, folder).drop("segment").withColumn("deleted", F.lit(False)).write.mode("overwrite").parquet(f"{target}/documents/segment=0")
+    _write_documents(live(spark, folder).drop("segment").withColumn("deleted", F.lit(False)), target, 0)
 
 
 def _is(term: Term, k: int) -> Column:
@@ -70,7 +81,7 @@ def _is(term: Term, k: int) -> Column:
 
 
 def counted(spark: SparkSession, folder: str, terms: list[Term]) -> DataFrame:
-    """Documents with a term (id, length, columns of FILTERS) and how often each term stands in them: tf0, tf1, ...
+    """Documents of segments with a term (id, segment, length) and how often each term stands in them: tf0, tf1, ...
 
     Words of a phrase stand at places that are equal less their numbers in it.
     """
@@ -89,7 +100,7 @@ def counted(spark: SparkSession, folder: str, terms: list[Term]) -> DataFrame:
                 both = F.array_intersect(both, other)
             counts.append(F.size(both).cast("long").alias(f"tf{n}"))
     rows = spark.read.parquet(f"{folder}/postings").where(any_word)
-    return rows.groupBy("id", "segment").agg(*counts).join(live(spark, folder), ["id", "segment"]).drop("segment")
+    return rows.groupBy("id", "segment").agg(F.first("length").alias("length"), *counts)
 
 
 def search(spark: SparkSession, folder: str, query: str, limit: int | None = 200, **filters) -> DataFrame:
@@ -98,6 +109,13 @@ def search(spark: SparkSession, folder: str, query: str, limit: int | None = 200
     if not terms:
         return live(spark, folder).select("id", F.lit(0.0).alias("score")).where(F.lit(False))
     found = counted(spark, folder, terms)
-    sizes = live(spark, folder).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    segments = spark.read.parquet(f"{folder}/totals").select("n", "words", "gone").collect()  # a row a segment
+    if len(segments) == 1 and not segments[0]["gone"]:
+        sizes = spark.range(1).select(F.lit(segments[0]["n"]).alias("n"), F.lit(segments[0]["words"] / max(1, segments[0]["n"])).alias("mean"))
+    else:
+        found = found.join(live(spark, folder).select("id", "segment"), ["id", "segment"], "left_semi")
+        sizes = live(spark, folder).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     stats = found.agg(*frequencies(len(terms))).crossJoin(F.broadcast(sizes))  # one row each
+    if any(v is not None for v in filters.values()):
+        found = found.join(live(spark, folder).drop("length"), ["id", "segment"])
     return scored(found, stats, len(terms), limit, **filters)

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.store import shared_folder
 from ..functions.text import fold, plain_words, words
 
 #: Okapi BM25, as published.
@@ -93,9 +94,14 @@ def search(documents: DataFrame, query: str, limit: int | None = 200, **filters)
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """id and rank of all hits, best first; no task holds them all."""
-    rows = found.select("id", "score").orderBy(F.desc("score"), "id").rdd.zipWithIndex()
-    return found.sparkSession.createDataFrame(rows.map(lambda x: (x[0]["id"], x[1] + 1)), "id long, rank long")
+    """id and rank of all hits, best first; no task holds them all: a rank is a hit's place in its partition of the ordered
+    hits, behind what the partitions before hold."""
+    shared_folder(found.sparkSession)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = found.orderBy(F.desc("score"), "id").select("id", F.spark_partition_id().alias("part"), place.alias("place")).checkpoint()
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", ahead.alias("ahead"))  # a row a partition
+    return rows.join(F.broadcast(parts), "part").select("id", (F.col("ahead") + F.col("place") + 1).alias("rank"))
 
 
 def capped_count(found: DataFrame, cap: int = CAP) -> DataFrame:

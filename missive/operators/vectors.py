@@ -39,7 +39,8 @@ def top_k(vectors: DataFrame, query: DataFrame, limit: int = 20, floor: float =
     the best. The other columns of ``query`` come first."""
     keys = [c for c in query.columns if c != "query"]
     asked = query.withColumn("asked", F.monotonically_increasing_id())
-    scored = vectors.crossJoin(F.broadcast(asked)).where(F.size("embedding") == F.size("query"))
+    # all of a stated set of queries against all vectors: a few queries are broadcast by their size, many are joined in blocks
+    scored = vectors.crossJoin(asked).where(F.size("embedding") == F.size("query"))
     scored = scored.select("asked", *keys, "vec_id", F.round(dot(F.col("embedding"), F.col("query")), 6).alias("score")).where("score > 0")
     each = Window.partitionBy("asked")
     rows = scored.withColumn("place", F.row_number().over(each.orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= limit)
