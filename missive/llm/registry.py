@@ -21,6 +21,7 @@ QUERIES = {
 }
 ORACLES = {
     "op2_license_scan": licenses.oracle_sql(),
+    "op4_jaccard_join": jaccard_join.ORACLE_SQL,
     "op5_source_mixing": mixing.ORACLE_SQL,
     "op9_metric_join": metric_join.ORACLE_SQL,
 }
