@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 from pyspark.sql import functions as F
-from test_advice_r01 import APACHE, BSD2, BSD3, GPL, ISC, MIT
+from test_llm_advice_r01 import APACHE, BSD2, BSD3, GPL, ISC, MIT
 
 from missive.llm import licenses
 
