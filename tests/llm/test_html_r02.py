@@ -97,12 +97,15 @@ def test_an_article_keeps_its_own_blocks(spark):
     assert texts(spark, page) == ["Title\nA picture\nSo x=2 holds\nfound"]
 
 
-@pytest.mark.parametrize("mark", sorted(html_text.DOUBTFUL))
-def test_differencing_decides_on_doubtful_blocks(spark, mark):
+def test_differencing_decides_on_doubtful_blocks(spark):
     """What only a word of a class marks inside an article goes where the nearest page has it too, and stays elsewhere."""
-    page = f'<article><p>%s</p><div class="{mark}">Search our site</div><p>Both pages say this.</p><div class="{mark}">%s</div></article>'
-    assert texts(spark, page % ("one", "body one"), page % ("two", "body two")) == ["one\nBoth pages say this.\nbody one", "two\nBoth pages say this.\nbody two"]
-    assert texts(spark, page % ("one", "body one")) == ["one\nSearch our site\nBoth pages say this.\nbody one"]
+    page = '<article><p>{0}</p><div class="{1}">Search our site</div><p>Both pages say this.</p><div class="{1}">body {0}</div></article>'
+    rows = []
+    for k, mark in enumerate(sorted(html_text.DOUBTFUL)):
+        rows += [(3 * k, f"http://{mark}.org/a", page.format("one", mark)), (3 * k + 1, f"http://{mark}.org/b", page.format("two", mark)), (3 * k + 2, f"http://alone-{mark}.org/", page.format("one", mark))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(len(html_text.DOUBTFUL)):
+        assert [got[3 * k + j] for j in range(3)] == ["one\nBoth pages say this.\nbody one", "two\nBoth pages say this.\nbody two", "one\nSearch our site\nBoth pages say this.\nbody one"]
 
 
 @pytest.mark.parametrize("mark", sorted(html_text.MARKS - html_text.DOUBTFUL))
