@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.store import shared_folder
 from ..functions.text import words
 from .ingest import replayed
 from .search import Term, frequencies, parse_query, scored
@@ -37,7 +38,8 @@ def commit(documents: DataFrame, folder: str, segment: int, deleted: DataFrame |
     ones. A segment that is written again replaces itself. A null body has no words."""
     kept = [c for c in FILTERS if c in documents.columns]
     cut = documents.select("id", *kept, F.coalesce(words(F.col("body")), F.array().cast("array<string>")).alias("words"))
-    cut = cut.withColumn("length", F.size("words"))
+    shared_folder(documents.sparkSession)
+    cut = cut.withColumn("length", F.size("words")).checkpoint()  # texts are cut once; ordering samples the words before it sends them
     _write_postings(cut.select("id", "length", F.posexplode("words").alias("position", "term")), folder, segment)
     rows = cut.select("id", "length", *kept, F.lit(False).alias("deleted"))
     if deleted is not None:
