@@ -9,7 +9,9 @@ MAX_ATTEMPTS, LEASE, LOG_ROWS, DAY = 3, 900, 5000, 86400
 
 
 def enqueue(queue: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The queue after an upsert: a job is pending again, its attempts 0, only where its input changed (nulls compare)."""
+    """The queue after an upsert: a job is pending again, its attempts 0 and its lease (lease_unix, if there is one) gone, only
+    where its input changed (nulls compare). One that runs on the same input keeps its lease: to lose it would have the job
+    reclaimed, and run twice."""
     new = wanted.select("kind", "subject_id", F.col("input_hash").alias("new_hash"), F.col("priority").alias("new_priority"), F.lit(True).alias("asked"))
     rows = queue.join(new, ["kind", "subject_id"], "full")
     changed = F.col("asked").isNotNull() & (F.col("state").isNull() | ~F.col("input_hash").eqNullSafe(F.col("new_hash")))
@@ -19,6 +21,7 @@ def enqueue(queue: DataFrame, wanted: DataFrame) -> DataFrame:
         F.when(changed, F.lit(0).cast("long")).otherwise(F.col("attempts")).alias("attempts"),
         F.when(F.col("asked"), F.col("new_hash")).otherwise(F.col("input_hash")).alias("input_hash"),
         F.coalesce("new_priority", "priority").alias("priority"),
+        *([F.when(~changed, F.col("lease_unix")).alias("lease_unix")] if "lease_unix" in queue.columns else []),
     )
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from missive.functions.text import compatible, fold, folded, value_key, words
-from missive.operators import archive, entity, facts, index, ingest, planning, search, sessions, vectors
+from missive.operators import archive, entity, facts, index, ingest, jobs, planning, search, sessions, vectors
 from missive.sources import synthetic
 from missive.streaming import backfill, folders
 from missive.streaming import ingest as live
@@ -222,3 +222,11 @@ def test_sessions_are_those_of_whole_threads(spark):
             number += before is None or at is None or at - before >= sessions.GAP
             want[k], before = number, at
     assert got == want
+
+
+def test_a_running_job_keeps_its_lease(spark):
+    """Asked for again with the same input, a running job isn't reclaimed; with another input it begins anew."""
+    queue = spark.createDataFrame([("k", "same", "running", 1, "h", 5, 900), ("k", "other", "running", 2, "h", 5, 900), ("k", "left", "done", 1, "h", 5, None)], "kind string, subject_id string, state string, attempts long, input_hash string, priority long, lease_unix long")
+    wanted = spark.createDataFrame([("k", "same", "h", 6), ("k", "other", "x", 6), ("k", "new", "h", 6)], "kind string, subject_id string, input_hash string, priority long")
+    got = {r.subject_id: (r.state, r.attempts, r.lease_unix) for r in jobs.enqueue(queue, wanted).collect()}
+    assert got == {"same": ("running", 1, 900), "other": ("pending", 0, None), "new": ("pending", 0, None), "left": ("done", 1, None)}
