@@ -1,10 +1,12 @@
 """A stored word index that follows inserts, edits and deletions.
 
 An index is a folder of three tables, in segments that commits add: ``postings`` (term, id, position, and the document's
-length), ordered by term, so that a query reads the row groups of its terms only; ``documents`` (id, length and what
-searches filter by), in which a document's newest segment counts; and ``totals``, a row a segment. A commit writes the
-words of its new and changed documents and the ids of deleted ones; ``compact`` makes one segment of all. An index of one
-segment without deletions answers from its postings and totals, and reads documents only to filter by them.
+length), each file in order of terms, so that a query reads the row groups of its terms only; ``documents`` (id, length and
+what searches filter by), in which a document's newest segment counts; and ``totals``, a row a segment. A commit writes the
+words of its new and changed documents and the ids of deleted ones; each task puts its own documents' words in order, and
+nothing is shuffled. ``compact`` makes one segment of all, in which a term is in one file or in files that follow each
+other. An index of one segment without deletions answers from its postings and totals, and reads documents only to filter
+by them.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.store import shared_folder
 from ..functions.text import words
 from .ingest import replayed
 from .search import Term, frequencies, parse_query, scored
@@ -20,9 +21,11 @@ from .search import Term, frequencies, parse_query, scored
 FILTERS = ("thread_id", "person_id", "provenance", "sent_at_unix")
 
 
+ORDER = ("term", "id", "position")
+
+
 def _write_postings(rows: DataFrame, folder: str, segment: int) -> None:
-    order = ["term", "id", "position"]
-    rows.select("term", "id", "position", "length").repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{folder}/postings/segment={segment}")
+    rows.select(*ORDER, "length").write.mode("overwrite").parquet(f"{folder}/postings/segment={segment}")
 
 
 def _write_documents(rows: DataFrame, folder: str, segment: int) -> None:
@@ -38,9 +41,8 @@ def commit(documents: DataFrame, folder: str, segment: int, deleted: DataFrame |
     ones. A segment that is written again replaces itself. A null body has no words."""
     kept = [c for c in FILTERS if c in documents.columns]
     cut = documents.select("id", *kept, F.coalesce(words(F.col("body")), F.array().cast("array<string>")).alias("words"))
-    shared_folder(documents.sparkSession)
-    cut = cut.withColumn("length", F.size("words")).checkpoint()  # texts are cut once; ordering samples the words before it sends them
-    _write_postings(cut.select("id", "length", F.posexplode("words").alias("position", "term")), folder, segment)
+    cut = cut.withColumn("length", F.size("words"))
+    _write_postings(cut.select("id", "length", F.posexplode("words").alias("position", "term")).sortWithinPartitions(*ORDER), folder, segment)
     rows = cut.select("id", "length", *kept, F.lit(False).alias("deleted"))
     if deleted is not None:
         rows = rows.unionByName(deleted.select("id", F.lit(True).alias("deleted")), allowMissingColumns=True)
@@ -70,7 +72,7 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
 
 def compact(spark: SparkSession, folder: str, target: str) -> None:
     """The index of ``folder`` as one segment of ``target``."""
-    _write_postings(postings(spark, folder), target, 0)
+    _write_postings(postings(spark, folder).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER), target, 0)
     _write_documents(live(spark, folder).drop("segment").withColumn("deleted", F.lit(False)), target, 0)
 
 
