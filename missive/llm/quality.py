@@ -124,7 +124,10 @@ def fold(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Trains on labelled rows outside fold 0; of more than ``sample`` labels, those least by a hash of doc_id, and of these
-    documents, in that order, as many as begin within ``sample_bytes``."""
+    documents, in that order, as many as begin within ``sample_bytes``.
+
+    The task that holds the sample trains, so that the driver gets the weights of the buckets and no texts.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("labelled"), F.col("quality").cast("int").alias("quality"))
     known = known.where(F.col("quality").isin(0, 1) & (fold(F.col("labelled")) != 0))
     known = known.orderBy(F.xxhash64("labelled"), "labelled", "quality").limit(sample)  # this many rows are broadcast
@@ -133,9 +136,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes:
     # a window over the sample, of ``sample`` labels at most
     ahead = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "text").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.octet_length("text")).over(ahead), F.lit(0))
-    rows = rows.withColumn("before", before).where(F.col("before") < sample_bytes).drop("before").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("text", "ascending")])
-    return train(rows.column("text").to_pylist(), rows.column("quality").to_pylist())
+    rows = rows.withColumn("before", before).where(F.col("before") < sample_bytes).drop("before")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := list(batches):
+            known = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("text", "ascending")])
+            model = train(known.column("text").to_pylist(), known.column("quality").to_pylist())
+            columns = [pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])]
+            yield pa.RecordBatch.from_arrays(columns, names=["weight", "bias"])
+
+    # the window leaves one partition, and so one model, or none where there are no rows
+    models = rows.mapInArrow(run, "weight binary, bias double").collect()
+    return Model(np.frombuffer(models[0]["weight"], np.float32), models[0]["bias"]) if models else train([], [])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
